@@ -7,6 +7,9 @@ import importlib
 from cohortscale.catalog import base
 
 MODULES = (
+    "validation",
+    "cohorts",
+    "grids",
     "estimates",
 )
 

@@ -25,7 +25,8 @@ def draw(seed: int, stratum: Column, replicate: Column, slot: Column, size: Colu
     text = F.concat_ws(
         "|", F.lit(str(seed)), stratum, replicate.cast("string"), slot.cast("string")
     )
-    return hex_to_long(F.substring(F.md5(text), 1, 15)) % size
+    # Never NULL; saying so spares a null filter that would hash every draw twice.
+    return F.coalesce(hex_to_long(F.substring(F.md5(text), 1, 15)) % size, F.lit(0))
 
 
 def order_hash(seed: int | Column, key: Column, *more: Column) -> Column:

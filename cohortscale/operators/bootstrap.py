@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortscale.functions.hashing import draw
+from cohortscale.functions.text import defined
 from cohortscale.plans.ordered import hash_bucket, running
-from cohortscale.session import width
+from cohortscale.session import cut_lineage, width
 
 SLOTS_PER_BLOCK = 4096
 
@@ -37,15 +38,24 @@ class Boot:
 
 
 def cluster_sums(rows: DataFrame, cell: Sequence[str], patient: str, value: str) -> DataFrame:
-    """Per patient of a cell: sum and count of its defined values (NaN and NULL are dropped)."""
-    v = F.col(value).cast("double")
-    return (
-        rows.filter(v.isNotNull() & ~F.isnan(v))
-        .groupBy(*cell, patient)
-        .agg(F.sum(v).alias("total"), F.count("*").alias("values"))
+    """Per patient of a cell: sum and count of its defined values, and all its measurements.
+
+    NaN and NULL values are not counted. Everything after this reads the sums, several times
+    over, so they are fixed here: the measurements themselves are read once.
+    """
+    v = defined(F.col(value).cast("double"))
+    return cut_lineage(
+        rows.groupBy(*cell, patient).agg(
+            F.sum(v).alias("total"), F.count(v).alias("values"), F.count("*").alias("measured")
+        )
     )
 
 
+def counted(sums: DataFrame) -> DataFrame:
+    """Patients with at least one defined value: the population that is resampled."""
+    return sums.filter("values > 0")
+
+
 def indexed(members: DataFrame, cell: Sequence[str], member: str) -> DataFrame:
     """Add ``idx`` from 0 per cell, in (hash prefix, member) order."""
     return running(
@@ -80,11 +90,25 @@ def sizes_of(members: DataFrame, cell: Sequence[str]) -> DataFrame:
     return members.groupBy(*cell).agg(F.count("*").alias("size"))
 
 
+def drawn_members(
+    members: DataFrame, cell: Sequence[str], member: str, boot: Boot, stratum: Column | str,
+    values: Sequence[str],
+) -> DataFrame:
+    """(cell, replicate, values) of every draw.
+
+    The hint keeps the draws from being broadcast: before they are made they look small. The
+    members of one (cell, index) range are hashed in the task that receives their draws.
+    """
+    cell = list(cell)
+    made = draws(sizes_of(members, cell), cell, boot, stratum)
+    listed = indexed(members, cell, member).select(*cell, "idx", *values)
+    return made.join(listed.hint("shuffle_hash"), [*cell, "idx"])
+
+
 def replicate_means(sums: DataFrame, cell: Sequence[str], patient: str, boot: Boot) -> DataFrame:
     """(cell, replicate, mean): the mean over values of the drawn patients."""
     cell = list(cell)
-    members = indexed(sums, cell, patient).select(*cell, "idx", "total", "values")
-    drawn = draws(sizes_of(sums, cell), cell, boot, "all").join(members, [*cell, "idx"])
+    drawn = drawn_members(counted(sums), cell, patient, boot, "all", ["total", "values"])
     return drawn.groupBy(*cell, "replicate").agg(
         (F.sum("total") / F.sum("values")).alias("mean")
     )
@@ -105,7 +129,7 @@ def poisson_means(sums: DataFrame, cell: Sequence[str], patient: str, boot: Boot
         below += term
         weight = weight + (u > below).cast("int")
         term /= k
-    weighted = sums.withColumn(
+    weighted = counted(sums).withColumn(
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(boot.n_resamples - 1)))
     ).withColumn("_w", weight)
     return (
@@ -136,25 +160,30 @@ def estimate(
     NULL and n = 0; one patient gives a degenerate interval.
     """
     cell = list(cell)
-    sums = cluster_sums(rows, cell, patient, value)
+    return estimate_sums(cluster_sums(rows, cell, patient, value), cell, boot, patient, method)
+
+
+def estimate_sums(
+    sums: DataFrame, cell: Sequence[str], boot: Boot, patient: str = "patient_id",
+    method: str = "exact",
+) -> DataFrame:
+    """``estimate`` from sums per patient."""
+    cell = list(cell)
     points = sums.groupBy(*cell).agg(
-        (F.sum("total") / F.sum("values")).alias("value"), F.count("*").alias("n")
+        F.try_divide(F.sum("total"), F.sum("values")).alias("value"),
+        F.count_if(F.col("values") > 0).alias("n"),
+        F.sum("measured").alias("n_measurements"),
     )
     means = {"exact": replicate_means, "poisson": poisson_means}[method]
     tails = interval(means(sums, cell, patient, boot), cell, boot)
-    measured = rows.groupBy(*cell).agg(F.count("*").alias("n_measurements"))
     single = F.col("n") == 1
-    return (
-        measured.join(points, cell, "left")
-        .join(tails, cell, "left")
-        .select(
-            *cell,
-            "value",
-            F.when(single, F.col("value")).otherwise(F.col("ci_low")).alias("ci_low"),
-            F.when(single, F.col("value")).otherwise(F.col("ci_high")).alias("ci_high"),
-            F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
-            "n_measurements",
-        )
+    return points.join(tails, cell, "left").select(
+        *cell,
+        "value",
+        F.when(single, F.col("value")).otherwise(F.col("ci_low")).alias("ci_low"),
+        F.when(single, F.col("value")).otherwise(F.col("ci_high")).alias("ci_high"),
+        "n",
+        "n_measurements",
     )
 
 
@@ -195,7 +224,7 @@ def joint_difference(
     Each stratum is resampled at its fixed size and a shared patient is drawn once for both arms.
     """
     cell = list(cell)
-    members = strata(held, ref, cell, patient)
+    members = cut_lineage(strata(held, ref, cell, patient))
     inner = [*cell, "stratum"]
     totals = members.groupBy(*cell).agg(
         F.count("held").alias("n_held"),
@@ -203,8 +232,7 @@ def joint_difference(
         F.avg("held").alias("_mean_held"),
         F.avg("ref").alias("_mean_ref"),
     )
-    ind = indexed(members, inner, patient).select(*inner, "idx", "held", "ref")
-    drawn = draws(sizes_of(members, inner), inner, boot, F.col("stratum")).join(ind, [*inner, "idx"])
+    drawn = drawn_members(members, inner, patient, boot, F.col("stratum"), ["held", "ref"])
     sums = drawn.groupBy(*cell, "replicate").agg(
         F.sum("held").alias("h"), F.sum("ref").alias("r")
     )
@@ -229,9 +257,8 @@ def independent_difference(
     cell = list(cell)
     sides = {}
     for name, rows in (("held", held), ("ref", ref)):
-        sums = cluster_sums(rows, cell, patient, "value")
-        members = indexed(sums, cell, patient).select(*cell, "idx", "total", "values")
-        drawn = draws(sizes_of(sums, cell), cell, boot, name).join(members, [*cell, "idx"])
+        sums = counted(cluster_sums(rows, cell, patient, "value"))
+        drawn = drawn_members(sums, cell, patient, boot, name, ["total", "values"])
         reps = drawn.groupBy(*cell, "replicate").agg(
             (F.sum("total") / F.sum("values")).alias(name)
         )

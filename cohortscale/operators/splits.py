@@ -201,7 +201,7 @@ def split_flow(split: DataFrame, vendors: Sequence[str]) -> DataFrame:
     return (
         split.groupBy("fold_id", "bucket")
         .pivot("vendor", list(vendors))
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .fillna(0)
         .withColumn("patients", sum((F.col(v) for v in vendors[1:]), F.col(vendors[0])))
     )
