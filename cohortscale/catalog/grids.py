@@ -82,10 +82,10 @@ def d4(v):
     "D5_forward_intensities",
     with_ctes(LATTICE, MANIFEST, HEIGHTS_SQL)
     + """, px AS (SELECT sample_id, z, y, x, max(price) AS value FROM lattice_lines GROUP BY ALL),
-    at AS (SELECT sample_id, h, i, greatest(0.0::DOUBLE, (i + 0.5::DOUBLE) * h / h2 - 0.5::DOUBLE) AS src
+    pos AS (SELECT sample_id, h, i, greatest(0.0::DOUBLE, (i + 0.5::DOUBLE) * h / h2 - 0.5::DOUBLE) AS src
       FROM heights, LATERAL (SELECT unnest(range(h2))::INTEGER AS i) q),
-    taps AS (SELECT sample_id, i, floor(src)::INTEGER AS y, 1 - (src - floor(src)) AS w FROM at
-      UNION ALL SELECT sample_id, i, least(floor(src)::INTEGER + 1, h - 1), src - floor(src) FROM at)
+    taps AS (SELECT sample_id, i, floor(src)::INTEGER AS y, 1 - (src - floor(src)) AS w FROM pos
+      UNION ALL SELECT sample_id, i, least(floor(src)::INTEGER + 1, h - 1), src - floor(src) FROM pos)
     SELECT px.sample_id, z, i AS y, x, round(sum(value * w), 4) AS value
     FROM px JOIN taps t ON t.sample_id = px.sample_id AND t.y = px.y GROUP BY ALL""",
 )
@@ -224,7 +224,7 @@ fwd AS (SELECT sample_id, cls, quantile_cont(d, 0.95::DOUBLE) AS f FROM (
 bwd AS (SELECT sample_id, cls, quantile_cont(d, 0.95::DOUBLE) AS b FROM (
   SELECT sample_id, cls, tz, ty, tx, min(d) AS d FROM pairs GROUP BY ALL) GROUP BY ALL),
 hd AS (SELECT c.sample_id, c.cls, c.p, c.r,
-  CASE WHEN c.p = 0 AND c.r = 0 THEN 0.0::DOUBLE ELSE greatest(f, b) END AS hd95
+  CASE WHEN c.p = 0 AND c.r = 0 THEN 0.0::DOUBLE ELSE greatest(fwd.f, bwd.b) END AS hd95
   FROM counts c LEFT JOIN fwd ON fwd.sample_id = c.sample_id AND fwd.cls = c.cls
   LEFT JOIN bwd ON bwd.sample_id = c.sample_id AND bwd.cls = c.cls)"""
 HD95_CTES = with_ctes(LATTICE, GRID_SQL, COUNTS_SQL, MANIFEST, _HD_SQL)

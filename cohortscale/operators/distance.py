@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortscale.operators.masks import COORDS, surface
+from cohortscale.session import cut_lineage
 
 BITS_PER_LEVEL = 2
 # All queries of a sample start at its one root box; the salt spreads that join over tasks.
@@ -121,19 +122,25 @@ def hd95(
     """
     keys = list(keys)
     cols = [*keys, *COORDS]
-    p_all, r_all = predicted.select(*cols).distinct(), reference.select(*cols).distinct()
-    p, r = surface(p_all, keys), surface(r_all, keys)
+    masks = (
+        predicted.select(*cols, F.lit("p").alias("side"))
+        .unionByName(reference.select(*cols, F.lit("r").alias("side")))
+        .distinct()
+    )
+    # Every level of both searches reads the surfaces, and they are far smaller than the masks.
+    surfaces = cut_lineage(surface(masks, [*keys, "side"]))
+    p = surfaces.filter("side = 'p'").drop("side")
+    r = surfaces.filter("side = 'r'").drop("side")
     forward = directed_percentile(nearest(p, r, spacing, keys, sample, extent_bits), keys, q, "f")
     backward = directed_percentile(nearest(r, p, spacing, keys, sample, extent_bits), keys, q, "b")
-    has_p = p_all.groupBy(*keys).agg(F.count("*").alias("np"))
-    has_r = r_all.groupBy(*keys).agg(F.count("*").alias("nr"))
+    # A mask has a surface voxel exactly when it is not empty.
+    sides = surfaces.groupBy(*keys).agg(F.count_distinct("side").alias("sides"))
     out = grid
-    for part in (has_p, has_r, forward, backward):
+    for part in (sides, forward, backward):
         out = out.join(part, keys, "left")
-    empty_p, empty_r = F.col("np").isNull(), F.col("nr").isNull()
     return out.select(
         *grid.columns,
-        F.when(empty_p & empty_r, F.lit(0.0))
-        .when(~empty_p & ~empty_r, F.greatest("f", "b"))
+        F.when(F.col("sides").isNull(), F.lit(0.0))
+        .when(F.col("sides") == 2, F.greatest("f", "b"))
         .alias("hd95"),
     )
