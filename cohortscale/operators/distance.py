@@ -17,8 +17,6 @@ from cohortscale.operators.masks import COORDS, surface
 from cohortscale.session import cut_lineage
 
 BITS_PER_LEVEL = 2
-# All queries of a sample start at its one root box; the salt spreads that join over tasks.
-ROOT_SALT = 64
 
 
 def _cell(axis: str, shift: int) -> Column:
@@ -59,10 +57,10 @@ def nearest(
 
     shifts = list(range(extent_bits, 0, -BITS_PER_LEVEL)) + [0]
     top = shifts[0]
-    salt = F.pmod(F.hash(*COORDS), F.lit(ROOT_SALT))
-    cand = todo.select(
-        "*", *[F.lit(0).cast("int").alias(f"at_{a}") for a in COORDS], salt.alias("_salt")
-    )
+    # Every query starts at the root box of its group. A group holding much of the table makes
+    # that join skewed on the query side only (a group has at most 64 boxes here), which is the
+    # case the skew join of adaptive execution splits.
+    cand = todo.select("*", *[F.lit(0).cast("int").alias(f"at_{a}") for a in COORDS])
     one_query = Window.partitionBy(*point)
     for level, shift in enumerate(shifts[1:]):
         boxes = _boxes(targets, keys, shift, shifts[level] if level else top).select(
@@ -71,11 +69,7 @@ def nearest(
             *[F.col(f"c_{a}") for a in COORDS],
             *[F.col(f"{s}_{a}") for a in COORDS for s in ("lo", "hi")],
         )
-        on = [*keys, *[f"at_{a}" for a in COORDS]]
-        if level == 0:
-            salts = F.sequence(F.lit(0), F.lit(ROOT_SALT - 1))
-            boxes, on = boxes.withColumn("_salt", F.explode(salts)), [*on, "_salt"]
-        joined = cand.join(boxes, on)
+        joined = cand.join(boxes, [*keys, *[f"at_{a}" for a in COORDS]])
         near, far = F.lit(0.0), F.lit(0.0)
         for a in COORDS:
             q, lo, hi, s = F.col(a), F.col(f"lo_{a}"), F.col(f"hi_{a}"), F.col(f"s{a}")
@@ -127,20 +121,21 @@ def hd95(
         .unionByName(reference.select(*cols, F.lit("r").alias("side")))
         .distinct()
     )
-    # Every level of both searches reads the surfaces, and they are far smaller than the masks.
+    # Every level of the search reads the surfaces, and they are far smaller than the masks.
     surfaces = cut_lineage(surface(masks, [*keys, "side"]))
-    p = surfaces.filter("side = 'p'").drop("side")
-    r = surfaces.filter("side = 'r'").drop("side")
-    forward = directed_percentile(nearest(p, r, spacing, keys, sample, extent_bits), keys, q, "f")
-    backward = directed_percentile(nearest(r, p, spacing, keys, sample, extent_bits), keys, q, "b")
+    # Both directions are one search: a target serves the queries of the other side.
+    other = F.when(F.col("side") == "p", F.lit("r")).otherwise(F.lit("p"))
+    found = nearest(
+        surfaces, surfaces.withColumn("side", other), spacing, [*keys, "side"], sample, extent_bits
+    )
+    directed = directed_percentile(found, [*keys, "side"], q, "mm")
+    worst = directed.groupBy(*keys).agg(F.max("mm").alias("mm"))
     # A mask has a surface voxel exactly when it is not empty.
     sides = surfaces.groupBy(*keys).agg(F.count_distinct("side").alias("sides"))
-    out = grid
-    for part in (sides, forward, backward):
-        out = out.join(part, keys, "left")
+    out = grid.join(sides, keys, "left").join(worst, keys, "left")
     return out.select(
         *grid.columns,
         F.when(F.col("sides").isNull(), F.lit(0.0))
-        .when(F.col("sides") == 2, F.greatest("f", "b"))
+        .when(F.col("sides") == 2, F.col("mm"))
         .alias("hd95"),
     )
