@@ -11,6 +11,9 @@ MODULES = (
     "cohorts",
     "grids",
     "estimates",
+    "reports",
+    "selection",
+    "reconciliation",
 )
 
 

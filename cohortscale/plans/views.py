@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscale.operators import masks, splits
+from cohortscale.plans.ordered import running
 from cohortscale.session import cut_lineage
 
 CLASSES = ("A", "N", "R")
@@ -197,6 +198,13 @@ class Views:
             "props",
         )
 
+    @cached_property
+    def epochs(self) -> DataFrame:
+        """The log numbered per run from 0 in time order; hours are the buckets of a long run."""
+        hours = self.log.withColumn("_hour", F.floor(F.unix_micros("ts") / 3_600_000_000))
+        out = running(hours, ["run"], "_hour", ["ts", "event_id"], {"epoch": ("sum", F.lit(1), False)})
+        return out.drop("_hour")
+
     @cached_property
     def arms_fixed(self) -> DataFrame:
         """``arms`` written once for reports that read it many times."""
