@@ -14,6 +14,8 @@ MODULES = (
     "reports",
     "selection",
     "reconciliation",
+    "privacy",
+    "logs",
 )
 
 

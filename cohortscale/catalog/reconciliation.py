@@ -79,8 +79,8 @@ def g3(v):
     return reconcile.population_gate(v.per_volume, candidate(v), KEYS)
 
 
-_SHA = """entries AS (SELECT sample_id AS patient_id, 'map-' || sample_id AS file,
-  sha256(string_agg(cls || ':' || z || ':' || y || ':' || x, ',' ORDER BY cls || ':' || z || ':' || y || ':' || x)) AS sha256 FROM pred GROUP BY sample_id)"""
+_SHA = """slices AS (SELECT sample_id, z, count(*) AS voxels, sha256(string_agg(cls || ':' || y || ':' || x, ',' ORDER BY cls || ':' || y || ':' || x)) AS h FROM pred GROUP BY ALL),
+entries AS (SELECT sample_id AS patient_id, 'map-' || sample_id AS file, sha256(string_agg(z || '=' || h, ',' ORDER BY z)) AS sha256, sum(voxels)::BIGINT AS voxels FROM slices GROUP BY sample_id)"""
 
 
 @query(

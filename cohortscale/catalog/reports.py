@@ -265,7 +265,7 @@ def e30(v):
     "T1_formatted_estimates",
     with_ctes(ARMS)
     + """, e AS (SELECT run, cls, arm, round(avg(dice), 6) AS value, round(min(dice), 6) AS lo, round(max(dice), 6) AS hi, count(*) AS n,
-      CASE WHEN cls = 'A' THEN 1 ELSE count(*) END AS k FROM arms GROUP BY ALL)
+      CASE WHEN cls = 'A' THEN 1 ELSE count(*) END AS k FROM arms GROUP BY run, cls, arm)
     SELECT run, cls, arm, CASE WHEN k = 1 THEN printf('%.4f', value) || ' (single patient, no spread) n=1'
       ELSE printf('%.4f [%.4f, %.4f] n=', value, lo, hi) || k END AS estimate,
       printf('%+.4f [%+.4f, %+.4f]', value - 0.5::DOUBLE, lo - 0.5::DOUBLE, hi - 0.5::DOUBLE) AS difference,

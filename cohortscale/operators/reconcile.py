@@ -185,7 +185,7 @@ def _short_runs(text: Column, size: int) -> Column:
 
 def whole_pattern(statement: Column) -> Column:
     """The statement as a pattern that is no part of a longer word or number."""
-    head, tail = F.substring(statement, 1, 1), F.expr("right(_s, 1)")
+    head, tail = F.left(statement, F.lit(1)), F.right(statement, F.lit(1))
     before = (
         F.when(head.rlike(r"^\d$"), F.lit(r"(?<![\w.])"))
         .when(head.rlike(r"(?U)^[\p{L}\p{N}]$"), F.lit(r"(?<!\w)"))
@@ -227,7 +227,7 @@ def contained_statements(statements: DataFrame, documents: DataFrame) -> DataFra
     )
     candidates = rarest.join(hits, "run").select("statement_id", "doc_id")
     texts = candidates.join(d, "doc_id").join(s, "statement_id")
-    return texts.filter(F.col("_t").rlike(whole_pattern(F.col("_s")))).select("statement_id", "doc_id")
+    return texts.filter(F.rlike(F.col("_t"), whole_pattern(F.col("_s")))).select("statement_id", "doc_id")
 
 
 def missing_statements(statements: DataFrame, documents: DataFrame) -> DataFrame:
