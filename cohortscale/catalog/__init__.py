@@ -16,6 +16,7 @@ MODULES = (
     "reconciliation",
     "privacy",
     "logs",
+    "files",
 )
 
 

@@ -192,7 +192,7 @@ def g8(v):
 
 @query(
     "G8_missing_statements",
-    with_ctes(_STATEMENTS) + f"SELECT statement_id FROM sn WHERE NOT EXISTS (SELECT 1 FROM dn WHERE contains(t, s) AND {_HIT})",
+    with_ctes(_STATEMENTS) + f"SELECT statement_id FROM sn WHERE statement_id NOT IN (SELECT statement_id FROM sn JOIN dn ON contains(t, s) WHERE {_HIT})",
 )
 def g8_missing(v):
     return reconcile.missing_statements(statements(v), v.table("documents"))

@@ -11,7 +11,6 @@ from cohortscale.functions.text import collapse_spaces
 from cohortscale.session import cut_lineage
 
 ABSENT = "<absent>"
-SHINGLE = 3
 WORD = r"([\p{L}\p{N}]+)"
 
 
@@ -163,24 +162,20 @@ def table_differences(generated: DataFrame, published: DataFrame, keys: Sequence
     return g.join(p, on, "full").withColumn("problem", problem).filter("problem IS NOT NULL")
 
 
-def _shingles(text: Column) -> Column:
-    """Runs of up to three words; a text of fewer words is one run."""
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(1))
-    n = F.size(words)
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))),
-        lambda i: F.array_join(F.slice(words, i, F.lit(SHINGLE)), " "),
+def _word_runs(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n_words, one, two, three): the runs of one, two and three words from every word on."""
+    words = rows.select(key, F.regexp_extract_all(text, F.lit(WORD), F.lit(1)).alias("_w"))
+    w, n = F.col("_w"), F.size("_w")
+    shifted = F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), n).alias("b"), F.slice(w, F.lit(3), n).alias("c"))
+    at = words.select(key, n.alias("n_words"), F.explode(shifted).alias("z"))
+    a, b, c = (F.col(f"z.{k}") for k in ("a", "b", "c"))
+    return at.select(
+        key,
+        "n_words",
+        a.alias("one"),
+        F.when(b.isNotNull(), F.concat_ws(" ", a, b)).alias("two"),
+        F.when(c.isNotNull(), F.concat_ws(" ", a, b, c)).alias("three"),
     )
-    return F.array_distinct(F.when(n > 0, runs).otherwise(F.array().cast("array<string>")))
-
-
-def _short_runs(text: Column, size: int) -> Column:
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(1))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1))),
-        lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "),
-    )
-    return F.array_distinct(F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<string>")))
 
 
 def whole_pattern(statement: Column) -> Column:
@@ -206,18 +201,18 @@ def contained_statements(statements: DataFrame, documents: DataFrame) -> DataFra
     """
     s = statements.select("statement_id", collapse_spaces(F.col("statement")).alias("_s"))
     d = documents.select("doc_id", collapse_spaces(F.col("text")).alias("_t"))
-    s_runs = s.select("statement_id", F.explode(_shingles(F.col("_s"))).alias("run"))
-    d_runs = d.select(
-        "doc_id",
-        F.explode(
-            F.array_union(
-                F.array_union(_shingles(F.col("_t")), _short_runs(F.col("_t"), 1)),
-                _short_runs(F.col("_t"), 2),
-            )
-        ).alias("run"),
+    longest = (
+        F.when(F.col("n_words") >= 3, F.col("three")).when(F.col("n_words") == 2, F.col("two")).otherwise(F.col("one"))
+    )
+    s_runs = (
+        _word_runs(s, "statement_id", "_s").select("statement_id", longest.alias("run"))
+        .filter("run IS NOT NULL").distinct()
+    )
+    d_runs = _word_runs(d, "doc_id", "_t").select(
+        "doc_id", F.explode(F.array_compact(F.array("one", "two", "three"))).alias("run")
     )
     wanted = s_runs.select("run").distinct()
-    hits = cut_lineage(d_runs.join(wanted, "run", "left_semi"))
+    hits = cut_lineage(d_runs.join(wanted, "run", "left_semi").distinct())
     spread = hits.groupBy("run").agg(F.count("*").alias("docs"))
     rarest = (
         s_runs.join(spread, "run", "left")
