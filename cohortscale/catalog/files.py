@@ -137,14 +137,17 @@ def volume_files(v):
     code = F.when(F.col("cls") == "A", 1).when(F.col("cls") == "N", 2).otherwise(3)
     at = F.col("z") * 256 + F.col("y") * 16 + F.col("x")
     labels = v.lattice("ref").groupBy("sample_id", at.alias("at")).agg(F.max(code).alias("label"))
-    cells = labels.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "label"))).alias("m"))
-    byte = F.transform(
-        F.sequence(F.lit(0), F.lit(7 * 256 - 1)),
-        lambda i: F.lpad(F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("string"), 2, "0"),
+    cells = labels.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("set"))
+    # Two hex digits per voxel: zeros up to each set voxel, then its label.
+    body = F.aggregate(
+        "set",
+        F.lit(""),
+        lambda text, c: F.concat(F.rpad(text, c["at"] * 2, "0"), F.lit("0"), c["label"].cast("string")),
     )
+    payload = F.unhex(F.rpad(body, 7 * 256 * 2, "0"))
     folder = F.concat(F.lit("/data/vol-"), F.col("sample_id").cast("string"))
     payloads = cells.select(
-        F.concat(folder, F.lit("/reference.raw")).alias("path"), F.unhex(F.array_join(byte, "")).alias("content")
+        F.concat(folder, F.lit("/reference.raw")).alias("path"), payload.alias("content")
     )
     text = F.concat_ws(
         "\n", F.lit("ObjectType = Image"), F.lit("NDims = 3"), F.lit("BinaryDataByteOrderMSB = False"),

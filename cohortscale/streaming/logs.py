@@ -159,7 +159,7 @@ def patience_step(run: Sequence[str], metric: str = "val_dice"):
         if carried is None:
             none = F.lit(None)
             joined = rows.select(
-                "*", none.cast("double").alias("_best"), none.cast("bigint").alias("_at"),
+                "*", none.cast("double").alias("_best"), none.cast("bigint").alias("_best_at"),
                 F.lit(0).cast("bigint").alias("_since"), none.cast("bigint").alias("_last"),
             )
         else:
@@ -173,7 +173,7 @@ def patience_step(run: Sequence[str], metric: str = "val_dice"):
         done = after.select(
             *run, "epoch", metric, "late",
             F.when(better, F.col("best_metric")).otherwise(F.col("_best")).alias("best_metric"),
-            F.when(better & F.col("_rise").isNotNull(), F.col("_rise")).otherwise(F.coalesce("_at", F.lit(-1))).alias("best_epoch"),
+            F.when(better & F.col("_rise").isNotNull(), F.col("_rise")).otherwise(F.coalesce("_best_at", F.lit(-1))).alias("best_epoch"),
             F.when(better & F.col("_rise").isNotNull(), F.col("_n") - F.col("_n_rise")).otherwise(F.col("_since") + F.col("_n")).alias("since_improvement"),
             "improved_now",
         )
@@ -185,7 +185,7 @@ def patience_step(run: Sequence[str], metric: str = "val_dice"):
         newest = done.groupBy(*run).agg(
             F.max(F.struct("epoch", "best_metric", "best_epoch", "since_improvement")).alias("s")
         ).select(
-            *run, F.col("s.best_metric").alias("_best"), F.col("s.best_epoch").alias("_at"),
+            *run, F.col("s.best_metric").alias("_best"), F.col("s.best_epoch").alias("_best_at"),
             F.col("s.since_improvement").alias("_since"), F.col("s.epoch").cast("bigint").alias("_last"),
         )
         if carried is not None:
