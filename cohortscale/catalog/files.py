@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortscale.catalog.base import BOOT, CLASSES, query
+from cohortscale.catalog.base import query
 from cohortscale.catalog.estimates import CUBE_BOOT, _ARM_EST, rounded
 from cohortscale.catalog.logs import as_access_log, as_telemetry, event_stream
 from cohortscale.catalog.sql import ARMS, LATTICE, MANIFEST, PER_VOLUME, SPLIT, with_ctes
 from cohortscale.operators import bootstrap
 from cohortscale.schemas import RECORD, TELEMETRY
-from cohortscale.session import scratch_path
+from cohortscale.session import scratch_path, width
 from cohortscale.sources import logfiles, manifest, maskstore, records, volumes
 from cohortscale.streaming import logs as stream
 
@@ -148,7 +148,7 @@ def volume_files(v):
     folder = F.concat(F.lit("/data/vol-"), F.col("sample_id").cast("string"))
     payloads = cells.select(
         F.concat(folder, F.lit("/reference.raw")).alias("path"), payload.alias("content")
-    )
+    ).repartition(width(v.spark), "path")  # as a file source is: spread over its files
     text = F.concat_ws(
         "\n", F.lit("ObjectType = Image"), F.lit("NDims = 3"), F.lit("BinaryDataByteOrderMSB = False"),
         F.lit("CompressedData = False"), F.lit("ElementSpacing = 0.0117 0.002 0.047"), F.lit("DimSize = 16 16 7"),
