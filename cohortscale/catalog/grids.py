@@ -47,6 +47,18 @@ def d1(v):
     return w.select("sample_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
+@query(
+    "D1_intensity_window_ranked",
+    """SELECT l_returnflag AS sample_id, round(quantile_cont(l_extendedprice, 0.01::DOUBLE), 6) AS low,
+       round(quantile_cont(l_extendedprice, 0.99::DOUBLE), 6) AS high FROM lineitem GROUP BY 1""",
+)
+def d1_ranked(v):
+    """Three volumes hold everything: each is spread over tasks."""
+    pixels = v.table("lineitem").select(F.col("l_returnflag").alias("sample_id"), F.col("l_extendedprice").alias("value"))
+    w = regrid.ranked_intensity_window(pixels, ["sample_id"])
+    return w.select("sample_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
 @query(
     "D2_apply_window",
     with_ctes(LATTICE)

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortscale.plans.ordered import percentiles
+
 WINDOW_PERCENTILES = (0.01, 0.99)
 
 
@@ -29,6 +31,12 @@ def intensity_window(pixels: DataFrame, keys: Sequence[str], value: str = "value
     )
 
 
+def ranked_intensity_window(pixels: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """The same window, exact, for float volumes whose distinct values are too many for one task."""
+    low, high = WINDOW_PERCENTILES
+    return percentiles(pixels, keys, value, {"low": low, "high": high})
+
+
 def approx_intensity_window(
     pixels: DataFrame, keys: Sequence[str], value: str = "value", accuracy: int = 10000
 ) -> DataFrame:

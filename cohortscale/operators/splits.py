@@ -207,17 +207,20 @@ def split_flow(split: DataFrame, vendors: Sequence[str]) -> DataFrame:
     )
 
 
-def split_document(split: DataFrame) -> DataFrame:
-    """One row per fold with the sorted patient list of every bucket, the form saved as JSON.
+def split_documents(split: DataFrame, per_document: int = 100_000) -> DataFrame:
+    """Per fold, the sorted patient list of every bucket: the form saved as JSON.
 
-    A list is as long as its bucket: meant for cohorts whose split fits one document. Larger
-    ones stay in the long table.
+    A fold of up to ``per_document`` patients is one document. A larger one is cut by patient
+    hash into as many as it needs, each with the same fields, so no row holds a whole cohort.
     """
+    largest = split.groupBy("fold_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = max(1, -(-largest // per_document))
     lists = [
         F.sort_array(F.collect_list(F.when(F.col("bucket") == b, F.col("patient_id")))).alias(b)
         for b in BUCKETS
     ]
-    return split.groupBy("fold_id", "held_out_vendor", "seed").agg(*lists)
+    part = F.pmod(F.xxhash64("patient_id"), F.lit(parts)).alias("_part")
+    return split.groupBy("fold_id", "held_out_vendor", "seed", part).agg(*lists).drop("_part")
 
 
 def epoch_order(items: DataFrame, seed: int, epochs: Sequence[int], key: str) -> DataFrame:

@@ -91,3 +91,31 @@ def hash_ranked(
     tagged = df.withColumn("_hash", hashed).withColumn("_part", F.substring("_hash", 1, digits))
     out = running(tagged, keys, "_part", ["_hash", *tie], {name: ("sum", F.lit(1), True)})
     return out.drop("_part", "_hash")
+
+
+def percentiles(
+    df: DataFrame, keys: Sequence[str], value: str, tails: Mapping[str, float]
+) -> DataFrame:
+    """Exact percentiles, linear between ranks, of groups of any size and any number of values.
+
+    Equal values are counted, the counts are ranked, and only the two neighbours of each wanted
+    position are kept. ``tails`` maps a new column to its fraction.
+    """
+    keys = list(keys)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
+        F.count("*").alias("_n")
+    )
+    placed = range_bucket(counts, [*keys, "_v"])
+    totals = placed.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    rows = running(placed, keys, "_part", ["_v"], {"_from": ("sum", "_n", False)}).join(totals, keys)
+    picks, out = [], []
+    for name, q in tails.items():
+        at = F.lit(q) * (F.col("_total") - 1)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            here = (F.col("_from") <= rank) & (rank < F.col("_from") + F.col("_n"))
+            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{name}_{side}"))
+        place = F.lit(q) * (F.col("_total") - 1)
+        share = place - F.floor(place)
+        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        out.append((low + (high - low) * share).alias(name))
+    return rows.groupBy(*keys, "_total").agg(*picks).select(*keys, *out)

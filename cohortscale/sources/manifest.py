@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscale.operators.splits import BUCKETS, split_document
+from cohortscale.operators.splits import BUCKETS, split_documents
 from cohortscale.operators.validate import ValidationError, assert_empty, missing_fields
 from cohortscale.schemas import REQUIRED_VOLUME_FIELDS, SPLIT_JSON_FIELDS, VOLUME, struct
 
@@ -44,9 +44,10 @@ def save_manifest(manifest: DataFrame, path: str) -> None:
     manifest.select(*columns).orderBy("vendor", "patient_id").write.mode("errorifexists").json(path)
 
 
-def save_split(split: DataFrame, path: str) -> None:
-    """One JSON document per fold with sorted fields and sorted patient lists."""
-    docs = split_document(split.withColumn("patient_id", F.col("patient_id").cast("string")))
+def save_split(split: DataFrame, path: str, per_document: int = 100_000) -> None:
+    """JSON documents per fold with sorted fields and sorted patient lists."""
+    named = split.withColumn("patient_id", F.col("patient_id").cast("string"))
+    docs = split_documents(named, per_document)
     names = sorted(SPLIT_JSON_FIELDS)
     docs.select(F.to_json(F.struct(*names)).alias("value")).write.mode("errorifexists").text(path)
 

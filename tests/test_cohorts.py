@@ -93,3 +93,18 @@ def test_assert_empty_names_the_violation(spark):
         validate.assert_empty(validate.missing_fields(rows, ["shape"], "sample_id"), "manifest")
     with pytest.raises(validate.ValidationError, match="spacing"):
         validate.missing_fields(rows, ["spacing"], "sample_id")
+
+
+def test_split_documents_are_cut_when_a_fold_is_large(spark, tmp_path):
+    from cohortscale.sources import manifest as files
+
+    m = manifest(spark, 20)
+    split = splits.leave_one_vendor_out(m, VENDORS, 0.15, seed=3)
+    for per_document, documents in ((100_000, 3), (10, None)):
+        path = str(tmp_path / f"splits-{per_document}")
+        files.save_split(split, path, per_document)
+        n = spark.read.text(path).count()
+        assert n == documents if documents else n > 3
+        back = files.load_split(spark, path)
+        want = split.select("fold_id", "bucket", "patient_id", "held_out_vendor", "seed")
+        assert back.exceptAll(want).isEmpty() and back.count() == want.count()

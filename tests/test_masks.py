@@ -129,3 +129,5 @@ def test_window_percentiles_match_numpy(spark):
     row = regrid.intensity_window(px, ["sample_id"]).first()
     low, high = np.percentile(values, [1, 99])
     assert (row.low, row.high) == (low, high)
+    spread = regrid.ranked_intensity_window(px.repartition(6), ["sample_id"]).first()
+    assert (spread.low, spread.high) == pytest.approx((low, high), abs=1e-9)
