@@ -33,12 +33,14 @@ def pair(predicted: DataFrame, reference: DataFrame, keys: Sequence[str]) -> Dat
     )
 
 
-def overlap_counts(paired: DataFrame, keys: Sequence[str]) -> DataFrame:
+def overlap_counts(paired: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """Voxels of each side and of both; ``more`` aggregates are taken in the same pass."""
     p, r = F.col("predicted"), F.col("reference")
     return paired.groupBy(*keys).agg(
         F.count_if(p).alias("predicted_voxels"),
         F.count_if(r).alias("reference_voxels"),
         F.count_if(p & r).alias("both_voxels"),
+        *more,
     )
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from cohortscale.operators import masks, splits
 from cohortscale.plans.ordered import running
-from cohortscale.session import cut_lineage
 
 CLASSES = ("A", "N", "R")
 VENDORS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -74,11 +73,10 @@ class Views:
     def per_volume(self) -> DataFrame:
         """One row per sample and class: counts, Dice, presence and score."""
         keys = ["sample_id", "cls"]
-        v = self.case_voxels
-        counts = masks.overlap_counts(v, keys)
-        scores = v.filter("predicted").groupBy(*keys).agg(F.max("price").alias("score"))
+        score = F.max(F.when(F.col("predicted"), F.col("price"))).alias("score")
+        counts = masks.overlap_counts(self.case_voxels, keys, score)
         grid = masks.class_grid(self.samples, CLASSES)
-        full = masks.with_dice(masks.on_grid(counts, grid, keys)).join(scores, keys, "left")
+        full = masks.with_dice(masks.on_grid(counts, grid, keys))
         return full.withColumn("reference_present", F.col("reference_voxels") > 0)
 
     @cached_property
@@ -205,11 +203,6 @@ class Views:
         out = running(hours, ["run"], "_hour", ["ts", "event_id"], {"epoch": ("sum", F.lit(1), False)})
         return out.drop("_hour")
 
-    @cached_property
-    def arms_fixed(self) -> DataFrame:
-        """``arms`` written once for reports that read it many times."""
-        return cut_lineage(self.arms)
-
 
 def spacing_of(vendor: Column, key: Column) -> Column:
     """Vendor spacing, varied a little by key so that a vendor has a range."""
