@@ -8,8 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscale.llm import byte_bpe, contamination, hilbert, unit_dedup
-from cohortscale.llm.rows import table
+from cohortscale.llm import (
+    byte_bpe,
+    contamination,
+    hilbert,
+    quality_kernel,
+    quality_ngrams,
+    unit_dedup,
+)
+from cohortscale.llm.rows import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +27,21 @@ def query(fn):
     return fn
 
 
+#: Probability of label 1 from which a document is good.
+GOOD_AT = 0.3
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality labels as review verdicts."""
+    return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("accepted"))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality_kernel.KernelModel:
+    """Learned from the labelled documents that are not held out."""
+    learned = verdicts(spark, sf_dir).filter(~held_out(F.col("doc_id"), 5))
+    return quality_kernel.fit_verdicts(table(spark, sf_dir, "documents"), learned)
+
+
 def sealed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's items as statements no document may hold."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("statement_id"), F.col("text").alias("statement"))
@@ -35,6 +57,24 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_kernel.score_verdicts(documents, quality_model(spark, sf_dir))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id"), 5).alias("held_out"),
+        "score",
+        (F.col("score") >= GOOD_AT).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_ngrams.apply_rules(documents, quality_ngrams.fit_rules(documents, verdicts(spark, sf_dir)))
+
+
 def encoded_digests(spark: SparkSession, documents: DataFrame) -> DataFrame:
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = byte_bpe.encode_documents(documents, ranks, public_tokenizers.PATTERN)

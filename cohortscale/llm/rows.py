@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +36,19 @@ def held_out(doc_id: Column, every: int) -> Column:
     A document without an id counts as if its id were the empty text.
     """
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % every == 0
+
+
+# What Python calls white space besides the blanks.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_ASCII_LOWER = str.maketrans(UPPER, LOWER)
+
+
+def split_blanks(text: str) -> list[str]:
+    """The words of a text: what stands between blanks, as ``[^BLANKS]+`` matches."""
+    return _WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
+
+
+def lower_ascii(text: str) -> str:
+    """``ascii_lower`` inside a task."""
+    return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)

@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscale.llm import catalog, contamination, unit_dedup
+from cohortscale.llm import catalog, contamination, quality_kernel, unit_dedup
 from cohortscale.llm.rows import table
 from cohortscale.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    scored = quality_kernel.score_verdicts(docs, catalog.quality_model(spark, sf_dir))
+    return scored.filter(F.col("score") >= catalog.GOOD_AT).drop("score")
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut; every document stays."""
     return unit_dedup.remove_repeated_units(docs).drop("removed")
@@ -30,6 +36,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
     ("substring_dedup", substring_dedup),
     ("decontamination", decontamination),
     ("encoding", encoding),
