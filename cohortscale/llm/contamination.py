@@ -7,83 +7,122 @@ from pyspark.sql import functions as F
 
 from cohortscale.llm.rows import ascii_lower, row_key
 
-# Fixed value: a word is ASCII letters and digits, and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# The same words before lower-casing, each with what stands before it; then what ends the text.
-PIECE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++|[\x00-\x7F]++"
+# Words are ASCII letters and digits, and everything beyond ASCII; these stand between.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+# A word with what stands before it; then what ends the text.
+PIECE = rf"{BETWEEN}*+[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++|[\x00-\x7F]++"
 #: Words of a window.
 WINDOW = 13
 #: Bytes of window words up to which the set of windows is sent to every task.
 BROADCAST_BYTES = 64 << 20
 
 
-def words(text: Column) -> Column:
-    """The normalised words of a text; none for NULL."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+def with_words(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the words of a text as they stand, before lower-casing; none for NULL."""
+    cut = rows.withColumn("_cut", F.split(F.coalesce(F.col(text), F.lit("")), f"{BETWEEN}+"))
+    first = (F.element_at("_cut", 1) == "").cast("int")
+    last = (F.element_at("_cut", -1) == "").cast("int")
+    n = F.greatest(F.size("_cut") - first - last, F.lit(0))
+    return cut.withColumn(name, F.slice("_cut", first + 1, n)).drop("_cut")
+
+
+def normalised(words: Column) -> Column:
+    return F.transform(words, ascii_lower)
 
 
 def statement_windows(statements: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(length, window, items): distinct word windows of the statements and whose they are.
+    """(length, window, items): distinct normalised word windows of the statements and whose they are.
 
     A statement of fewer words than ``window``, but not none, is one window.
     """
     size = F.size("w")
     length = F.least(size, F.lit(window))
-    spots = statements.select(F.col("statement_id").cast("string").alias("item"), words(F.col("statement")).alias("w")).filter(
-        size > 0
-    )
+    spots = with_words(statements, "statement", "w").filter(size > 0)
     each = spots.select(
-        "item", length.alias("length"), "w", F.explode(F.sequence(F.lit(1), size - length + 1)).alias("at")
+        F.col("statement_id").cast("string").alias("item"),
+        normalised(F.col("w")).alias("w"),
+        length.alias("length"),
+        F.explode(F.sequence(F.lit(1), size - length + 1)).alias("at"),
     ).select("item", "length", F.slice("w", F.col("at"), F.col("length")).alias("window"))
     return each.groupBy("length", "window").agg(F.collect_set("item").alias("items"))
 
 
-def _scan(documents: DataFrame, lengths: list[int]) -> DataFrame:
-    """(row, w, hash, start, length): the hash of every word window of every document."""
-    tokens = documents.select(*row_key("doc_id", "text"), words(F.col("text")).alias("w"))
+def _anchored(windows: DataFrame) -> DataFrame:
+    """(anchor, offset, length, window, items): each window under the hash of its longest word."""
+    longest = F.array_max(
+        F.transform("window", lambda x, i: F.struct(F.length(x), F.xxhash64(x), (-i).alias("back"), x.alias("word")))
+    )
+    at = windows.withColumn("_longest", longest)
+    return at.select(
+        F.xxhash64(F.lower("_longest.word")).alias("anchor"), (-F.col("_longest.back")).alias("offset"), "length", "window", "items"
+    )
 
-    def hashes(n: int) -> Column:
-        each = F.transform(
-            "w",
-            lambda _, i: F.struct(
-                F.xxhash64(F.lit(n), F.slice("w", i + 1, F.lit(n))).alias("hash"),
-                (i + 1).alias("start"),
-                F.lit(n).alias("length"),
-            ),
-        )
-        return F.slice(each, F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(0)))
 
-    spots = tokens.select("_row_a", "_row_b", "w", F.explode(F.concat(*map(hashes, lengths))).alias("z"))
-    return spots.select("_row_a", "_row_b", "w", "z.hash", "z.start", "z.length")
+def _matches(w: Column, at: Column, c: Column) -> Column:
+    """Whether the words around position ``at`` are the window ``c``, word for word."""
+    start = at - c["offset"]
+    inside = (start >= 0) & (start + c["length"] <= F.size(w))
+    return inside & (normalised(F.slice(w, F.greatest(start, F.lit(0)) + 1, c["length"])) == c["window"])
 
 
-def window_hits(
-    documents: DataFrame, statements: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """(row, start, length, items) for every occurrence of a statement's window in a document.
+def _scan(documents: DataFrame, statements: DataFrame, window: int, broadcast_bytes: int) -> DataFrame:
+    """(row, doc_id, n_words, base, start, length, items): the hits, and a base row for each row.
 
-    The windows are a hash set that is sent to every task if its measured bytes allow, so texts
-    are scanned where they are read; beyond that, windows meet by a shuffle. A hash that meets is
-    verified word for word.
+    Every word of the documents is looked up by hash in the set of anchors, and where one meets,
+    the whole window is verified. The set is sent to every task if its measured bytes allow, so
+    texts are scanned where they are read; beyond that, words and anchors meet by a shuffle.
     """
-    wanted = statement_windows(statements, window)
-    stats = wanted.groupBy("length").agg(F.sum(F.length(F.array_join("window", " ")) * 4 + F.size("items") * 24)).collect()
-    lengths = sorted(r[0] for r in stats) or [window]
-    wanted = wanted.withColumn("hash", F.xxhash64("length", "window")).withColumnRenamed("length", "_length")
-    spots = _scan(documents, lengths)
-    if sum(r[1] for r in stats) <= broadcast_bytes:
-        same = (spots["hash"] == wanted["hash"]) & (
-            F.slice(spots["w"], spots["start"], spots["length"]) == wanted["window"]
+    windows = statement_windows(statements, window)
+    used = windows.agg(F.sum(F.length(F.array_join("window", " ")) * 4 + F.size("items") * 24 + 64)).first()[0] or 0
+    anchors = _anchored(windows).groupBy("anchor").agg(F.collect_list(F.struct("offset", "length", "window", "items")).alias("wins"))
+    rows = with_words(documents.select("doc_id", "text", *row_key("doc_id", "text")), "text", "w").drop("text")
+    spots = rows.select("*", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("at", "word"))
+    spots = spots.withColumn("hash", F.xxhash64(F.lower("word"))).withColumn("base", F.coalesce(F.col("at") == 0, F.lit(True)))
+    keys = ["_row_a", "_row_b", "doc_id", "n_words"]
+    if used <= broadcast_bytes:
+        met = spots.join(F.broadcast(anchors), spots["hash"] == anchors["anchor"], "left")
+        # Only what stands around an anchor goes on, so the words of a text are not copied with it.
+        left = F.greatest(F.col("at") - (window - 1), F.lit(0))
+        near = met.filter("anchor IS NOT NULL OR base").select(
+            *keys, "base", "at", (F.col("at") - left).alias("here"), F.slice("w", left + 1, F.lit(2 * window - 1)).alias("near"), "wins"
         )
-        found = spots.join(F.broadcast(wanted), same)
+        hits = F.filter("wins", lambda c: _matches(F.col("near"), F.col("here"), c))
+        each = near.select(*keys, "base", "at", F.posexplode_outer(hits).alias("i", "c")).filter("base OR c IS NOT NULL")
+        each = each.withColumn("base", F.col("base") & (F.coalesce("i", F.lit(0)) == 0))
     else:
-        cut = spots.withColumn("window", F.slice("w", F.col("start"), F.col("length"))).drop("w")
-        found = cut.join(wanted, ["hash", "window"])
-    return found.select("_row_a", "_row_b", "start", "length", "items")
+        narrow = spots.filter("hash IS NOT NULL").select("_row_a", "_row_b", "at", "hash").distinct()
+        met = narrow.join(anchors, narrow["hash"] == anchors["anchor"]).select("_row_a", "_row_b", "at", F.explode("wins").alias("c"))
+        found = rows.dropDuplicates(["_row_a", "_row_b"]).join(met, ["_row_a", "_row_b"]).filter(_matches(F.col("w"), F.col("at"), F.col("c")))
+        bases = rows.select("_row_a", "_row_b", "doc_id", F.size("w").alias("n_words"), F.lit(True).alias("base"), F.lit(None).cast("int").alias("at"))
+        each = bases.unionByName(
+            found.select("_row_a", "_row_b", "doc_id", F.size("w").alias("n_words"), F.lit(False).alias("base"), "at", "c"), allowMissingColumns=True
+        )
+    return each.select(*keys, "base", (F.col("at") - F.col("c.offset")).alias("start"), F.col("c.length").alias("length"), F.col("c.items").alias("items"))
+
+
+def _per_row(scan: DataFrame) -> DataFrame:
+    """One row per distinct row: its copies, words, hit words and the statements that hit."""
+    order = Window.partitionBy("_row_a", "_row_b").orderBy("start", "length")
+    end = F.col("start") + F.col("length")
+    reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(reached, F.lit(0))))
+    return (
+        scan.withColumn("fresh", F.when(F.col("start").isNotNull(), fresh))
+        .groupBy("_row_a", "_row_b", "doc_id", "n_words")
+        .agg(
+            F.count_if("base").alias("copies"),
+            F.coalesce(F.sum("fresh"), F.lit(0)).cast("long").alias("n_hit"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        )
+    )
 
 
 def mark_contamination(
-    documents: DataFrame, statements: DataFrame, window: int = WINDOW, share: int = 20
+    documents: DataFrame,
+    statements: DataFrame,
+    window: int = WINDOW,
+    share: int = 20,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """How much of each document stands in sealed statements.
 
@@ -98,31 +137,26 @@ def mark_contamination(
     without an id counts as a hit of no item. No statements: nothing is hit. Other columns are
     not read.
     """
-    hits = window_hits(documents, statements, window)
-    order = Window.partitionBy("_row_a", "_row_b").orderBy("start", "length")
-    end = F.col("start") + F.col("length")
-    reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(reached, F.lit(0))))
-    per_row = (
-        hits.distinct()
-        .withColumn("fresh", fresh)
-        .groupBy("_row_a", "_row_b")
-        .agg(F.sum("fresh").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    )
-    rows = documents.select("doc_id", *row_key("doc_id", "text"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return rows.join(per_row, ["_row_a", "_row_b"], "left").select(
+    each = _per_row(_scan(documents, statements, window, broadcast_bytes))
+    hit = F.col("n_hit")
+    return each.select(
         "doc_id",
-        "n_words",
-        hit.alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.col("n_words").cast("long").alias("n_words"),
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        "items",
         ((hit > 0) & (hit * share >= F.col("n_words"))).alias("contaminated"),
-    )
+        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
+    ).drop("_copy")
 
 
 def decontaminate(
-    documents: DataFrame, statements: DataFrame, window: int = WINDOW, share: int = 20, remove: str = "documents"
+    documents: DataFrame,
+    statements: DataFrame,
+    window: int = WINDOW,
+    share: int = 20,
+    remove: str = "documents",
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``documents`` without contaminated rows, or with every hit passage cut from its text.
 
@@ -133,24 +167,12 @@ def decontaminate(
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove!r}")
     keyed = documents.select("*", *row_key("doc_id", "text"))
-    hits = window_hits(documents, statements, window)
+    hits = _scan(documents, statements, window, broadcast_bytes).filter("start IS NOT NULL").drop("doc_id")
     if remove == "documents":
-        order = Window.partitionBy("_row_a", "_row_b").orderBy("start", "length")
-        end = F.col("start") + F.col("length")
-        reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        fresh = F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(reached, F.lit(0))))
-        found = (
-            hits.select("_row_a", "_row_b", "start", "length").distinct().withColumn("_fresh", fresh)
-            .groupBy("_row_a", "_row_b").agg(F.sum("_fresh").alias("_hit_words"))
-        )
-        marked = keyed.join(found, ["_row_a", "_row_b"], "left")
-        clean = F.col("_hit_words").isNull() | (F.col("_hit_words") * share < F.size(words(F.col("text"))))
-        return marked.filter(clean).select(*documents.columns)
-    spots = F.transform(F.sequence("start", F.col("start") + F.col("length") - 1), lambda i: i)
-    found = (
-        hits.select("_row_a", "_row_b", F.explode(spots).alias("_at")).distinct()
-        .groupBy("_row_a", "_row_b").agg(F.collect_list("_at").alias("_hit_at"))
-    )
+        found = _per_row(hits.withColumn("doc_id", F.lit(None))).filter(F.col("n_hit") * share >= F.col("n_words"))
+        return keyed.join(found.select("_row_a", "_row_b"), ["_row_a", "_row_b"], "left_anti").select(*documents.columns)
+    spots = F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("length")))
+    found = hits.select("_row_a", "_row_b", spots.alias("_at")).groupBy("_row_a", "_row_b").agg(F.collect_set("_at").alias("_hit_at"))
     marked = keyed.join(found, ["_row_a", "_row_b"], "left")
     pieces = F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
     kept = F.filter(pieces, lambda _, i: ~F.array_contains("_hit_at", i + 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,10 @@ for _i, _members in enumerate(_CLASSES):
     _SUMS[list(_members), _i] = 1
 
 
+# A word that ends in a mark other than those of a sentence.
+_MARKED = re.compile(r"[#*$%&!?<>{}\[\]@^~=+\\/_|][ \n]")
+
+
 def text_statistics(text: str) -> list[float]:
     """The STATISTICS of one whole text; an empty one has zeros."""
     counts = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
@@ -35,12 +41,10 @@ def text_statistics(text: str) -> list[float]:
     p = counts[counts > 0] / n
     words = split_blanks(lower_ascii(text))
     w = max(len(words), 1)
-    seen: dict[str, int] = {}
-    for word in words:
-        seen[word] = seen.get(word, 0) + 1
+    seen = Counter(words)
     pairs = len(set(zip(words, words[1:], words[2:]))) / max(len(words) - 2, 1) if len(words) > 2 else 1.0
     lines = [line for line in text.split("\n") if line]
-    marked = sum(not word[-1].isalnum() and word[-1] not in ".,;:" for word in words)
+    marked = len(_MARKED.findall(text))
     upper, digits, blanks, stops, marks, bars, beyond = shares.tolist()
     return [
         np.log1p(len(text)), np.log1p(len(words)), np.log1p(sum(map(len, words)) / w), len(seen) / w,

@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortscale.llm.rows import lower_ascii, split_blanks
+from cohortscale.llm.rows import split_blanks
 
 #: Hash slots of each kind of n-gram: words, pairs of words, triples of bytes.
-SLOTS = 1 << 15
+SLOT_BITS = 13
+SLOTS = 1 << SLOT_BITS
 KINDS = 3
 #: Rows with a verdict that are learned from, at most.
 SAMPLE_ROWS = 20_000
@@ -25,6 +26,7 @@ LEARNERS = 8
 # Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_DOWN = np.uint64(64 - SLOT_BITS)
 _ODD = np.random.default_rng(5).integers(1, 1 << 62, 5, dtype=np.uint64) | np.uint64(1)
 
 
@@ -72,14 +74,14 @@ def hashed_ngrams(text: str, words: list[str], memo: dict[str, int]) -> np.ndarr
             memo[w] = h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
         known.append(h)
     one = np.array(known, np.uint64)
-    two = (one[:-1] * _MIX + one[1:]) * _MIX >> np.uint64(49)
+    two = (one[:-1] * _MIX + one[1:]) * _MIX >> _DOWN
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
-    three = ((b[:-2] << np.uint64(16)) + (b[1:-1] << np.uint64(8)) + b[2:]) * _MIX >> np.uint64(49)
+    three = ((b[:-2] << np.uint64(16)) + (b[1:-1] << np.uint64(8)) + b[2:]) * _MIX >> _DOWN
     out = np.empty(KINDS * SLOTS, np.float32)
-    for kind, slots in enumerate((one * _MIX >> np.uint64(49), two, three)):
+    for kind, slots in enumerate((one * _MIX >> _DOWN, two, three)):
         counts = np.bincount(slots.astype(np.int64), minlength=SLOTS)
-        out[kind * SLOTS : (kind + 1) * SLOTS] = np.sqrt(counts / max(len(slots), 1))
-    return out
+        out[kind * SLOTS : (kind + 1) * SLOTS] = counts * np.float32(1 / max(len(slots), 1))
+    return np.sqrt(out, out=out)
 
 
 @dataclass(frozen=True)
@@ -122,7 +124,7 @@ def fit_rules(documents: DataFrame, verdicts: DataFrame, sample_rows: int = SAMP
         slots, shares, wanted = [], [], []
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams = hashed_ngrams(text, split_blanks(lower_ascii(text)), memo)
+                grams = hashed_ngrams(text, split_blanks(text), memo)
                 at = np.flatnonzero(grams).astype(np.int32)
                 slots.append(at)
                 shares.append(grams[at])
@@ -152,7 +154,7 @@ def fit_rules(documents: DataFrame, verdicts: DataFrame, sample_rows: int = SAMP
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for batch in batches:
-            found = [model.margin(hashed_ngrams(t, split_blanks(lower_ascii(t)), memo)) for t in batch.column(0).to_pylist()]
+            found = [model.margin(hashed_ngrams(t, split_blanks(t), memo)) for t in batch.column(0).to_pylist()]
             bins = np.round(np.clip(found, -20, 20) * 50).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column(1)], names=["bin", "accepted"])
 
@@ -195,8 +197,7 @@ def apply_rules(documents: DataFrame, model: NgramModel, keep_at: float = KEEP_A
                 counts.append((
                     len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated_words(words),
                 ))
-                lowered = split_blanks(lower_ascii(text))
-                probabilities.append(model.probability(hashed_ngrams(text, lowered, memo)))
+                probabilities.append(model.probability(hashed_ngrams(text, words, memo)))
             n = np.array(counts, np.int64).reshape(-1, 5)
             p = np.array(probabilities)
             failed = (n[:, 0] < 10) | (100 * n[:, 4] > 20 * n[:, 0])

@@ -41,7 +41,6 @@ def held_out(doc_id: Column, every: int) -> Column:
 # What Python calls white space besides the blanks.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def split_blanks(text: str) -> list[str]:
@@ -51,4 +50,4 @@ def split_blanks(text: str) -> list[str]:
 
 def lower_ascii(text: str) -> str:
     """``ascii_lower`` inside a task."""
-    return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")

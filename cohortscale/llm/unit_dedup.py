@@ -10,13 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortscale.llm.rows import UPPER, LOWER
+from cohortscale.llm.rows import lower_ascii
 
 # A unit ends with its line or with its sentence, and owns the white space after it.
 UNIT = re.compile(r"[^\n.!?]*[.!?\s]*")
 #: Words a run of repeated units must have to be cut.
 MIN_WORDS = 50
-_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def units(text: str) -> Iterator[tuple[int, int, str]]:
@@ -24,9 +23,11 @@ def units(text: str) -> Iterator[tuple[int, int, str]]:
 
     The normal form has A-Z lower-cased and single spaces; it is empty for a unit without a word.
     """
-    for found in UNIT.finditer(text):
-        if found.end() > found.start():
-            yield found.start(), found.end(), " ".join(found.group().translate(_LOWER).split())
+    lowered = lower_ascii(text)
+    for found in UNIT.finditer(lowered):
+        a, b = found.span()
+        if b > a:
+            yield a, b, " ".join(lowered[a:b].split())
 
 
 def digest(unit: str) -> bytes:
