@@ -12,6 +12,7 @@ from cohortscale.llm import (
     byte_bpe,
     contamination,
     hilbert,
+    jaccard_join,
     quality_kernel,
     quality_ngrams,
     unit_dedup,
@@ -69,6 +70,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")

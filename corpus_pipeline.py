@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscale.llm import catalog, contamination, quality_kernel, unit_dedup
+from cohortscale.llm import catalog, contamination, jaccard_join, quality_kernel, unit_dedup
 from cohortscale.llm.rows import table
 from cohortscale.session import scratch_path
 
@@ -20,6 +20,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("score") >= catalog.GOOD_AT).drop("score")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one of least id stays."""
+    return jaccard_join.first_of_each(docs)
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut; every document stays."""
     return unit_dedup.remove_repeated_units(docs).drop("removed")
@@ -37,6 +42,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality", quality),
+    ("near_duplicates", near_duplicates),
     ("substring_dedup", substring_dedup),
     ("decontamination", decontamination),
     ("encoding", encoding),
