@@ -13,6 +13,8 @@ from cohortscale.llm import (
     contamination,
     hilbert,
     jaccard_join,
+    language,
+    page_text,
     quality_kernel,
     quality_ngrams,
     unit_dedup,
@@ -48,6 +50,19 @@ def sealed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("statement_id"), F.col("text").alias("statement"))
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit_languages(documents.filter(~held_out(F.col("doc_id"), 5)))
+    found = language.detect_languages(documents, model)
+    return found.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = contamination.mark_contamination(table(spark, sf_dir, "documents"), sealed_statements(spark, sf_dir))
