@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -14,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct words a task remembers the ids of; beyond it, it starts anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
+# White space by Unicode. A run is what stands between, with the one space before it, or white space as the patterns of byte-level vocabularies split it.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+RUN = re.compile(rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+").findall
 
 
 def read_ranks(spark: SparkSession, path: str) -> Broadcast:
@@ -77,16 +81,28 @@ def _fold_long(pieces: list[bytes], ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class _Words(dict):
-    """Ids of the distinct words met so far."""
+    """Ids of the distinct words met so far, and of the distinct runs between blanks made of them.
 
-    def __init__(self, ranks: dict[bytes, int]):
+    A match of the pattern holds white space only as one leading space or as nothing else, so a run of
+    other characters with the space before it can be split into words by itself, and once.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.words, self.split = ranks, {}, regex.compile(pattern).findall
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, run: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = ids = fold_merges(word.encode(), self.ranks)
+        if len(self.words) >= REMEMBERED:
+            self.words.clear()
+        ids: tuple[int, ...] = ()
+        for word in self.split(run):
+            found = self.words.get(word)
+            if found is None:
+                self.words[word] = found = fold_merges(word.encode(), self.ranks)
+            ids += found
+        self[run] = ids
         return ids
 
 
@@ -96,16 +112,16 @@ def encode_documents(documents: DataFrame, ranks: Broadcast, pattern: str) -> Da
     ``documents`` (doc_id, text). Each match of ``pattern`` is a word; the ranked merges are folded
     over the bytes of a distinct word once, and its ids are remembered by the task within a bound.
     There are no special tokens. NULL and empty text have no ids; a NULL id is carried through;
-    repeated rows are encoded alike; other columns are not read.
+    repeated rows are encoded alike; other columns are not read. ``pattern`` must hold white space only as
+    one leading space of a word or by itself, as that of the vocabulary's description does.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(ranks.value)
-        split = regex.compile(pattern).findall
+        words = _Words(ranks.value, pattern)
         for batch in batches:
             flat, ends = array("i"), array("i", [0])
             for text in batch.column(1):
-                flat.extend(chain.from_iterable(map(words.__getitem__, split(text.as_py()))))
+                flat.extend(chain.from_iterable(map(words.__getitem__, RUN(text.as_py()))))
                 ends.append(len(flat))
             ids = pa.ListArray.from_arrays(
                 pa.array(memoryview(ends), pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)])

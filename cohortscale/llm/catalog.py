@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortscale.llm import (
     byte_bpe,
     contamination,
+    context_mixing,
     hilbert,
     jaccard_join,
     language,
@@ -85,6 +86,16 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = context_mixing.score_documents(documents, documents.filter(~held_out(F.col("doc_id"), 10)))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id"), 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        "bits_per_byte",
+    )
+
+
 @query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
