@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,17 +79,29 @@ def bitmap(grams: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def folded(signature: np.ndarray, size: int) -> np.ndarray:
-    """A bitmap as it would be with ``size`` words of 64 bits."""
-    return np.bitwise_or.reduce(signature.reshape(-1, size), axis=0)
+def plausible(n_a: np.ndarray, n_b: np.ndarray, maps_a: pa.Array, maps_b: pa.Array, percent: int) -> np.ndarray:
+    """Whether sizes and bit counts allow the overlap: a bit of one alone is a shingle the other lacks.
 
-
-def can_link(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether sizes and bit counts allow the overlap: a bit of one alone is a shingle the other lacks."""
-    size = min(len(a), len(b))
-    a, b = folded(a, size), folded(b, size)
-    most = min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
-    return 100 * most >= percent * (n_a + n_b - most)
+    Pairs whose bitmaps have the same two lengths go together; the longer is folded to the shorter.
+    """
+    keep = np.zeros(len(n_a), bool)
+    if not len(n_a):
+        return keep
+    bits_a, bits_b = (pc.binary_length(m).to_numpy() // 8 for m in (maps_a, maps_b))
+    n_a, n_b = np.asarray(n_a, np.int64), np.asarray(n_b, np.int64)
+    for la, lb in set(zip(bits_a.tolist(), bits_b.tolist())):
+        at = np.flatnonzero((bits_a == la) & (bits_b == lb))
+        for part in np.array_split(at, len(at) * max(la, lb) // (1 << 20) + 1):
+            a, b = (
+                np.frombuffer(b"".join(m.take(pa.array(part)).to_pylist()), np.uint64).reshape(len(part), -1, min(la, lb))
+                for m in (maps_a, maps_b)
+            )
+            a, b = np.bitwise_or.reduce(a, axis=1), np.bitwise_or.reduce(b, axis=1)
+            lost = np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
+            gained = np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64)
+            most = np.minimum(n_a[part] - lost, n_b[part] - gained)
+            keep[part] = 100 * most >= percent * (n_a[part] + n_b[part] - most)
+    return keep
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -207,12 +220,9 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_a, n_b = batch.column(2).to_pylist(), batch.column(4).to_pylist()
-            maps = zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())
-            keep = [
-                can_link(i, j, np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for i, j, (x, y) in zip(n_a, n_b, maps)
-            ]
-            yield from pa.Table.from_batches([batch]).select(["a", "b"]).filter(pa.array(keep, pa.bool_())).to_batches()
+            n_a, s_a, n_b, s_b = (batch.column(i) for i in range(2, 6))
+            keep = plausible(n_a.to_numpy(), n_b.to_numpy(), s_a, s_b, percent)
+            yield from pa.Table.from_batches([batch]).select(["a", "b"]).filter(pa.array(keep)).to_batches()
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("s_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("s_b"))
@@ -273,39 +283,52 @@ def _open_pairs(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     spots = spots.withColumn("t1", F.least("mine", "other")).withColumn("t2", F.greatest("mine", "other"))
     spots = spots.join(sets.select("doc_id", "signature"), "doc_id")
 
-    def tile(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("n", "ascending")])
-        n, group, ids = table["n"].to_numpy(), table["component_id"].to_numpy(), table["doc_id"].to_numpy()
-        maps = [np.frombuffer(s, np.uint64) for s in table["signature"].to_pylist()]
-        sizes = np.array([len(m) for m in maps])
-        at_size: dict[int, np.ndarray] = {}
-        across = table["t1"][0].as_py() != table["t2"][0].as_py()
-        mine = table["mine"].to_numpy()
-        a, b = [], []
-        for i in range(len(n)):
-            end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-            at = np.arange(i + 1, end)
-            at = at[(group[at] != group[i]) & (ids[at] != ids[i])]
-            if across:
-                at = at[mine[at] != mine[i]]
-            if not len(at):
-                continue
-            size = sizes[i]  # those that follow have as many bits or more
-            if size not in at_size:
-                at_size[size] = np.stack([folded(m, size) if len(m) >= size else np.zeros(size, np.uint64) for m in maps])
-            one, many = at_size[size][i], at_size[size][at]
-            lost = np.bitwise_count(one & ~many).sum(axis=1, dtype=np.int64)
-            gained = np.bitwise_count(many & ~one).sum(axis=1, dtype=np.int64)
-            most = np.minimum(n[i] - lost, n[at] - gained)
-            for j in at[100 * most >= percent * (n[i] + n[at] - most)]:
-                a.append(min(ids[i], ids[j]))
-                b.append(max(ids[i], ids[j]))
-        kind = table["doc_id"].type
-        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)}).group_by(["a", "b"]).aggregate([])
-
     kind = sets.schema["doc_id"].dataType.simpleString()
-    rows = spots.select("key", "t1", "t2", "mine", "doc_id", "n", "component_id", "signature")
-    return rows.groupBy("key", "t1", "t2").applyInArrow(tile, f"a {kind}, b {kind}").distinct()
+    columns = ["key", "t1", "t2", "mine", "n", "component_id", "doc_id", "signature"]
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        key, t1, t2, mine, n, group, ids = (rows[c].to_numpy() for c in columns[:-1])
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])
+        last = np.append(np.flatnonzero(new)[1:], len(key)) - 1
+        left = last[np.cumsum(new) - 1] - np.arange(len(key))
+        found, away, at = [], 0, np.arange(len(key))
+        while True:  # rows of a tile that stand ``away`` apart; they follow each other by size
+            away += 1
+            at = at[left[at] >= away]
+            if not len(at):
+                break
+            to = at + away
+            ok = (group[at] != group[to]) & (ids[at] != ids[to]) & (100 * n[at] >= percent * n[to]) & ((t1[at] == t2[at]) | (mine[at] != mine[to]))
+            found.append(np.stack([at[ok], to[ok]]))
+        i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), int)
+        low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        order = np.lexsort((high, low))
+        low, high, i, j = low[order], high[order], i[order], j[order]
+        once = np.ones(len(low), bool)
+        once[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        low, high, i, j = low[once], high[once], i[once], j[once]
+        keep = plausible(n[i], n[j], rows["signature"].take(pa.array(i)), rows["signature"].take(pa.array(j)), percent)
+        ends = [pa.array(x[keep], rows["doc_id"].type) for x in (low, high)]
+        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of the last tile, which may go on
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            same = np.ones(len(rows), bool)
+            for c in columns[:3]:
+                values = rows[c].to_numpy()
+                same &= values == values[-1]
+            whole = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
+            held = rows.slice(whole)
+            if whole:
+                yield compare(rows.slice(0, whole))
+        if held is not None and len(held):
+            yield compare(held)
+
+    spread = spots.select(*columns).repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "n")
+    return spread.mapInArrow(tiles_of, f"a {kind}, b {kind}").distinct()
 
 
 def similar_documents(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
