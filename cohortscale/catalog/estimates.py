@@ -36,7 +36,7 @@ def e1(v):
     return rounded(bootstrap.by_vendor(rows, BOOT))
 
 
-CUBE_BOOT = bootstrap.Boot(seed=BOOT.seed, n_resamples=100)
+CUBE_BOOT = bootstrap.Boot(seed=BOOT.seed, n_resamples=BOOT.n_resamples)
 _CELL = "vendor, cls"
 
 
@@ -79,11 +79,11 @@ def e2_poisson(v):
 
 @query(
     "E3_element_bootstrap",
-    with_ctes(PER_VOLUME, boot_sql("est", "per_volume", "cls", "sample_id", "dice", resamples=20))
+    with_ctes(PER_VOLUME, boot_sql("est", "per_volume", "cls", "sample_id", "dice", resamples=200))
     + f"SELECT cls, {EST_SQL}, n, n_measurements FROM est",
 )
 def e3(v):
-    boot = bootstrap.Boot(seed=BOOT.seed, n_resamples=20)
+    boot = bootstrap.Boot(seed=BOOT.seed, n_resamples=BOOT.n_resamples)
     return rounded(bootstrap.element_estimate(v.per_volume.withColumn("value", F.col("dice")), ["cls"], boot, "sample_id"))
 
 
@@ -162,7 +162,7 @@ def e6_ties(v):
     return rounded(roc.auroc(v.per_volume, ["vendor", "cls"], "predicted_voxels", "reference_present"), ["auroc"])
 
 
-def _roc_boot_sql(stratum: str, idx_partition: str, idx_order: str, r: int = 100) -> str:
+def _roc_boot_sql(stratum: str, idx_partition: str, idx_order: str, r: int = 200) -> str:
     part = f"cell, {idx_partition}" if idx_partition else "cell"
     return f"""mem AS (SELECT cell, label, score, {stratum} AS st,
     row_number() OVER (PARTITION BY {part} ORDER BY {idx_order}) - 1 AS idx FROM scored),
@@ -235,7 +235,7 @@ def e10(v):
     return rounded(bootstrap.by_vendor(rows, BOOT))
 
 
-_ARM_EST = boot_sql("est", "arms", "run, arm, cls", "patient_id", "dice", resamples=100)
+_ARM_EST = boot_sql("est", "arms", "run, arm, cls", "patient_id", "dice", resamples=200)
 
 
 def arm_estimates(v):
@@ -282,7 +282,7 @@ def e13(v):
     return rounded(compare.per_patient(v.arms, ["arm", "cls"]), ["value"])
 
 
-def joint_sql(name: str, held: str, ref: str, cell: str, r: int = 100) -> str:
+def joint_sql(name: str, held: str, ref: str, cell: str, r: int = 200) -> str:
     cs = [c.strip() for c in cell.split(",")]
     on = " AND ".join(f"a.{c} = b.{c}" for c in cs)
     using = ", ".join(cs)
@@ -322,8 +322,8 @@ def e14(v):
     "E15_independent_difference",
     with_ctes(
         ARMS, _POOL,
-        boot_sql("h", "held", "cls", "patient_id", "value", resamples=100, stratum="'held'"),
-        boot_sql("f", "ref", "cls", "patient_id", "value", resamples=100, stratum="'ref'"),
+        boot_sql("h", "held", "cls", "patient_id", "value", resamples=200, stratum="'held'"),
+        boot_sql("f", "ref", "cls", "patient_id", "value", resamples=200, stratum="'ref'"),
     )
     + """SELECT a.cls, round(any_value(h.value - f.value), 9) AS difference, round(quantile_cont(a.mean - b.mean, 0.025::DOUBLE), 9) AS ci_low,
       round(quantile_cont(a.mean - b.mean, 0.975::DOUBLE), 9) AS ci_high FROM h_reps a JOIN f_reps b ON a.cls = b.cls AND a.r = b.r
@@ -342,7 +342,7 @@ _CUBE = with_ctes(
     unit AS (SELECT view, comparison, cls, arm, patient_id, avg(dice) AS value FROM viewed GROUP BY ALL),
     held AS (SELECT view, comparison, cls, patient_id, value FROM unit WHERE arm = 'test'),
     ref AS (SELECT view, comparison, cls, patient_id, value FROM unit WHERE arm = 'in_domain_ref')""",
-    boot_sql("est", "unit", _CUBE_CELL + ", arm", "patient_id", "value", resamples=100),
+    boot_sql("est", "unit", _CUBE_CELL + ", arm", "patient_id", "value", resamples=200),
     joint_sql("j", "held", "ref", _CUBE_CELL),
     """cube AS (SELECT j.view, j.comparison, j.cls, h.value AS held_value, h.ci_low AS held_ci_low, h.ci_high AS held_ci_high, h.n AS held_n,
       f.value AS ref_value, f.ci_low AS ref_ci_low, f.ci_high AS ref_ci_high, f.n AS ref_n, difference, j.ci_low AS diff_low, j.ci_high AS diff_high
@@ -376,6 +376,16 @@ def e17(v):
     return rounded(compare.half_widths(compare.comparison_cube(v.arms, CUBE_BOOT)), ["smallest", "largest"])
 
 
+@query(
+    "E17_detectable_difference",
+    _CUBE
+    + """SELECT round(min((diff_high - diff_low) / 2), 9) AS detectable FROM cube WHERE view = 'all-volume'""",
+)
+def e17_limit(v):
+    limit = compare.detection_limit(compare.half_widths(compare.comparison_cube(v.arms, CUBE_BOOT)))
+    return limit.select(F.round("limit", 9).alias("detectable"))
+
+
 @query(
     "E27_comparison_counts",
     _CUBE

@@ -244,7 +244,7 @@ HD95_CTES = with_ctes(LATTICE, GRID_SQL, COUNTS_SQL, MANIFEST, _HD_SQL)
 
 def hd95_rows(v):
     return distance.hd95(
-        v.lattice("pred"), v.lattice("ref"), v.lattice_spacing, volume_grid(v), KEYS, extent_bits=4
+        v.lattice("pred"), v.lattice("ref"), v.lattice_spacing, volume_grid(v), KEYS
     )
 
 
@@ -253,6 +253,21 @@ def d13(v):
     return hd95_rows(v).withColumn("hd95", F.round("hd95", 9))
 
 
+# The same masks pulled apart, so that indices pass 1024 and a million.
+_WIDE = ["z", "y * 131 AS y", "x * 70001 AS x"]
+_WIDE_SQL = """wide_pred AS (SELECT sample_id, cls, {0} FROM pred), wide_ref AS (SELECT sample_id, cls, {0} FROM ref)""".format(", ".join(_WIDE))
+
+
+@query(
+    "D13_hd95_wide",
+    with_ctes(LATTICE, GRID_SQL, COUNTS_SQL, MANIFEST, _WIDE_SQL, _HD_SQL.replace("FROM pred ", "FROM wide_pred ").replace("FROM ref ", "FROM wide_ref "))
+    + "SELECT sample_id, cls, round(hd95, 6) AS hd95 FROM hd",
+)
+def d13_wide(v):
+    wide = [v.lattice(side).selectExpr("sample_id", "cls", *_WIDE) for side in ("pred", "ref")]
+    return distance.hd95(*wide, v.lattice_spacing, volume_grid(v), KEYS).withColumn("hd95", F.round("hd95", 6))
+
+
 @query(
     "D14_edge_shift",
     with_ctes(LATTICE)
@@ -280,12 +295,12 @@ def d15(v):
     "D16_crop_rows",
     with_ctes(LATTICE)
     + """, bright AS (SELECT sample_id, z, y FROM (SELECT sample_id, z, y, row_number() OVER (PARTITION BY sample_id, z
-        ORDER BY max(price) DESC, y) AS k FROM lattice_lines GROUP BY sample_id, z, y) WHERE k = 1),
+        ORDER BY round(avg(price), 6) DESC, y) AS k FROM lattice_lines GROUP BY sample_id, z, y) WHERE k = 1),
     r AS (SELECT sample_id, z, y FROM paired UNION ALL SELECT sample_id, z, y FROM bright)
     SELECT sample_id, z, greatest(0, min(y) - 2) AS top, least(16, max(y) + 3) AS bottom FROM r GROUP BY ALL""",
 )
 def d16(v):
-    brightness = v.lattice_lines.groupBy("sample_id", "z", "y").agg(F.max("price").alias("brightness"))
+    brightness = v.lattice_lines.groupBy("sample_id", "z", "y").agg(F.round(F.avg("price"), 6).alias("brightness"))
     heights_ = v.manifest.select("sample_id", F.col("shape")[1].alias("height"), F.explode(F.sequence(F.lit(0), F.col("shape")[0] - 1)).alias("z"))
     return masks.crop_rows(v.lattice_paired, brightness, heights_, ["sample_id", "z"], margin=2)
 

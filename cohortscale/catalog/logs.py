@@ -8,6 +8,7 @@ from cohortscale.catalog.base import query
 from cohortscale.catalog.selection import EPOCHS
 from cohortscale.catalog.sql import with_ctes
 from cohortscale.operators import logs
+from cohortscale.session import scratch_path
 from cohortscale.streaming import logs as stream
 
 _ACCESS = """acc AS (SELECT event_type AS bucket, (user_id % 3)::INTEGER AS fold_id, ts, event_id AS entry, CASE WHEN event_id % 7 = 0 THEN NULL ELSE user_id END AS run_id,
@@ -100,7 +101,6 @@ def i4(v):
 @query("I4_best_and_patience_stream", _I4)
 def i4_stream(v):
     """The epochs are written as a log first, then followed as a stream."""
-    from cohortscale.session import scratch_path
 
     folder = scratch_path(v.spark, "epoch-log")
     epochs = metric_epochs(v)
@@ -127,9 +127,8 @@ _SESS_OUT = """SELECT run, session::BIGINT AS session, min(ts) AS from_ts, max(t
 
 
 def event_sessions(v):
-    rows = v.log.withColumn("_hour", logs.hour_bucket())
     return logs.sessions(
-        rows, ["run"], F.col("event_type") == "signup", F.col("event_type") == "purchase", "_hour", ["ts", "event_id"]
+        v.log, ["run"], F.col("event_type") == "signup", F.col("event_type") == "purchase", ["ts", "event_id"]
     )
 
 
@@ -210,6 +209,23 @@ def i8_stream(v):
     )
 
 
+@query(
+    "I8_late_rows_stream",
+    """WITH b AS (SELECT user_id AS run, ts, event_id % 5 AS part FROM events),
+      n AS (SELECT part, max(ts) AS newest FROM b GROUP BY part)
+      SELECT b.run, count(*) AS late FROM b WHERE ts < (SELECT max(newest) FROM n WHERE n.part < b.part) - INTERVAL 240 HOUR GROUP BY b.run""",
+)
+def i8_late_rows(v):
+    """The events in five files, one batch each in the order they were written; rows ten days behind the newest are late."""
+    folder = scratch_path(v.spark, "late-input")
+    for part in range(5):
+        rows = v.table("events").filter(F.col("event_id") % 5 == part).select(F.col("user_id").alias("run"), "ts")
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    live = v.spark.readStream.schema("run bigint, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    out = stream.carry_over(live, stream.late_rows_step(240 * 3600), "late-rows")
+    return out.groupBy("run").agg(F.sum("late").alias("late"))
+
+
 @query(
     "I9_epoch_timing",
     with_ctes(EPOCHS)

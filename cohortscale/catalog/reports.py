@@ -60,7 +60,7 @@ _RCA = "run, cls, arm"
 
 @query(
     "E19_specificity_at_threshold",
-    with_ctes(ARMS, _VAL, _select_sql("val_rows", "run, cls"), _SPEC, boot_sql("est", "spec_rows", _RCA, "patient_id", "value", resamples=100))
+    with_ctes(ARMS, _VAL, _select_sql("val_rows", "run, cls"), _SPEC, boot_sql("est", "spec_rows", _RCA, "patient_id", "value", resamples=200))
     + """SELECT run, cls, arm, round(value, 9) AS value, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, n, n_measurements FROM est""",
 )
 def e19(v):
@@ -74,8 +74,8 @@ def e19(v):
     "E20_selection_report",
     with_ctes(
         ARMS, _VAL, _select_sql("val_rows", "run, cls"), _SPEC,
-        boot_sql("est", "spec_rows", _RCA, "patient_id", "value", resamples=100),
-        boot_sql("fix", "fixed_rows", _RCA, "patient_id", "value", resamples=100),
+        boot_sql("est", "spec_rows", _RCA, "patient_id", "value", resamples=200),
+        boot_sql("fix", "fixed_rows", _RCA, "patient_id", "value", resamples=200),
     )
     + """SELECT e.run, e.cls, e.arm, round(f.value, 9) AS fixed_value, round(f.ci_low, 9) AS fixed_ci_low, round(f.ci_high, 9) AS fixed_ci_high, f.n AS fixed_n,
       round(e.value, 9) AS selected_value, round(e.ci_low, 9) AS selected_ci_low, round(e.ci_high, 9) AS selected_ci_high, e.n AS selected_n,
@@ -302,3 +302,30 @@ def t1(v):
 def t2(v):
     names = F.array_sort(F.collect_set(F.when(F.col("c_acctbal") < 0, F.col("c_mktsegment"))))
     return v.table("customer").groupBy("c_nationkey").agg(text.listing(names).alias("names"))
+
+
+@query(
+    "T3_times",
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS utc, ts AS back,
+       (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 1000000 AS seconds FROM events""",
+)
+def t3(v):
+    """Times as ISO text and back, and seconds since a user's first."""
+    events = v.table("events").select("event_id", "user_id", text.iso_text(F.col("ts")).alias("utc"))
+    back = events.withColumn("back", text.from_iso(F.col("utc")))
+    first = back.groupBy("user_id").agg(F.min("back").alias("first"))
+    return back.join(first, "user_id").select("event_id", "utc", "back", text.elapsed_seconds(F.col("first"), F.col("back")).alias("seconds"))
+
+
+@query(
+    "T4_sorted_json",
+    """SELECT o_orderkey, '{"cust":"' || o_custkey || '","order":"' || o_orderkey || '"}' AS doc,
+       CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey::VARCHAR END AS found FROM orders""",
+)
+def t4(v):
+    """A map as JSON with sorted keys, and a nested field that is not always there."""
+    order, cust = (F.col(c).cast("string") for c in ("o_orderkey", "o_custkey"))
+    flat = F.create_map(F.lit("order"), order, F.lit("cust"), cust)
+    outer = F.when(F.col("o_orderkey") % 3 == 0, F.lit("other")).otherwise(F.lit("run"))
+    nested = F.create_map(outer, F.create_map(F.lit("id"), cust))
+    return v.table("orders").select("o_orderkey", text.sorted_json(flat).alias("doc"), text.nested_get(nested, "run", "id").alias("found"))

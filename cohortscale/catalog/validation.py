@@ -122,9 +122,9 @@ def b4_ranges(v):
 @query(
     "B5_header_agreement",
     with_ctes(DIRTY)
-    + """SELECT m.patient_id, m.shape IS DISTINCT FROM d.shape AS size_differs,
+    + """SELECT coalesce(m.patient_id, d.patient_id) AS patient_id, m.shape IS DISTINCT FROM d.shape AS size_differs,
       m.spacing_mm IS DISTINCT FROM d.spacing_mm AS spacing_differs
-      FROM manifest m JOIN dirty d ON m.patient_id = d.patient_id
+      FROM manifest m FULL JOIN dirty d ON m.patient_id = d.patient_id
       WHERE m.shape IS DISTINCT FROM d.shape OR m.spacing_mm IS DISTINCT FROM d.spacing_mm""",
 )
 def b5(v):

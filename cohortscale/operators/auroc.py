@@ -17,6 +17,10 @@ from cohortscale.plans.ordered import range_bucket, running
 from cohortscale.session import width
 
 
+#: Products of two counts pass the range of BIGINT.
+WIDE = "decimal(19, 0)"
+
+
 def score_counts(cases: DataFrame, cell: Sequence[str], score: str, label: str) -> DataFrame:
     """Positives and negatives per distinct score, tagged with a range bucket of the scores."""
     kept = cases.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
@@ -30,14 +34,14 @@ def twice_u(counts: DataFrame, cell: Sequence[str]) -> DataFrame:
     """(cell, two_u, positives, negatives) from bucketed score counts."""
     below = running(counts, cell, "_part", ["score"], {"below": ("sum", "neg", False)})
     return below.groupBy(*cell).agg(
-        F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg"))).alias("two_u"),
+        F.sum(F.col("pos").cast(WIDE) * (2 * F.col("below") + F.col("neg")).cast(WIDE)).alias("two_u"),
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),
     )
 
 
 def _area() -> Column:
-    total = 2 * F.col("positives") * F.col("negatives")
+    total = 2 * F.col("positives").cast(WIDE) * F.col("negatives").cast(WIDE)
     return F.try_divide(F.col("two_u").cast("double"), total.cast("double"))
 
 

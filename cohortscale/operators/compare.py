@@ -99,11 +99,8 @@ def comparison_rows(arms: DataFrame) -> DataFrame:
     return per_patient(views_of(both), ["view", "comparison", "cls", "arm"])
 
 
-def comparison_cube(arms: DataFrame, boot: Boot, as_published: bool = False) -> DataFrame:
-    """Both arms and their difference for every view, comparison and class.
-
-    ``as_published`` resamples the arms independently, for figures first published that way.
-    """
+def comparison_cube(arms: DataFrame, boot: Boot) -> DataFrame:
+    """Both arms and their difference for every view, comparison and class."""
     cell = ["view", "comparison", "cls"]
     rows = cut_lineage(comparison_rows(arms))
     est = bootstrap.estimate(rows, [*cell, "arm"], boot)
@@ -116,10 +113,7 @@ def comparison_cube(arms: DataFrame, boot: Boot, as_published: bool = False) ->
         )
     held = rows.filter(F.col("arm") == HELD).drop("arm")
     ref = rows.filter(F.col("arm") == REF).drop("arm")
-    if as_published:
-        diff = bootstrap.independent_difference(held, ref, cell, boot)
-    else:
-        diff = bootstrap.joint_difference(held, ref, cell, boot).drop("n_held", "n_ref")
+    diff = bootstrap.joint_difference(held, ref, cell, boot).drop("n_held", "n_ref")
     diff = diff.withColumnRenamed("ci_low", "diff_low").withColumnRenamed("ci_high", "diff_high")
     return sides[0].join(sides[1], cell).join(diff, cell)
 

@@ -23,15 +23,22 @@ def _cell(axis: str, shift: int) -> Column:
     return F.shiftright(F.col(axis), shift)
 
 
-def _boxes(points: DataFrame, keys: list[str], shift: int, parent: int) -> DataFrame:
-    """Occupied boxes of one level with their bounding corners and their parent box."""
+def _boxes(points: DataFrame, keys: list[str], shift: int, parent: int | None) -> DataFrame:
+    """Occupied boxes of one level with their bounding corners and their parent box.
+
+    Without a parent level all boxes are in the root, box 0.
+    """
     out = points.groupBy(*keys, *[_cell(a, shift).alias(f"c_{a}") for a in COORDS]).agg(
         *[F.min(a).alias(f"lo_{a}") for a in COORDS], *[F.max(a).alias(f"hi_{a}") for a in COORDS]
     )
-    step = parent - shift
-    return out.select(
-        "*", *[F.shiftright(F.col(f"c_{a}"), step).alias(f"in_{a}") for a in COORDS]
-    )
+    above = [F.lit(0) if parent is None else F.shiftright(F.col(f"c_{a}"), parent - shift) for a in COORDS]
+    return out.select("*", *[b.alias(f"in_{a}") for a, b in zip(COORDS, above)])
+
+
+def extent_bits(points: DataFrame) -> int:
+    """Bits that hold the largest index of the points, of either sign."""
+    largest = points.agg(F.max(F.greatest(*[F.abs(F.col(a).cast("bigint")) for a in COORDS]))).first()[0]
+    return max(int(largest or 0).bit_length(), 1)
 
 
 def nearest(
@@ -40,12 +47,11 @@ def nearest(
     spacing: DataFrame,
     keys: Sequence[str],
     sample: str,
-    extent_bits: int,
 ) -> DataFrame:
     """Squared distance in mm from each query voxel to the nearest target of its group.
 
-    ``spacing`` has (``sample``, sz, sy, sx) in mm. ``extent_bits`` bits hold the largest index.
-    A group without targets gives no rows: that case is the caller's, not a distance.
+    ``spacing`` has (``sample``, sz, sy, sx) in mm. The levels follow from the largest index of
+    the targets, so give them stored. A group without targets gives no rows: that case is the caller's, not a distance.
     """
     keys = list(keys)
     point = [*keys, *COORDS]
@@ -55,15 +61,14 @@ def nearest(
     exact = first.filter("_hit").select(*point, F.lit(0.0).alias("d2"))
     todo = first.filter("_hit IS NULL").drop("_hit").join(spacing, sample)
 
-    shifts = list(range(extent_bits, 0, -BITS_PER_LEVEL)) + [0]
-    top = shifts[0]
+    shifts = list(range(extent_bits(targets), 0, -BITS_PER_LEVEL)) + [0]
     # Every query starts at the root box of its group. A group holding much of the table makes
     # that join skewed on the query side only (a group has at most 64 boxes here), which is the
     # case the skew join of adaptive execution splits.
     cand = todo.select("*", *[F.lit(0).cast("int").alias(f"at_{a}") for a in COORDS])
     one_query = Window.partitionBy(*point)
     for level, shift in enumerate(shifts[1:]):
-        boxes = _boxes(targets, keys, shift, shifts[level] if level else top).select(
+        boxes = _boxes(targets, keys, shift, shifts[level] if level else None).select(
             *keys,
             *[F.col(f"in_{a}").alias(f"at_{a}") for a in COORDS],
             *[F.col(f"c_{a}") for a in COORDS],
@@ -107,7 +112,6 @@ def hd95(
     grid: DataFrame,
     keys: Sequence[str],
     sample: str = "sample_id",
-    extent_bits: int = 10,
     q: float = 0.95,
 ) -> DataFrame:
     """Larger of the two directed 95th percentiles of surface distance, in mm.
@@ -126,7 +130,7 @@ def hd95(
     # Both directions are one search: a target serves the queries of the other side.
     other = F.when(F.col("side") == "p", F.lit("r")).otherwise(F.lit("p"))
     found = nearest(
-        surfaces, surfaces.withColumn("side", other), spacing, [*keys, "side"], sample, extent_bits
+        surfaces, surfaces.withColumn("side", other), spacing, [*keys, "side"], sample
     )
     directed = directed_percentile(found, [*keys, "side"], q, "mm")
     worst = directed.groupBy(*keys).agg(F.max("mm").alias("mm"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortscale.operators.select import first_and_last_means
-from cohortscale.plans.ordered import running
+from cohortscale.plans.ordered import range_bucket, running
 
 EPOCHS_PER_BUCKET = 4096
 DETERMINISM = r"^\s*(\S+) does not have a deterministic implementation"
@@ -26,14 +26,10 @@ def gate_calls(log: DataFrame) -> DataFrame:
     return log.groupBy("bucket", "fold_id").agg(F.count("*").alias("calls"))
 
 
-def hour_bucket(ts: str = "ts") -> Column:
-    return F.floor(F.unix_micros(ts) / 3_600_000_000)
-
-
 def prior_accesses(log: DataFrame) -> DataFrame:
     """Accesses before every entry: runs first met earlier, and earlier entries without a run.
 
-    ``log`` has (bucket, fold_id, ts, entry, run_id). Hours are the buckets of the running sum.
+    ``log`` has (bucket, fold_id, ts, entry, run_id). The running sum goes by ranges of (ts, entry), whatever falls into one hour.
     """
     keys = ["bucket", "fold_id"]
     firsts = (
@@ -44,9 +40,9 @@ def prior_accesses(log: DataFrame) -> DataFrame:
     )
     counted = (F.col("_first").isNotNull() | F.col("run_id").isNull()).cast("bigint")
     flagged = log.join(firsts, [*keys, "entry"], "left").withColumn("_counts", counted)
-    tagged = flagged.withColumn("_hour", hour_bucket())
-    out = running(tagged, keys, "_hour", ["ts", "entry"], {"prior": ("sum", "_counts", False)})
-    return out.drop("_first", "_counts", "_hour")
+    tagged = range_bucket(flagged, [*keys, "ts", "entry"])
+    out = running(tagged, keys, "_part", ["ts", "entry"], {"prior": ("sum", "_counts", False)})
+    return out.drop("_first", "_counts", "_part")
 
 
 def audit_findings(log: DataFrame) -> DataFrame:
@@ -102,15 +98,16 @@ def stopped_early(patience: DataFrame, run: Sequence[str], limit: int) -> DataFr
 
 
 def sessions(
-    events: DataFrame, run: Sequence[str], start: Column, end: Column, bucket: str, order: Sequence[str]
+    events: DataFrame, run: Sequence[str], start: Column, end: Column, order: Sequence[str]
 ) -> DataFrame:
     """Sessions of a run by their start events: length, whether they ended, whether they resume.
 
-    Rows before the first start are session 0. ``bucket`` is a column that follows ``order``.
+    Rows before the first start are session 0; ``order`` leaves no ties. Ranges of it are the
+    buckets, so a busy hour is no task's.
     """
     run = list(run)
-    flagged = events.withColumn("_start", start.cast("bigint")).withColumn("_end", end)
-    numbered = running(flagged, run, bucket, order, {"session": ("sum", "_start", True)})
+    flagged = range_bucket(events.withColumn("_start", start.cast("bigint")).withColumn("_end", end), [*run, *order])
+    numbered = running(flagged, run, "_part", order, {"session": ("sum", "_start", True)})
     return numbered.groupBy(*run, "session").agg(
         F.min(order[0]).alias("from_ts"),
         F.max(order[0]).alias("to_ts"),
@@ -159,11 +156,17 @@ def epoch_timing(epochs: DataFrame, frames: DataFrame, run: Sequence[str]) -> Da
     )
 
 
-def warning_rollup(messages: DataFrame, run: Sequence[str] = ()) -> DataFrame:
-    """One row per operation: how often it warned, and its first message by sequence."""
+def warning_rollup(messages: DataFrame, run: Sequence[str] = (), chars: int | None = None) -> DataFrame:
+    """One row per operation: how often it warned, and its first message by sequence.
+
+    A message that names no operation stands for itself by its first line; ``chars`` takes only that
+    many characters of it, so that messages that differ further on are one operation.
+    """
     trimmed = F.trim("message")
     named = F.regexp_extract("message", DETERMINISM, 1)
-    first_line = F.substring(F.split(trimmed, "\n", 2)[0], 1, 80)
+    first_line = F.split(trimmed, "\n", 2)[0]
+    if chars is not None:
+        first_line = F.substring(first_line, 1, chars)
     op = F.when(named != "", named).otherwise(first_line)
     return messages.withColumn("operation", op).groupBy(*run, "operation").agg(
         F.count("*").alias("count"), F.min_by(trimmed, "seq").alias("first_seen")

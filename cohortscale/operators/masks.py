@@ -92,12 +92,6 @@ def array_axis_spacing(spacing: str = "spacing_mm") -> Column:
     return F.array(s[2], s[0], s[1])
 
 
-def header_spacing(element_spacing: str = "element_spacing") -> Column:
-    """Header order (lateral, axial, separation) as (axial, lateral, separation)."""
-    s = F.col(element_spacing)
-    return F.array(s[1], s[0], s[2])
-
-
 def volumes(counts: DataFrame, spacing: str = "spacing_mm") -> DataFrame:
     """Volume with the terms it came from: voxel count and volume of one voxel."""
     out = counts.withColumn("voxel_mm3", voxel_volume(spacing))

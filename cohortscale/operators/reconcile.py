@@ -21,11 +21,6 @@ def leaves(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataF
     )
 
 
-def array_length_leaf(rows: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """The length of a list is a leaf too."""
-    return rows.select(*keys, F.lit(f"{column}#len").alias("leaf"), F.size(column).cast("double").alias("value"))
-
-
 def compare_leaves(
     reference: DataFrame, candidate: DataFrame, keys: Sequence[str], ignore: Column | None = None
 ) -> DataFrame:
@@ -136,17 +131,19 @@ def tolerance_rules(spark: SparkSession, rules: Mapping[str, tuple[float, float]
 
 
 def cross_check(first: DataFrame, second: DataFrame, keys: Sequence[str], rules: DataFrame) -> DataFrame:
-    """Leaves of two implementations that differ beyond the tolerance of their column."""
+    """Leaves of two implementations that differ beyond the tolerance of their column.
+
+    A column without a rule must agree exactly. ``rules`` is configuration, a row per column.
+    """
     on = [*keys, "leaf"]
     a = first.select(*on, F.col("value").alias("a"))
     b = second.select(*on, F.col("value").alias("b"))
     gap = F.abs(F.col("a") - F.col("b"))
-    room = F.greatest(
-        F.col("relative") * F.greatest(F.abs(F.col("a")), F.abs(F.col("b"))), F.col("absolute")
-    )
+    relative, absolute = (F.coalesce(c, F.lit(0.0)) for c in ("relative", "absolute"))
+    room = F.greatest(relative * F.greatest(F.abs(F.col("a")), F.abs(F.col("b"))), absolute)
     same = F.col("a").eqNullSafe(F.col("b")) | F.coalesce(gap <= room, F.lit(False))
     # The rules are one row per column of the comparison.
-    return a.join(b, on, "full").join(F.broadcast(rules), "leaf").filter(~same)
+    return a.join(b, on, "full").join(F.broadcast(rules), "leaf", "left").filter(~same)
 
 
 def table_differences(generated: DataFrame, published: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -162,31 +159,33 @@ def table_differences(generated: DataFrame, published: DataFrame, keys: Sequence
     return g.join(p, on, "full").withColumn("problem", problem).filter("problem IS NOT NULL")
 
 
-def _word_runs(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_words, one, two, three): the runs of one, two and three words from every word on."""
+def _run_keys(rows: DataFrame, key: str, text: str, lengths: Sequence[int], longest: bool) -> DataFrame:
+    """(key, run): hashes of the runs of words of the given lengths, or of the longest only."""
     words = rows.select(key, F.regexp_extract_all(text, F.lit(WORD), F.lit(1)).alias("_w"))
     w, n = F.col("_w"), F.size("_w")
     shifted = F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), n).alias("b"), F.slice(w, F.lit(3), n).alias("c"))
-    at = words.select(key, n.alias("n_words"), F.explode(shifted).alias("z"))
-    a, b, c = (F.col(f"z.{k}") for k in ("a", "b", "c"))
-    return at.select(
-        key,
-        "n_words",
-        a.alias("one"),
-        F.when(b.isNotNull(), F.concat_ws(" ", a, b)).alias("two"),
-        F.when(c.isNotNull(), F.concat_ws(" ", a, b, c)).alias("three"),
-    )
+    at = words.select(key, n.alias("n"), F.explode(shifted).alias("z")).select(key, "n", "z.a", "z.b", "z.c")
+    runs = []
+    for k in lengths:
+        parts = ["a", "b", "c"][:k]
+        whole = F.col(parts[-1]).isNotNull()
+        wanted = whole & (F.least("n", F.lit(3)) == k) if longest else whole
+        runs.append(F.when(wanted, F.xxhash64(F.lit(k), *parts)))
+    return at.select(key, F.explode(F.array_compact(F.array(*runs))).alias("run")).distinct()
 
 
 def whole_pattern(statement: Column) -> Column:
-    """The statement as a pattern that is no part of a longer word or number."""
+    """A pattern for the statement where it is no part of a longer word or number.
+
+    A letter or digit at its start may not follow a word's character, and a digit not a point; one
+    at its end may not stand before a word's character, or before a point and a digit.
+    """
     head, tail = F.left(statement, F.lit(1)), F.right(statement, F.lit(1))
+    digit, letter = r"^\d$", r"(?U)^[\p{L}\p{N}]$"
     before = (
-        F.when(head.rlike(r"^\d$"), F.lit(r"(?<![\w.])"))
-        .when(head.rlike(r"(?U)^[\p{L}\p{N}]$"), F.lit(r"(?<!\w)"))
-        .otherwise(F.lit(""))
+        F.when(head.rlike(digit), F.lit(r"(?:^|[^\w.])")).when(head.rlike(letter), F.lit(r"(?:^|\W)")).otherwise(F.lit(""))
     )
-    after = F.when(tail.rlike(r"(?U)^[\p{L}\p{N}]$"), F.lit(r"(?!\w|\.\d)")).otherwise(F.lit(""))
+    after = F.when(tail.rlike(letter), F.lit(r"(?:\z|[^\w.]|\.(?:\z|\D))")).otherwise(F.lit(""))
     quoted = F.concat(F.lit(r"\Q"), F.replace(statement, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))
     return F.concat(F.lit("(?U)"), before, quoted, after)
 
@@ -194,25 +193,29 @@ def whole_pattern(statement: Column) -> Column:
 def contained_statements(statements: DataFrame, documents: DataFrame) -> DataFrame:
     """(statement_id, doc_id) for every statement that occurs whole in a document.
 
-    A statement can only occur where all its word runs occur, so its rarest run picks the
-    candidate documents by an equi-join, and only those are matched in full. Statements of one
-    or two words use runs of that length. Statements without a word have no run and are not
-    looked up.
+    A statement can only occur where all its runs of words occur, so its rarest run picks the
+    candidate documents by an equi-join on hashes, and only those that contain the statement's
+    text are matched at its ends. Statements of one or two words use runs of that length; those
+    without a word are looked up by their first character. A statement of blanks is in no document.
     """
-    s = statements.select("statement_id", collapse_spaces(F.col("statement")).alias("_s"))
+    s = statements.select("statement_id", collapse_spaces(F.col("statement")).alias("_s")).filter(F.trim("_s") != "")
     d = documents.select("doc_id", collapse_spaces(F.col("text")).alias("_t"))
-    longest = (
-        F.when(F.col("n_words") >= 3, F.col("three")).when(F.col("n_words") == 2, F.col("two")).otherwise(F.col("one"))
-    )
-    s_runs = (
-        _word_runs(s, "statement_id", "_s").select("statement_id", longest.alias("run"))
-        .filter("run IS NOT NULL").distinct()
-    )
-    d_runs = _word_runs(d, "doc_id", "_t").select(
-        "doc_id", F.explode(F.array_compact(F.array("one", "two", "three"))).alias("run")
-    )
-    wanted = s_runs.select("run").distinct()
-    hits = cut_lineage(d_runs.join(wanted, "run", "left_semi").distinct())
+    s_runs = _run_keys(s, "statement_id", "_s", (1, 2, 3), longest=True)
+    n_words = F.least(F.size(F.regexp_extract_all("_s", F.lit(WORD), F.lit(1))), F.lit(3))
+    first = F.when(n_words == 0, F.left(F.trim("_s"), F.lit(1)))
+    # At most the four lengths, and the symbols that statements begin with.
+    kinds = s.select(n_words.alias("n"), first.alias("symbol")).distinct().collect()
+    lengths = sorted({r["n"] for r in kinds} - {0})
+    symbols = sorted({r["symbol"] for r in kinds} - {None})
+    d_runs = _run_keys(d, "doc_id", "_t", lengths, longest=False) if lengths else None
+    if symbols:
+        signs = [F.when(F.contains("_t", F.lit(c)), F.xxhash64(F.lit(0), F.lit(c))) for c in symbols]
+        by_sign = d.select("doc_id", F.explode(F.array_compact(F.array(*signs))).alias("run"))
+        d_runs = by_sign if d_runs is None else d_runs.unionAll(by_sign)
+        s_runs = s_runs.unionAll(s.filter(n_words == 0).select("statement_id", F.xxhash64(F.lit(0), first).alias("run")))
+    if d_runs is None:
+        return statements.join(documents.select("doc_id"), F.lit(False)).select("statement_id", "doc_id")
+    hits = cut_lineage(d_runs.join(s_runs.select("run").distinct(), "run", "left_semi"))
     spread = hits.groupBy("run").agg(F.count("*").alias("docs"))
     rarest = (
         s_runs.join(spread, "run", "left")
@@ -222,7 +225,8 @@ def contained_statements(statements: DataFrame, documents: DataFrame) -> DataFra
     )
     candidates = rarest.join(hits, "run").select("statement_id", "doc_id")
     texts = candidates.join(d, "doc_id").join(s, "statement_id")
-    return texts.filter(F.rlike(F.col("_t"), whole_pattern(F.col("_s")))).select("statement_id", "doc_id")
+    whole = F.contains("_t", "_s") & F.rlike(F.col("_t"), whole_pattern(F.col("_s")))
+    return texts.filter(whole).select("statement_id", "doc_id")
 
 
 def missing_statements(statements: DataFrame, documents: DataFrame) -> DataFrame:

@@ -37,18 +37,6 @@ def ranked_intensity_window(pixels: DataFrame, keys: Sequence[str], value: str =
     return percentiles(pixels, keys, value, {"low": low, "high": high})
 
 
-def approx_intensity_window(
-    pixels: DataFrame, keys: Sequence[str], value: str = "value", accuracy: int = 10000
-) -> DataFrame:
-    """Sketch of the window, for float volumes whose distinct values are too many to count."""
-    tails = [float(p) for p in WINDOW_PERCENTILES]
-    return (
-        pixels.groupBy(*keys)
-        .agg(F.percentile_approx(value, tails, accuracy).alias("_w"))
-        .select(*keys, F.col("_w")[0].alias("low"), F.col("_w")[1].alias("high"))
-    )
-
-
 def windowed(value: Column, low: Column, high: Column) -> Column:
     """The window mapped onto [0, 1], clipped outside it."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))

@@ -38,9 +38,9 @@ def select_threshold(
             ]
         ).alias("at"),
     )
-    p, n = F.col("positives"), F.col("negatives")
+    p, n = (F.col(c).cast("decimal(18, 0)") for c in ("positives", "negatives"))
     scored = counts.withColumn(
-        "_j", F.transform("at", lambda a: a["tp"] * n + a["tn"] * p - p * n)
+        "_j", F.transform("at", lambda a: (a["tp"] * n + a["tn"] * p - p * n).cast("decimal(38, 0)"))
     ).withColumn("_best", F.array_max("_j"))
     tied = F.filter(
         F.arrays_zip("at", "_j"), lambda z: z["_j"] == F.col("_best")

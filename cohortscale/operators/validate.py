@@ -168,11 +168,14 @@ def margin_acceptance(manifest: DataFrame, margins: Sequence[float]) -> DataFram
 
 
 def header_mismatches(image: DataFrame, reference: DataFrame) -> DataFrame:
-    """Patients whose image and reference headers disagree on size or spacing."""
+    """Patients whose image and reference headers disagree on size or spacing.
+
+    A patient with only one of the two differs in both.
+    """
     r = reference.select(
         "patient_id", F.col("shape").alias("r_shape"), F.col("spacing_mm").alias("r_spacing")
     )
-    joined = image.join(r, "patient_id")
+    joined = image.join(r, "patient_id", "full")
     return joined.select(
         "patient_id",
         (~F.col("shape").eqNullSafe(F.col("r_shape"))).alias("size_differs"),

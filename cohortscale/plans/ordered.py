@@ -78,9 +78,14 @@ def running(
 def ranked(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rank"
 ) -> DataFrame:
-    """Row number from 1 per ``keys`` in ``order``, without sorting a group in one task."""
-    tagged = range_bucket(df, [*keys, *order])
-    return running(tagged, keys, "_part", order, {name: ("sum", F.lit(1), True)}).drop("_part")
+    """Row number from 1 per ``keys`` in ``order``, without sorting a group in one task.
+
+    Rows equal in ``order`` come in an order of their own, scrambled so that it tells nothing, and
+    may be in different buckets. The tagged rows are stored, so their order stays.
+    """
+    tied = df.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
+    tagged = range_bucket(tied, [*keys, *order, "_tie"])
+    return running(tagged, keys, "_part", [*order, "_tie"], {name: ("sum", F.lit(1), True)}).drop("_part", "_tie")
 
 
 def hash_ranked(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscale.operators import masks, splits
-from cohortscale.plans.ordered import running
+from cohortscale.plans.ordered import range_bucket, running
 
 CLASSES = ("A", "N", "R")
 VENDORS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -198,10 +198,10 @@ class Views:
 
     @cached_property
     def epochs(self) -> DataFrame:
-        """The log numbered per run from 0 in time order; hours are the buckets of a long run."""
-        hours = self.log.withColumn("_hour", F.floor(F.unix_micros("ts") / 3_600_000_000))
-        out = running(hours, ["run"], "_hour", ["ts", "event_id"], {"epoch": ("sum", F.lit(1), False)})
-        return out.drop("_hour")
+        """The log numbered per run from 0 in time order; ranges of it are the buckets of a long run."""
+        ranges = range_bucket(self.log, ["run", "ts", "event_id"])
+        out = running(ranges, ["run"], "_part", ["ts", "event_id"], {"epoch": ("sum", F.lit(1), False)})
+        return out.drop("_part")
 
 
 def spacing_of(vendor: Column, key: Column) -> Column:

@@ -65,11 +65,6 @@ def load_split(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def save_split_table(split: DataFrame, path: str) -> None:
-    """The long table, partitioned so that a run reads only its fold and bucket."""
-    split.write.mode("errorifexists").partitionBy("fold_id", "bucket").parquet(path)
-
-
 def publish_csv(rows: DataFrame, path: str, single_file: bool = False) -> None:
     """A published table; one file only for tables known to be small, such as a report's."""
     out = rows.coalesce(1) if single_file else rows
@@ -87,8 +82,3 @@ def publish_json(rows: DataFrame, path: str) -> None:
 
 def read_published_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
-
-
-def check_columns(rows: DataFrame, expected: Sequence[str]) -> None:
-    if list(rows.columns) != list(expected):
-        raise ValidationError(f"columns {rows.columns}, expected {list(expected)}")

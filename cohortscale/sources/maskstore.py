@@ -34,13 +34,6 @@ def save(voxels: DataFrame, path: str, sample: str = "sample_id") -> None:
     ).parquet(f"{path}/manifest")
 
 
-def save_bucketed(
-    voxels: DataFrame, table: str, sample: str = "sample_id", buckets: int = BUCKETS
-) -> None:
-    """As a catalog table bucketed by sample: later joins and groupings by sample need no shuffle."""
-    voxels.write.mode("errorifexists").bucketBy(buckets, sample).sortBy(sample).saveAsTable(table)
-
-
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/voxels")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscale.operators import logs
-from cohortscale.plans.ordered import running
+from cohortscale.plans.ordered import range_bucket, running
 from cohortscale.session import scratch_path
 
 
@@ -26,10 +26,6 @@ def read_json_log(spark: SparkSession, folder: str, schema: str, files_per_batch
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def read_csv_log(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(folder)
-
-
 def append_json(stream: DataFrame, path: str, checkpoint: str):
     """Append-only JSON Lines sink, checkpointed; processes what is there and stops."""
     return (
@@ -132,8 +128,8 @@ def prior_accesses_step(batch: DataFrame, carried: DataFrame | None) -> tuple[Da
         fresh.filter("_again").groupBy(*keys, "run_id").agg(F.min(F.struct("ts", "entry")).alias("_f"))
         .select(*keys, F.col("_f.ts").alias("ts"), F.col("_f.entry").alias("entry"), F.lit(1).alias("_less"))
     )
-    tagged = fresh.join(again, [*keys, "ts", "entry"], "left").withColumn("_hour", logs.hour_bucket())
-    lowered = running(tagged, keys, "_hour", ["ts", "entry"], {"_minus": ("sum", "_less", False)})
+    tagged = range_bucket(fresh.join(again, [*keys, "ts", "entry"], "left"), [*keys, "ts", "entry"])
+    lowered = running(tagged, keys, "_part", ["ts", "entry"], {"_minus": ("sum", "_less", False)})
     out = lowered.join(before, keys, "left").withColumn(
         "prior", F.col("prior") - F.col("_minus") + F.coalesce("_before", F.lit(0))
     )
