@@ -72,33 +72,29 @@ def forward_labels(voxels: DataFrame, heights: DataFrame, sample: str = "sample_
     return out.withColumn("y", rows).drop("h", "h2")
 
 
-def linear_weights(heights: DataFrame) -> DataFrame:
-    """(h, h2, y, row, weight) for linear resampling with half-pixel centres."""
-    pairs = heights.select("h", "h2").distinct()
-    rows = pairs.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("h2") - 1)))
-    at = F.greatest(F.lit(0.0), (F.col("row") + 0.5) * F.col("h") / F.col("h2") - 0.5)
-    rows = rows.withColumn("_at", at).withColumn("_lo", F.floor("_at").cast("int"))
-    upper = F.least(F.col("_lo") + 1, F.col("h") - 1)
-    w = F.col("_at") - F.col("_lo")
-    taps = F.array(
-        F.struct(F.col("_lo").alias("y"), (1 - w).alias("weight")),
-        F.struct(upper.alias("y"), w.alias("weight")),
-    )
-    return rows.select("h", "h2", "row", F.explode(taps).alias("t")).select(
-        "h", "h2", "row", "t.y", "t.weight"
-    )
-
-
 def forward_intensities(
     pixels: DataFrame, heights: DataFrame, sample: str = "sample_id", value: str = "value"
 ) -> DataFrame:
-    """Linear regrid of intensities along the rows; absent pixels are zero."""
-    taps = linear_weights(heights)
+    """Linear regrid of intensities along the rows, half-pixel centres; absent pixels are zero.
+
+    Row y feeds the target rows whose centre lies less than a row away from it, an interval that
+    follows from the heights, so pixels are not joined by row.
+    """
+    h, h2, y, row = (F.col(c) for c in ("h", "h2", "y", "_row"))
+    first = F.greatest(F.floor((y - 0.5) * h2 / h - 0.5).cast("int") - 1, F.lit(0))
+    last = F.least(F.ceil((y + 1.5) * h2 / h - 0.5).cast("int") + 1, h2 - 1)
+    at = F.greatest(F.lit(0.0), (row + 0.5) * h / h2 - 0.5)
+    low = F.floor(at).cast("int")
+    high = F.least(low + 1, h - 1)
+    share = at - low
+    weight = F.when(low == y, 1 - share).otherwise(F.lit(0.0)) + F.when(high == y, share).otherwise(F.lit(0.0))
     return (
         pixels.join(heights, sample)
-        .join(taps, ["h", "h2", "y"])
-        .groupBy(sample, "z", F.col("row").alias("y"), "x")
-        .agg(F.sum(F.col(value) * F.col("weight")).alias(value))
+        .filter(last >= first)
+        .withColumn("_row", F.explode(F.sequence(first, last)))
+        .filter((low == y) | (high == y))
+        .groupBy(sample, "z", F.col("_row").alias("y"), "x")
+        .agg(F.sum(F.col(value) * weight).alias(value))
     )
 
 
@@ -120,34 +116,28 @@ def crop_to_content(voxels: DataFrame, boxes: DataFrame, sample: str = "sample_i
     return out.select(*voxels.columns)
 
 
-def nearest_rows(heights: DataFrame) -> DataFrame:
-    """(h, h2, row, y): for each native row ``y`` the resampled row that stands for it.
+def _stand_in(y: Column, h: Column, h2: Column) -> Column:
+    """The resampled row that stands for native row ``y``.
 
     The candidates are the first resampled row whose source row is not above ``y`` and the one
     before it; the nearer source wins, and on a tie the even row.
     """
-    pairs = heights.select("h", "h2").distinct()
-    rows = pairs.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
-    h, h2, y = F.col("h"), F.col("h2"), F.col("y")
-
-    def source(i: Column) -> Column:
-        return F.floor(i * h / h2).cast("int")
-
     after = F.least(_ceil_div(y * h2, h), h2 - 1)
-    rows = rows.withColumn("_after", after)
-    rows = rows.withColumn("_before", F.greatest(F.col("_after") - 1, F.lit(0)))
-    d_before, d_after = y - source(F.col("_before")), source(F.col("_after")) - y
-    even = F.when(F.col("_before") % 2 == 0, F.col("_before")).otherwise(F.col("_after"))
-    row = (
-        F.when(d_before < d_after, F.col("_before"))
-        .when(d_after < d_before, F.col("_after"))
-        .otherwise(even)
-    )
-    return rows.select("h", "h2", row.alias("row"), "y")
+    before = F.greatest(after - 1, F.lit(0))
+    d_before, d_after = y - F.floor(before * h / h2).cast("int"), F.floor(after * h / h2).cast("int") - y
+    even = F.when(before % 2 == 0, before).otherwise(after)
+    return F.when(d_before < d_after, before).when(d_after < d_before, after).otherwise(even)
 
 
 def inverse_labels(voxels: DataFrame, heights: DataFrame, sample: str = "sample_id") -> DataFrame:
-    """Labels on resampled rows back on the native rows they stand for."""
-    back = nearest_rows(heights)
-    resampled = voxels.withColumnRenamed("y", "row").join(heights, sample)
-    return resampled.join(back, ["h", "h2", "row"]).select(*voxels.columns)
+    """Labels on resampled rows back on the native rows they stand for.
+
+    The native rows of a resampled row lie between the sources of the rows around it, so they are
+    an interval to try and voxels are not joined by row.
+    """
+    h, h2, row = F.col("h"), F.col("h2"), F.col("_row")
+    first = F.greatest(F.floor((row - 1) * h / h2).cast("int"), F.lit(0))
+    last = F.when(row >= h2 - 2, h - 1).otherwise(F.least(F.ceil((row + 1) * h / h2).cast("int"), h - 1))
+    resampled = voxels.withColumnRenamed("y", "_row").join(heights, sample).filter((row >= 0) & (row < h2))
+    tried = resampled.withColumn("y", F.explode(F.sequence(first, last)))
+    return tried.filter(_stand_in(F.col("y"), h, h2) == row).select(*voxels.columns)

@@ -89,15 +89,11 @@ def carry_over(
 
 
 def access_counts(log: DataFrame) -> DataFrame:
-    """Runs per bucket and fold; the state is the set of runs, entries without a run are singles."""
-    who = F.coalesce(
-        F.concat(F.lit("run:"), F.col("run_id").cast("string")),
-        F.concat(F.lit("entry:"), F.col("entry").cast("string")),
-    )
-    return (
-        log.withColumn("_who", who).dropDuplicates(["bucket", "fold_id", "_who"])
-        .groupBy("bucket", "fold_id").agg(F.count("*").alias("accesses"))
-    )
+    """Runs per bucket and fold; the state is the set of runs. Entries without a run are singles, kept nowhere."""
+    keys = ["bucket", "fold_id"]
+    runs = log.filter("run_id IS NOT NULL").dropDuplicates([*keys, "run_id"]).select(*keys)
+    singles = log.filter("run_id IS NULL").select(*keys)
+    return runs.union(singles).groupBy(*keys).agg(F.count("*").alias("accesses"))
 
 
 def gate_calls(log: DataFrame) -> DataFrame:

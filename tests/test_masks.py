@@ -113,7 +113,10 @@ def test_regrid_round_trip_against_indices(spark, h, h2):
     forward = regrid.forward_labels(column.withColumn("src", F.col("y")), heights)
     source = {r.y: r.src for r in forward.collect()}
     assert source == {i: i * h // h2 for i in range(h2)}
-    back = {r.y: r.row for r in regrid.nearest_rows(heights).collect()}
+    resampled = spark.createDataFrame([("s", "a", 0, y, 0) for y in range(h2)], VOXEL).withColumn("row", F.col("y"))
+    found = regrid.inverse_labels(resampled, heights).collect()
+    back = {r.y: r.row for r in found}
+    assert len(found) == h == len(back)
     src = np.array([i * h // h2 for i in range(h2)])
     for y in range(h):
         best = np.abs(src - y).min()
