@@ -71,7 +71,28 @@ def e2_undefined(v):
     return rounded(bootstrap.estimate(rows, ["vendor", "cls"], BOOT, value="score"), places=4)
 
 
-@query("E2_poisson_bootstrap")
+def _poisson_sql() -> str:
+    term, below, above = 0.36787944117144233, 0.0, []
+    for k in range(1, 18):
+        below += term
+        above.append(f"(u > {below!r}::DOUBLE)::INT")
+        term /= k
+    place = draw_index("'poisson'", str(1 << 40), s="patient")
+    return f"""sums AS (SELECT cls, patient_id AS patient, sum(dice) AS t, count(*) AS c FROM per_volume
+      WHERE dice IS NOT NULL AND NOT isnan(dice::DOUBLE) GROUP BY ALL),
+    placed AS (SELECT cls, r, t, c, ({place} + 0.5::DOUBLE) / {1 << 40}::DOUBLE AS u FROM sums, range({BOOT.n_resamples}) rr(r)),
+    weighed AS (SELECT *, {' + '.join(above)} AS k FROM placed),
+    reps AS (SELECT cls, r, sum(t * k) / sum(c * k) AS mean FROM weighed GROUP BY ALL HAVING sum(c * k) > 0),
+    tails AS (SELECT cls, quantile_cont(mean, 0.025::DOUBLE) AS lo, quantile_cont(mean, 0.975::DOUBLE) AS hi FROM reps GROUP BY cls),
+    cells AS (SELECT cls, count(*) AS n, sum(t) / sum(c) AS value FROM sums GROUP BY cls),
+    est AS (SELECT cls, value, CASE WHEN n = 1 THEN value ELSE lo END AS ci_low, CASE WHEN n = 1 THEN value ELSE hi END AS ci_high, n,
+      (SELECT count(*) FROM per_volume p WHERE p.cls = c.cls) AS n_measurements FROM cells c LEFT JOIN tails USING (cls))"""
+
+
+@query(
+    "E2_poisson_bootstrap",
+    with_ctes(PER_VOLUME, _poisson_sql()) + f"SELECT cls, {EST_SQL}, n, n_measurements FROM est",
+)
 def e2_poisson(v):
     out = bootstrap.estimate(v.per_volume, ["cls"], BOOT, value="dice", method="poisson")
     return rounded(out)
