@@ -24,9 +24,14 @@ COMMON_SEEN = 4
 COMMON_MOST = 1 << 20
 #: Documents up to which the ids to verify are sent to every task.
 BROADCAST_ROWS = 1 << 20
-#: Documents of a tile, and tasks over which the partners of one document are spread.
-TILE = 2048
+#: Documents of a tile, pairs compared at a time, and tasks over which the partners of one document are spread.
+TILE = 1024
+PAIRS = 1 << 17
 SPREAD = 16
+#: Centres that a key's documents are compared with before they are compared among themselves.
+CENTRES = 8
+#: Words a task remembers the hash of.
+REMEMBERED = 1 << 18
 _ODD = np.random.default_rng(7).integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _NONE = np.zeros(0, np.uint64)
@@ -43,7 +48,7 @@ def shingles(text: str | None, memo: dict[str, int], words: int = WORDS) -> np.n
         return _NONE
     if len(tokens) < words:
         return np.array([_hashed(" ".join(tokens))], np.uint64)
-    if len(memo) > 1 << 20:
+    if len(memo) > REMEMBERED:
         memo.clear()
     known = []
     for t in tokens:
@@ -267,32 +272,59 @@ def _verified(documents: DataFrame, pairs: DataFrame, words: int, percent: int)
     return met.mapInArrow(verify, f"a {kind}, b {kind}")
 
 
-def _open_pairs(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _mixed(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, band, doc_id, n, component_id, m): rows of the keys whose documents are of more than one group."""
+    named = shared.join(groups, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    named = named.select("key", "band", "doc_id", "n", "component_id")
+    keys = named.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count("*").alias("m"))
+    return named.join(keys.filter("low < high").select("key", "m"), "key")
+
+
+def _central_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a document and a centre of its key and band that is of another group.
+
+    A centre is drawn by hash, one of CENTRES for each band of a key's kind, so a large group that one document does
+    not hold together is tried from several sides, at a cost in proportion to its size.
+    """
+    order = F.xxhash64("doc_id", F.pmod(F.col("key"), F.lit(CENTRES)))
+    centres = mixed.groupBy("key", "band").agg(F.min(F.struct(order.alias("h"), "doc_id", "component_id")).alias("c"))
+    pairs = mixed.join(centres, ["key", "band"]).filter(F.col("component_id") != F.col("c.component_id"))
+    return pairs.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
+
+
+def _open_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that share a key, are of different groups and may be linked.
 
-    Only keys whose documents are of more than one group are left. Their documents are dealt into
-    tiles of about TILE by (key, tile, tile), and a tile compares bitmaps, not texts.
+    The documents of a key are dealt into tiles of about TILE by (key, tile, tile), and a tile
+    compares bitmaps, not texts.
     """
-    named = shared.join(groups, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    named = named.select("key", "doc_id", "n", "component_id")
-    mixed = named.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count("*").alias("m"))
-    tiles = F.ceil(F.col("m") / TILE)
-    spots = named.join(mixed.filter("low < high").select("key", tiles.alias("tiles")), "key")
+    spots = mixed.withColumn("tiles", F.ceil(F.col("m") / TILE))
     mine = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
     spots = spots.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int"))))
     spots = spots.withColumn("t1", F.least("mine", "other")).withColumn("t2", F.greatest("mine", "other"))
     spots = spots.join(sets.select("doc_id", "signature"), "doc_id")
-
     kind = sets.schema["doc_id"].dataType.simpleString()
     columns = ["key", "t1", "t2", "mine", "n", "component_id", "doc_id", "signature"]
 
-    def compare(rows: pa.Table) -> pa.RecordBatch:
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key, t1, t2, mine, n, group, ids = (rows[c].to_numpy() for c in columns[:-1])
+        maps, kind_of = rows["signature"], rows["doc_id"].type
+
+        def judged(found: list[np.ndarray]) -> pa.RecordBatch:
+            i, j = np.concatenate(found, axis=1)
+            low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            order = np.lexsort((high, low))
+            once = np.ones(len(order), bool)
+            once[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+            at = order[once]
+            keep = at[plausible(n[i[at]], n[j[at]], maps.take(pa.array(i[at])), maps.take(pa.array(j[at])), percent)]
+            return pa.RecordBatch.from_arrays([pa.array(x[keep], kind_of) for x in (low, high)], names=["a", "b"])
+
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])
         last = np.append(np.flatnonzero(new)[1:], len(key)) - 1
         left = last[np.cumsum(new) - 1] - np.arange(len(key))
-        found, away, at = [], 0, np.arange(len(key))
+        found, held, away, at = [], 0, 0, np.arange(len(key))
         while True:  # rows of a tile that stand ``away`` apart; they follow each other by size
             away += 1
             at = at[left[at] >= away]
@@ -301,16 +333,12 @@ def _open_pairs(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent:
             to = at + away
             ok = (group[at] != group[to]) & (ids[at] != ids[to]) & (100 * n[at] >= percent * n[to]) & ((t1[at] == t2[at]) | (mine[at] != mine[to]))
             found.append(np.stack([at[ok], to[ok]]))
-        i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), int)
-        low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        order = np.lexsort((high, low))
-        low, high, i, j = low[order], high[order], i[order], j[order]
-        once = np.ones(len(low), bool)
-        once[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        low, high, i, j = low[once], high[once], i[once], j[once]
-        keep = plausible(n[i], n[j], rows["signature"].take(pa.array(i)), rows["signature"].take(pa.array(j)), percent)
-        ends = [pa.array(x[keep], rows["doc_id"].type) for x in (low, high)]
-        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+            held += int(ok.sum())
+            if held >= PAIRS:
+                yield judged(found)
+                found, held = [], 0
+        if held:
+            yield judged(found)
 
     def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # rows of the last tile, which may go on
@@ -323,9 +351,9 @@ def _open_pairs(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent:
             whole = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
             held = rows.slice(whole)
             if whole:
-                yield compare(rows.slice(0, whole))
+                yield from compare(rows.slice(0, whole))
         if held is not None and len(held):
-            yield compare(held)
+            yield from compare(held)
 
     spread = spots.select(*columns).repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "n")
     return spread.mapInArrow(tiles_of, f"a {kind}, b {kind}").distinct()
@@ -341,9 +369,9 @@ def similar_documents(documents: DataFrame, words: int = WORDS, percent: int = P
 
     Two linked sets share a shingle among the first few of each, in any one order of shingles; the
     order puts common shingles last, so a passage many documents share brings few of them
-    together. Documents of one such shingle and size band are compared with the first of them;
-    what these links have not yet joined is compared pair by pair within tiles of a shingle, where
-    sizes and bitmaps bound the overlap from above. What may be linked is intersected exactly. No
+    together. Documents of one such shingle and size band are compared with the first of them, then, as
+    far as these links have not yet joined them, with centres drawn by hash, and what is left is compared
+    pair by pair within tiles of a shingle; sizes and bitmaps bound the overlap from above. What may be linked is intersected exactly. No
     partner is dropped.
 
     A NULL text is empty; a row without an id takes no part and has no component; rows that repeat
@@ -357,12 +385,17 @@ def similar_documents(documents: DataFrame, words: int = WORDS, percent: int = P
     sets = sets.filter("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "n_shingles", "signature")
     shared = cut_lineage(_shared_keys(_prefix_rows(documents, common, words, percent)))
     stars = shared.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = cut_lineage(_verified(documents, _plausible(stars, sets, percent), words, percent))
+    tried = cut_lineage(_plausible(stars, sets, percent))
+    links = cut_lineage(_verified(documents, tried, words, percent))
     groups = cut_lineage(components(links, "a", "b"))
-    rest = cut_lineage(_open_pairs(shared, groups, sets, percent).join(links, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = _verified(documents, rest, words, percent)
-        groups = cut_lineage(components(links.unionAll(more), "a", "b"))
+    for last in (False, True):
+        mixed = cut_lineage(_mixed(shared, groups))
+        pairs = _open_pairs(mixed, sets, percent) if last else _plausible(_central_pairs(mixed), sets, percent)
+        pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            tried = tried.unionAll(pairs)
+            links = cut_lineage(links.unionAll(_verified(documents, pairs, words, percent)))
+            groups = cut_lineage(components(links, "a", "b"))
     return sizes.join(groups, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
