@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from cohortscale.llm.rows import lower_ascii
 
-# A unit ends with its line or with its sentence, and owns the white space after it.
-UNIT = re.compile(r"[^\n.!?]*[.!?\s]*")
-#: Words a run of repeated units must have to be cut.
-MIN_WORDS = 50
+# A unit ends with its line, with its sentence, or before a capital, and owns the white space there.
+END = re.compile("[.!?]+\\s*|\n\\s*|\\s(?=[A-Z\u00c0-\u00de])")
+#: Words a run of repeated units must have to be cut: a passage of over 50 words may lose a broken unit at each end.
+MIN_WORDS = 40
 
 
 def units(text: str) -> Iterator[tuple[int, int, str]]:
@@ -23,11 +23,13 @@ def units(text: str) -> Iterator[tuple[int, int, str]]:
 
     The normal form has A-Z lower-cased and single spaces; it is empty for a unit without a word.
     """
-    lowered = lower_ascii(text)
-    for found in UNIT.finditer(lowered):
-        a, b = found.span()
-        if b > a:
-            yield a, b, " ".join(lowered[a:b].split())
+    lowered, a = lower_ascii(text), 0
+    for found in END.finditer(text):
+        b = found.end()
+        yield a, b, " ".join(lowered[a:b].split())
+        a = b
+    if a < len(text):
+        yield a, len(text), " ".join(lowered[a:].split())
 
 
 def digest(unit: str) -> bytes:
@@ -93,7 +95,7 @@ def repeated_runs(text: str, again: set[int], min_words: int) -> list[tuple[int,
 def remove_repeated_units(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``documents`` with every repeated passage cut but for its earliest place, and where it stood.
 
-    ``documents`` (doc_id, text, ...). A text is cut into lines and these into sentences; a unit is
+    ``documents`` (doc_id, text, ...). A text is cut into lines, these into sentences, and these before capitals; a unit is
     lower-cased (A-Z) and its white space made single; units are told apart by 128-bit digests over
     all documents. The place ranked earliest by (doc_id, position) stays, the others are repeated. A
     run of repeated units is cut if it has ``min_words`` words or more in all, so common short

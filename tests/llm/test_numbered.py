@@ -257,17 +257,17 @@ def brute_repeats(documents, min_words):
 
 def test_repeated_passages_are_cut_but_for_the_first(spark, documents, odd, none):
     passage = " ".join(f"Finding{i} was graded{i} twice{i} today." for i in range(15))
-    rows = [(9000, f"Own start here. {passage} Own end."), (9001, f"Other words. {passage.upper()}\nMore of it."), (9002, passage), (9003, "Own start here. Es.")]
+    rows = [(9000, f"Own start here. {passage} Own end."), (9001, f"Other words. {passage.upper()}\nMore of it."), (9002, passage), (9003, "Own start here. Es."), (9004, f"broken off here {passage} and goes on")]
     docs = documents.select("doc_id", "text").unionAll(spark.createDataFrame(rows, "doc_id long, text string"))
     plain = [tuple(r) for r in docs.collect()]
-    want = brute_repeats(plain, 50)
+    want = brute_repeats(plain, unit_dedup.MIN_WORDS)
     got = {r["doc_id"]: r for r in unit_dedup.remove_repeated_units(docs).collect()}
     for doc_id, text in plain:
         spans = [tuple(s) for s in got[doc_id]["removed"]]
         assert spans == want[doc_id]
         kept = "".join(c for i, c in enumerate(text) if not any(a <= i < b for a, b in spans))
         assert got[doc_id]["text"] == kept
-    assert got[9000]["removed"] == [] and got[9001]["text"] == "Other words. More of it." and got[9002]["text"] == "" and got[9003]["removed"] == []
+    assert got[9000]["removed"] == [] and got[9001]["text"] == "Other words. More of it." and got[9002]["text"] == "" and got[9004]["text"] == "broken off here and goes on" and got[9003]["removed"] == []
     clashing = odd.drop("removed")
     assert rows_of(unit_dedup.remove_repeated_units(clashing), "doc_id")[0:1] and unit_dedup.remove_repeated_units(clashing).count() == odd.count()
     assert unit_dedup.remove_repeated_units(none.drop("removed")).count() == 0

@@ -9,7 +9,7 @@ import public_tokenizers
 import tiktoken
 from test_numbered import brute_components, brute_contamination, brute_repeats
 
-from cohortscale.llm import catalog, quality_kernel
+from cohortscale.llm import catalog, quality_kernel, unit_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,7 +35,7 @@ def test_stages_do_what_they_say(spark, tmp_path):
     assert {r["doc_id"] for r in kept["near_duplicates out"]} == want
 
     texts = [(r["doc_id"], r["text"]) for r in kept["substring_dedup"]]
-    spans, after = brute_repeats(texts, 50), {r["doc_id"]: r["text"] for r in kept["substring_dedup out"]}
+    spans, after = brute_repeats(texts, unit_dedup.MIN_WORDS), {r["doc_id"]: r["text"] for r in kept["substring_dedup out"]}
     for doc_id, text in texts:
         assert after[doc_id] == "".join(c for i, c in enumerate(text) if not any(a <= i < b for a, b in spans[doc_id]))
 
