@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from cohortscale.llm.rows import lower_ascii
 
-# A unit ends with its line, with its sentence, or before a capital, and owns the white space there.
-END = re.compile("[.!?]+\\s*|\n\\s*|\\s(?=[A-Z\u00c0-\u00de])")
+# A unit ends with its line, with its sentence, or before a word with a single capital, and owns the white space there.
+END = re.compile("[.!?]+\\s*|\n\\s*|\\s(?=[A-Z\u00c0-\u00de](?![A-Z\u00c0-\u00de]))")
 #: Words a run of repeated units must have to be cut: a passage of over 50 words may lose a broken unit at each end.
 MIN_WORDS = 40
 
