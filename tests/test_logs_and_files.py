@@ -225,7 +225,7 @@ def test_sessions_pair_starts_and_ends(spark):
     rows = spark.createDataFrame([("r", i, k) for i, k in enumerate(kinds)], "run STRING, at INT, event STRING")
     out = logs.sessions(
         rows.withColumn("b", F.floor(F.col("at") / 2)), ["run"], F.col("event") == "session_start",
-        F.col("event") == "session_end", "b", ["at"],
+        F.col("event") == "session_end", ["at"],
     )
     got = {r.session: (r.events, r.ended, r.resumed) for r in out.collect()}
     assert got == {1: (3, True, False), 2: (2, False, True), 3: (2, True, True)}
