@@ -1,111 +1,220 @@
-"""Passages that stand in several documents: all but the earliest are cut, by line and sentence."""
+"""Passages that stand in several places: all but the earliest are cut, to the word."""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cohortscale.llm.rows import lower_ascii
 
-# A unit ends with its line, with its sentence, or before a word with a single capital, and owns the white space there.
-END = re.compile("[.!?]+\\s*|\n\\s*|\\s(?=[A-Z\u00c0-\u00de](?![A-Z\u00c0-\u00de]))")
-#: Words a run of repeated units must have to be cut: a passage of over 50 words may lose a broken unit at each end.
+#: Words that a passage must have to be cut where it stands again.
 MIN_WORDS = 40
+#: Words of an anchor: windows are compared only if the least anchor hash in them was met twice.
+ANCHOR_WORDS = 16
+#: Words hashed at a time, and distinct words whose digests a task remembers.
+LOT, REMEMBERED = 1 << 17, 1 << 19
+_WORD = re.compile(r"\S+")
+# Two lanes, mixed apart.
+_LEFT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_RIGHT = np.array([0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+_LAST = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
-def units(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normal form) of each unit of a text; the units cover the text.
+class _Digests(dict):
+    """128-bit digest of each word asked for."""
 
-    The normal form has A-Z lower-cased and single spaces; it is empty for a unit without a word.
-    """
-    lowered, a = lower_ascii(text), 0
-    for found in END.finditer(text):
-        b = found.end()
-        yield a, b, " ".join(lowered[a:b].split())
-        a = b
-    if a < len(text):
-        yield a, len(text), " ".join(lowered[a:].split())
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        return found
 
 
-def digest(unit: str) -> bytes:
-    return hashlib.blake2b(unit.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _hashes(words: list[str], digests: _Digests) -> np.ndarray:
+    return np.frombuffer(b"".join([digests[w] for w in words]), np.uint64).reshape(-1, 2)
 
 
-def document_units(documents: DataFrame) -> DataFrame:
-    """(doc_id, at, digest) of every unit with a word; ``at`` counts all units of a text from 0."""
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = (a * _LEFT) ^ (b + _RIGHT)
+    out ^= out >> np.uint64(29)
+    out *= _LAST
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def joined_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash, in two lanes, of every ``n`` words that follow each other."""
+    power, out, done, step = hashes, None, 0, 1
+    while done < n:
+        if n & step:
+            out = power if out is None else _mixed(out[: len(power) - done], power[done:])
+            done += step
+        if done < n:
+            power = _mixed(power[:-step], power[step:])
+            step *= 2
+    return out
+
+
+def _slid(x: np.ndarray, n: int, op: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """``op`` over every ``n`` entries that follow each other."""
+    step = 1
+    while 2 * step <= n:
+        x = op(x[:-step], x[step:])
+        step *= 2
+    return op(x[: len(x) - (n - step)], x[n - step :]) if n > step else x
+
+
+def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, digest) of every ``min_words`` words of a text that follow each other.
+
+    A-Z count as lower case and white space as single; ``end`` is where the next word starts.
+    """
+    starts = [m.start() for m in _WORD.finditer(text)]
+    if len(starts) >= min_words:
+        found = joined_hashes(_hashes(lower_ascii(text).split(), _Digests()), min_words)
+        starts.append(len(text))
+        for i, form in enumerate(found):
+            yield starts[i], starts[i + min_words], form.tobytes()
+
+
+def _lots(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of ``min_words`` words or more, a lot at a time: their rows' other values, which text
+    each word is of, where the text starts, and the words' hashes."""
+    digests, held, sizes, hashes, n = _Digests(), [], [], [], 0
+
+    def lot():
+        each = np.array(sizes)
+        return held, np.repeat(np.arange(len(each)), each), np.cumsum(each) - each, np.concatenate(hashes)
+
+    for batch in batches:
+        for row in zip(*(batch.column(i) for i in range(batch.num_columns))):
+            words = lower_ascii(row[1].as_py()).split()
+            if len(words) < min_words:
+                continue
+            held.append((row[0].as_py(), *row[2:]))
+            sizes.append(len(words))
+            hashes.append(_hashes(words, digests))
+            n += len(words)
+            if n >= LOT:
+                yield lot()
+                held, sizes, hashes, n = [], [], [], 0
+    if held:
+        yield lot()
+
+
+def _least_anchors(owner: np.ndarray, hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each anchor, the least of them in each window, and whether the window is of one text."""
+    size = min(ANCHOR_WORDS, min_words)
+    anchors = joined_hashes(hashes, size)[:, 0]
+    least = _slid(anchors, min_words - size + 1, np.minimum)
+    return anchors, least, owner[: len(least)] == owner[min_words - 1 :]
+
+
+def document_anchors(documents: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, anchor, n): anchors that are least in some window of a text, and how many places have them.
+
+    Equal windows have equal least anchors, so a window with one that only one place has is not repeated.
+    """
+    id_type = documents.schema["doc_id"].dataType
+    arrow_type = to_arrow_type(id_type)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, owner, _, hashes in _lots(batches, min_words):
+            anchors, least, whole = _least_anchors(owner, hashes, min_words)
+            edge = np.zeros(len(anchors) - len(least), np.uint64)
+            most = _slid(np.concatenate([edge, np.where(whole, least, np.uint64(0)), edge]), len(edge) + 1, np.maximum)
+            at = np.flatnonzero(anchors == most)
+            at = at[np.lexsort((anchors[at], owner[at]))]
+            new = np.ones(len(at), bool)
+            new[1:] = (anchors[at[1:]] != anchors[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
+            start = np.flatnonzero(new)
+            ids = pa.array([h[0] for h in held], arrow_type).take(pa.array(owner[at[start]]))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(anchors[at[start]].view(np.int64)), pa.array(np.diff(np.append(start, len(at))))], names=["doc_id", "anchor", "n"]
+            )
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, at, digests = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for i, (_, _, form) in enumerate(units(text.as_py())):
-                    if form:
-                        ids.append(doc_id)
-                        at.append(i)
-                        digests.append(digest(form))
-                if len(ids) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(at, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "at", "digest"])
-                    ids, at, digests = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(at, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "at", "digest"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", "text").filter("text IS NOT NULL AND doc_id IS NOT NULL")
-    return rows.mapInArrow(split, f"doc_id {kind}, at int, digest binary")
+    return rows.mapInArrow(find, f"doc_id {id_type.simpleString()}, anchor long, n long")
+
+
+def document_windows(documents: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, at, a, b): place and digest of every window that may be repeated; ``at`` counts the words of a text from 0."""
+    each = document_anchors(documents, min_words)
+    often = each.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    marked = each.join(often, "anchor").groupBy(F.col("doc_id").alias("_dup_id")).agg(F.collect_set("anchor").alias("anchors"))
+    id_type = documents.schema["doc_id"].dataType
+    arrow_type = to_arrow_type(id_type)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, owner, starts, hashes in _lots(batches, min_words):
+            _, least, whole = _least_anchors(owner, hashes, min_words)
+            known = np.concatenate([h[1].values.to_numpy() for h in held]).view(np.uint64)
+            at = np.flatnonzero(whole & np.isin(least, known))
+            digest = joined_hashes(hashes, min_words)[at].view(np.int64)
+            ids = pa.array([h[0] for h in held], arrow_type).take(pa.array(owner[at]))
+            place = (at - starts[owner[at]]).astype(np.int32)
+            columns = [ids, pa.array(place), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "a", "b"])
+
+    rows = documents.select("doc_id", "text").filter("text IS NOT NULL")
+    rows = rows.join(marked, rows["doc_id"] == marked["_dup_id"]).select("doc_id", "text", "anchors")
+    return rows.mapInArrow(cut, f"doc_id {id_type.simpleString()}, at int, a long, b long")
 
 
-def repeated_units(documents: DataFrame) -> DataFrame:
-    """(doc_id, again): places of the units that an earlier place has already, by (doc_id, at).
+def repeated_windows(documents: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, again): places of the windows that an earlier place has already, by (doc_id, at).
 
-    A digest is grouped with partial sums, so a unit in a third of all documents is one row per
+    A digest is grouped with partial sums, so a window in a third of all documents is one row per
     task there; the join back to its occurrences is left to the adaptive skew join.
     """
-    each = document_units(documents)
-    first = each.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).filter("n > 1")
-    again = each.join(first.select("digest", "first"), "digest").filter(
+    each = document_windows(documents, min_words)
+    first = each.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).filter("n > 1")
+    again = each.join(first.select("a", "b", "first"), ["a", "b"]).filter(
         (F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at"))
     )
     return again.groupBy("doc_id").agg(F.collect_set("at").alias("again"))
 
 
 def repeated_runs(text: str, again: set[int], min_words: int) -> list[tuple[int, int]]:
-    """(start, end) of runs of repeated units with at least ``min_words`` words in all.
+    """(start, end) of the runs of words that repeated windows cover.
 
-    Units without a word neither break a run nor begin or end it.
+    Where a window overlaps its own first place in the text, the words of that place stay.
     """
-    spans, start, end, n = [], 0, 0, 0
-    for i, (a, b, form) in enumerate(units(text)):
+    if not again:
+        return []
+    starts = [m.start() for m in _WORD.finditer(text)]
+    edges, first = np.zeros(len(starts) + 1, np.int64), {}
+    for i, (_, _, form) in enumerate(units(text, min_words)):
+        j = first.setdefault(form, i)
         if i in again:
-            if not n:
-                start = a
-            n, end = n + form.count(" ") + 1, b
-        elif form:
-            if n >= min_words:
-                spans.append((start, end))
-            n = 0
-    if n >= min_words:
-        spans.append((start, end))
-    return spans
+            edges[i if j in again else max(i, j + min_words)] += 1
+            edges[i + min_words] -= 1
+    covered = np.diff(np.concatenate([[0], np.cumsum(edges[:-1]) > 0, [0]]).astype(np.int8))
+    starts = [0, *starts[1:], len(text)]
+    return [(starts[a], starts[b]) for a, b in zip(np.flatnonzero(covered > 0), np.flatnonzero(covered < 0))]
 
 
 def remove_repeated_units(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``documents`` with every repeated passage cut but for its earliest place, and where it stood.
 
-    ``documents`` (doc_id, text, ...). A text is cut into lines, these into sentences, and these before capitals; a unit is
-    lower-cased (A-Z) and its white space made single; units are told apart by 128-bit digests over
-    all documents. The place ranked earliest by (doc_id, position) stays, the others are repeated. A
-    run of repeated units is cut if it has ``min_words`` words or more in all, so common short
-    sentences stay. Adds ``removed``, array of (start, end): code points of the original text.
+    ``documents`` (doc_id, text, ...). Words stand between white space, A-Z are lower-cased. Every window of
+    ``min_words`` words is told from others by a 128-bit digest over all documents; its place ranked earliest by
+    (doc_id, position) stays, the others are repeated, and every word of a repeated window goes, wherever the
+    passage begins or ends. To keep the windows few, only those with an anchor met twice are compared, which
+    every repeated one has. Adds ``removed``, array of (start, end): code points of the original text.
 
     NULL text stays NULL; a text that is cut as a whole becomes empty; a row without an id keeps its
     text and takes no part. Equal rows of one id share their places: the earliest stays in each.
     Other columns are carried; names that begin with ``_dup_`` and the name ``removed`` must be free.
     """
-    again = repeated_units(documents).select(F.col("doc_id").alias("_dup_id"), F.col("again").alias("_dup_again"))
+    again = repeated_windows(documents, min_words).select(F.col("doc_id").alias("_dup_id"), F.col("again").alias("_dup_again"))
     rows = documents.join(again, documents["doc_id"] == again["_dup_id"], "left").drop("_dup_id")
     names = documents.columns
     text_at, again_at = names.index("text"), len(names)

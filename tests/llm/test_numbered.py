@@ -273,6 +273,31 @@ def test_repeated_passages_are_cut_but_for_the_first(spark, documents, odd, none
     assert unit_dedup.remove_repeated_units(none.drop("removed")).count() == 0
 
 
+def test_passages_are_cut_to_the_word_wherever_they_begin(spark):
+    rng, vocabulary = np.random.default_rng(5), [f"w{i}" for i in range(4000)]
+    write = lambda n: [str(w) + (". " if rng.random() < 0.1 else " ") for w in rng.choice(vocabulary, n)]
+    sources = [write(300) for _ in range(20)]
+    texts = ["".join(s) for s in sources]
+    for k in range(60):
+        a = int(rng.integers(0, 240))
+        passage = "".join(sources[k % 20][a : a + 51])
+        passage = (passage, passage.upper(), passage.lower())[k % 3]
+        texts.append("".join(write(30)) + passage + "".join(write(30)))
+    texts += ["mask " * 300, "one two three " * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    n, seen, want = unit_dedup.MIN_WORDS, {}, {}
+    for doc_id, text in enumerate(texts):
+        words, gone = text.lower().split(), set()
+        for i in range(len(words) - n + 1):
+            d, j = seen.setdefault(tuple(words[i : i + n]), (doc_id, i))
+            if (d, j) != (doc_id, i):
+                gone |= set(range(max(i, j + n) if d == doc_id else i, i + n))
+        want[doc_id] = [w for i, w in enumerate(text.split()) if i not in gone]
+    got = {r["doc_id"]: r for r in unit_dedup.remove_repeated_units(docs).collect()}
+    assert {d: r["text"].split() for d, r in got.items()} == want
+    assert all(len(got[d]["text"].split()) <= 60 for d in range(20, 80)) and len(want[80]) == n
+
+
 # Learned verdicts
 
 
