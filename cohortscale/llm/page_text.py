@@ -12,11 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Elements whose whole content is no text of the page.
-_HIDDEN = "script|style|noscript|template|title|svg|math|iframe|object|canvas|audio|video|select|button|textarea|option|datalist"
+# Elements whose whole content is no text of the page: those that reach to the end of the page if
+# unclosed, and those that are passed over only up to their end.
+_RAW = "script|style|textarea|title|template|iframe"
+_HIDDEN = frozenset("noscript svg audio video select button option datalist".split())
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_HIDDEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?![\w-]){_ATTRIBUTES}(?:/>|>.*?(?:</\1\s*>|\Z))"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)({_ATTRIBUTES})>|<[!?/][^>]*>",
     re.S | re.I,
 )
 _BLOCKS = frozenset(
@@ -74,6 +77,22 @@ def _own_lean(tag: str, attributes: str) -> float | None:
     return 3.0 if names & _CONTENT else None
 
 
+def _hidden_ends(tags: list[re.Match[str]]) -> dict[int, int]:
+    """Number of the tag that ends each hidden element, by the number of the tag that begins it."""
+    begun: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for i, found in enumerate(tags):
+        tag = (found.group(3) or "").lower()
+        if tag not in _HIDDEN:
+            continue
+        if not found.group(2):
+            if not found.group(4).endswith("/"):
+                begun.setdefault(tag, []).append(i)
+        elif begun.get(tag):
+            ends[begun[tag].pop()] = i
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order, with references decoded and white space single."""
     out: list[Block] = []
@@ -104,8 +123,16 @@ def blocks(page: str) -> list[Block]:
                 out.append(now)
         now = None
 
-    for found in _MARKUP.finditer(page):
+    tags = list(_MARKUP.finditer(page))
+    ends, hidden_to = _hidden_ends(tags), -1
+    for i, found in enumerate(tags):
+        if i <= hidden_to:
+            continue
         add(page[at : found.start()])
+        if i in ends:
+            hidden_to = ends[i]
+            at = tags[hidden_to].end()
+            continue
         at = found.end()
         tag = found.group(3)
         if tag is None:

@@ -389,6 +389,23 @@ def test_page_text_is_the_article(spark):
     assert page_text.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_hidden_elements_hide_no_more_than_themselves():
+    first, second = "The first sentence of this page, long enough to be read as prose.", "The second sentence of this page, long enough as well."
+    page = f"<article><p>{first}</p>%s<p>{second}</p></article>"
+    names = "video-player button-group title-bar svg-icon template-part".split()
+    for middle in [f"<{n}></{n}>" for n in names] + [f"<{n}>" for n in "button object canvas audio video math select svg noscript option".split()]:
+        assert page_text.main_text(page % middle) == f"{first}\n\n{second}", middle
+    for middle in ("<svg><svg><text>In</text></svg><text>Out</text></svg>", "<button>Press</button>", "<select><option>One<option>Two</select>", "<video>No video</video>", "<title>T</title>"):
+        assert page_text.main_text(page % middle) == f"{first}\n\n{second}", middle
+    assert page_text.main_text(page % "<button>Open <button>Press</button>").split() == [*first.split(), "Open", *second.split()]
+    for n in ("script", "style", "textarea", "title", "template", "iframe"):
+        assert page_text.main_text(page % f"<{n}>") == first
+    assert page_text.main_text(page % "<!-- never ended") == first
+    for n in ("math", "object", "canvas"):
+        inside = f"The {n} says what is said here in words, long enough to be prose."
+        assert page_text.main_text(page % f"<{n}>{inside}</{n}>") == f"{first}\n\n{inside}\n\n{second}"
+
+
 def test_least_cut_is_least():
     rng = np.random.default_rng(2)
     for _ in range(60):
