@@ -153,17 +153,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEARCH_SQL = r"""WITH d AS (
-  SELECT row_number() OVER () AS at, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
   FROM documents WHERE text IS NOT NULL),
-wordy AS (SELECT at, doc_id, ts, len(ts) AS n FROM d WHERE len(ts) > 0),
+wordy AS (SELECT place, doc_id, ts, len(ts) AS n FROM d WHERE len(ts) > 0),
 total AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM wordy),
 item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
-words AS (SELECT at, unnest(ts) AS term FROM wordy),
-tf AS (SELECT at, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM item) GROUP BY ALL),
+words AS (SELECT place, unnest(ts) AS term FROM wordy),
+tf AS (SELECT place, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM item) GROUP BY ALL),
 w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY term, big_n),
-gain AS (SELECT at, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))) AS gain FROM tf JOIN wordy USING (at) JOIN w USING (term), total),
-scored AS (SELECT item_id, at, sum(gain)::BIGINT AS score FROM gain JOIN item USING (term) GROUP BY ALL HAVING sum(gain) > 0),
-ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored JOIN wordy USING (at))
+gain AS (SELECT place, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))) AS gain FROM tf JOIN wordy USING (place) JOIN w USING (term), total),
+scored AS (SELECT item_id, place, sum(gain)::BIGINT AS score FROM gain JOIN item USING (term) GROUP BY ALL HAVING sum(gain) > 0),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored JOIN wordy USING (place))
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
 
 
