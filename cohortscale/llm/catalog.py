@@ -12,6 +12,7 @@ from cohortscale.llm import (
     byte_bpe,
     contamination,
     context_mixing,
+    frame_codes,
     hilbert,
     jaccard_join,
     language,
@@ -152,6 +153,41 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.size("removed").alias("n_removed"), "removed")
 
 
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, width: int = 8) -> str:
+    """Each round of Lloyd's method as two tables: the nearest entries, and the entries moved."""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS place, vec_id, label,
+          list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        part AS MATERIALIZED (SELECT place, p, v[p * {width} + 1 : p * {width} + {width}] AS s FROM kept, range({parts}) r(p)),
+        book0 AS MATERIALIZED (SELECT p, place - 1 AS e, s AS c FROM part WHERE place <= {entries})"""
+    ]
+    far = "list_sum(list_transform(range(1, {w} + 1), lambda i: (s[i] - c[i]) * (s[i] - c[i])))::BIGINT".format(w=width)
+    near = "near{k} AS MATERIALIZED (SELECT place, p, any_value(s) AS s, min((far, e)) AS best FROM (SELECT place, p, s, e, " + far + " AS far FROM part JOIN book{k} USING (p)) GROUP BY place, p)"
+    means = ", ".join(f"floor(sum(s[{i}])::DOUBLE / count(*))::BIGINT" for i in range(1, width + 1))
+    for k in range(rounds):
+        steps.append(near.format(k=k))
+        steps.append(f"mean{k} AS MATERIALIZED (SELECT p, best[2] AS e, [{means}] AS c FROM near{k} GROUP BY ALL)")
+        steps.append(f"book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m USING (p, e))")
+    steps.append(near.format(k=rounds))
+    return "WITH " + ", ".join(steps) + f""",
+      code AS (SELECT place, string_agg(format('{{:02x}}', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM near{rounds} GROUP BY place),
+      digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+      SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN code USING (place), digest"""
+
+
+@query_with(_codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("frame_id"), F.col("embedding").alias("pixels"), F.col("label").alias("vendor")
+    )
+    codes, codebooks = frame_codes.compress_frames(frames)
+    return codes.select(
+        F.col("frame_id").alias("vec_id"), "code", "error", F.col("vendor_error").alias("label_error"),
+        F.lit(frame_codes.codebooks_digest(codebooks)).alias("codebooks_sha256"),
+    )
+
+
 _SEARCH_SQL = r"""WITH d AS (
   SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
   FROM documents WHERE text IS NOT NULL),
