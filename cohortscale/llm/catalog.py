@@ -20,6 +20,7 @@ from cohortscale.llm import (
     quality_kernel,
     quality_ngrams,
     statement_search,
+    suffix_repeats,
     unit_dedup,
 )
 from cohortscale.llm.rows import held_out, table
@@ -153,6 +154,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.size("removed").alias("n_removed"), "removed")
 
 
+@query
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = suffix_repeats.remove_repeated_bytes(documents)
+    return done.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256).alias("kept_sha256"),
+    )
+
+
 def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, width: int = 8) -> str:
     """Each round of Lloyd's method as two tables: the nearest entries, and the entries moved."""
     steps = [
