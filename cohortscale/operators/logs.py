@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortscale.operators.select import first_and_last_means
-from cohortscale.plans.ordered import range_bucket, running
+from cohortscale.plans.ordered import join_same, range_bucket, running
 
 EPOCHS_PER_BUCKET = 4096
 DETERMINISM = r"^\s*(\S+) does not have a deterministic implementation"
@@ -39,7 +39,7 @@ def prior_accesses(log: DataFrame) -> DataFrame:
         .select(*keys, F.col("f.entry").alias("entry"), F.lit(True).alias("_first"))
     )
     counted = (F.col("_first").isNotNull() | F.col("run_id").isNull()).cast("bigint")
-    flagged = log.join(firsts, [*keys, "entry"], "left").withColumn("_counts", counted)
+    flagged = join_same(log, firsts, [*keys, "entry"], "left").withColumn("_counts", counted)
     tagged = range_bucket(flagged, [*keys, "ts", "entry"])
     out = running(tagged, keys, "_part", ["ts", "entry"], {"prior": ("sum", "_counts", False)})
     return out.drop("_first", "_counts", "_part")

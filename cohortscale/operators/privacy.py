@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortscale.functions.hashing import pseudonym, salt_fingerprint
-from cohortscale.plans.ordered import ranked
+from cohortscale.plans.ordered import join_same, ranked
 
 REMOVE, EMPTY, PSEUDONYM = "REMOVE", "EMPTY", "PSEUDONYM"
 PREFIX = "COHORT-"
@@ -144,7 +144,7 @@ def unsorted_positions(rows: DataFrame, groups: Sequence[str], order: Sequence[s
     same = F.lit(True)
     for c in order:
         same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    return rows.join(keyed, [*groups, "position"], "left").filter(~same).select(*groups, "position")
+    return join_same(rows, keyed, [*groups, "position"], "left").filter(~same).select(*groups, "position")
 
 
 def withheld_columns(rows: DataFrame, withheld: Sequence[str]) -> list[str]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscale.functions.text import collapse_spaces
+from cohortscale.plans.ordered import join_same
 from cohortscale.session import cut_lineage
 
 ABSENT = "<absent>"
@@ -156,7 +157,7 @@ def table_differences(generated: DataFrame, published: DataFrame, keys: Sequence
         .when(F.col("have").isNull(), F.lit("missing"))
         .when(F.col("want") != F.col("have"), F.lit("differs"))
     )
-    return g.join(p, on, "full").withColumn("problem", problem).filter("problem IS NOT NULL")
+    return join_same(g, p, on, "full").withColumn("problem", problem).filter("problem IS NOT NULL")
 
 
 def _run_keys(rows: DataFrame, key: str, text: str, lengths: Sequence[int], longest: bool) -> DataFrame:

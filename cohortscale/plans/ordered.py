@@ -18,11 +18,19 @@ from cohortscale.session import cut_lineage
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
-_FOLDS = {
-    "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
-    "max": (F.max, F.greatest),
-    "min": (F.min, F.least),
-}
+_FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL meets NULL; an outer join has the keys of either side."""
+    named = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    out = left.join(named, same, how)
+    if how == "full":
+        out = out.withColumns({k: F.coalesce(k, f"_same_{k}") for k in keys})
+    return out.drop(*[f"_same_{k}" for k in keys])
 
 
 def hash_bucket(column: str | Column, digits: int = 3) -> Column:
@@ -50,29 +58,27 @@ def running(
     """Add running aggregates per ``keys`` in (``bucket``, ``order``) order.
 
     ``specs`` maps a new column to (``sum``/``max``/``min``, column, whether the current row
-    counts). ``keys`` and ``bucket`` must not be NULL.
+    counts). A NULL in ``keys`` or ``bucket`` is a group of its own, a NULL bucket the first.
+
+    What a bucket carries goes before its rows as one row more, so a NULL key needs no join.
     """
     keys = list(keys)
-    cols = {n: (F.col(c) if isinstance(c, str) else c) for n, (_, c, _) in specs.items()}
-    totals = df.groupBy(*keys, bucket).agg(
-        *[_FOLDS[kind][0](cols[n]).alias(f"_total_{n}") for n, (kind, _, _) in specs.items()]
-    )
+    folded = {n: _FOLDS[kind](c).alias(n) for n, (kind, c, _) in specs.items()}
+    totals = df.groupBy(*keys, bucket).agg(*folded.values())
     earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(*BEFORE)
     carries = totals.select(
-        *keys,
-        bucket,
-        *[
-            _FOLDS[kind][0](f"_total_{n}").over(earlier).alias(f"_carry_{n}")
-            for n, (kind, _, _) in specs.items()
-        ],
+        *keys, bucket, *[_FOLDS[kind](n).over(earlier).alias(f"_fold_{n}") for n, (kind, _, _) in specs.items()], F.lit(0).alias("_real")
     )
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    out = df.join(carries, [*keys, bucket])
+    kinds = {f.name: f.dataType for f in carries.schema.fields}
+    rows = df.withColumns(
+        {f"_fold_{n}": (F.col(c) if isinstance(c, str) else c).cast(kinds[f"_fold_{n}"]) for n, (_, c, _) in specs.items()}
+    ).withColumn("_real", F.lit(1))
+    inside = Window.partitionBy(*keys, bucket).orderBy("_real", *order)
+    out = rows.unionByName(carries, allowMissingColumns=True)
     for n, (kind, _, inclusive) in specs.items():
-        fold, merge = _FOLDS[kind]
-        frame = inside.rowsBetween(*(UP_TO if inclusive else BEFORE))
-        out = out.withColumn(n, merge(F.col(f"_carry_{n}"), fold(cols[n]).over(frame)))
-    return out.drop(*[f"_carry_{n}" for n in specs])
+        value = _FOLDS[kind](f"_fold_{n}").over(inside.rowsBetween(*(UP_TO if inclusive else BEFORE)))
+        out = out.withColumn(n, F.coalesce(value, F.lit(0)) if kind == "sum" else value)
+    return out.filter("_real = 1").drop("_real", *[f"_fold_{n}" for n in specs])
 
 
 def ranked(
@@ -112,7 +118,8 @@ def percentiles(
     )
     placed = range_bucket(counts, [*keys, "_v"])
     totals = placed.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    rows = running(placed, keys, "_part", ["_v"], {"_from": ("sum", "_n", False)}).join(totals, keys)
+    rows = running(placed, keys, "_part", ["_v"], {"_from": ("sum", "_n", False)})
+    rows = join_same(rows, totals, keys)
     picks, out = [], []
     for name, q in tails.items():
         at = F.lit(q) * (F.col("_total") - 1)
