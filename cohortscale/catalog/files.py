@@ -10,7 +10,8 @@ from cohortscale.catalog.logs import as_access_log, as_telemetry, event_stream
 from cohortscale.catalog.sql import ARMS, LATTICE, MANIFEST, PER_VOLUME, SPLIT, with_ctes
 from cohortscale.operators import bootstrap
 from cohortscale.schemas import RECORD, TELEMETRY
-from cohortscale.session import scratch_path, width
+from cohortscale.plans.views import VENDORS
+from cohortscale.session import cut_lineage, scratch_path
 from cohortscale.sources import logfiles, manifest, maskstore, records, volumes
 from cohortscale.streaming import logs as stream
 
@@ -132,51 +133,125 @@ def a8(v):
     )
 
 
-def volume_files(v):
-    """Headers and label payloads of every patient, as rows of a binary file source."""
-    code = F.when(F.col("cls") == "A", 1).when(F.col("cls") == "N", 2).otherwise(3)
-    at = F.col("z") * 256 + F.col("y") * 16 + F.col("x")
-    labels = v.lattice("ref").groupBy("sample_id", at.alias("at")).agg(F.max(code).alias("label"))
-    cells = labels.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("set"))
-    # Two hex digits per voxel: zeros up to each set voxel, then its label.
-    body = F.aggregate(
-        "set",
-        F.lit(""),
-        lambda text, c: F.concat(F.rpad(text, c["at"] * 2, "0"), F.lit("0"), c["label"].cast("string")),
-    )
-    payload = F.unhex(F.rpad(body, 7 * 256 * 2, "0"))
-    folder = F.concat(F.lit("/data/vol-"), F.col("sample_id").cast("string"))
-    payloads = cells.select(
-        F.concat(folder, F.lit("/reference.raw")).alias("path"), payload.alias("content")
-    ).repartition(width(v.spark), "path")  # as a file source is: spread over its files
-    text = F.concat_ws(
-        "\n", F.lit("ObjectType = Image"), F.lit("NDims = 3"), F.lit("BinaryDataByteOrderMSB = False"),
-        F.lit("CompressedData = False"), F.lit("ElementSpacing = 0.0117 0.002 0.047"), F.lit("DimSize = 16 16 7"),
-        F.lit("ElementType = MET_UCHAR"), F.lit("ElementDataFile = reference.raw"),
-    )
-    headers = cells.select(F.concat(folder, F.lit("/reference.mhd")).alias("path"), F.encode(text, "utf-8").alias("content"))
-    return headers, payloads
+_RELEASE = "CASE WHEN c_mktsegment = 'MACHINERY' AND c_custkey % 2 = 0 THEN 'second' ELSE 'first' END"
+_FOLDER = f"'Training' || c_mktsegment || '/' || {_RELEASE} || '/vol-' || c_custkey"
+# Defects by customer key: the image's spacing, its size, no image, a label too many, a short payload, a packed one.
+_SUBJECTS = f"""subject AS (SELECT c_custkey AS k, c_mktsegment, {_FOLDER} AS folder FROM customer),
+refused AS (SELECT k, folder, 'reference' AS stem, 'spacings differ' AS problem FROM subject WHERE k % 19 = 3 AND k % 23 <> 2 AND k % 29 <> 1 AND k % 41 <> 5
+  UNION ALL SELECT k, folder, 'reference', 'sizes differ' FROM subject WHERE k % 23 = 2 AND k % 29 <> 1 AND k % 41 <> 5
+  UNION ALL SELECT k, folder, 'oct', 'header missing' FROM subject WHERE k % 29 = 1
+  UNION ALL SELECT k, folder, 'reference', 'label outside the set' FROM subject WHERE k % 31 = 4 AND k % 37 <> 6 AND k % 41 <> 5
+  UNION ALL SELECT k, folder, 'reference', 'element count' FROM subject WHERE k % 37 = 6 AND k % 41 <> 5
+  UNION ALL SELECT k, folder, 'reference', 'compressed' FROM subject WHERE k % 41 = 5)"""
+VENDOR_FOLDERS = {f"Training{v}": v for v in VENDORS} | {"TrainingNONE": "NONE"}
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def volume_folder(v) -> str:
+    """The subjects' volume files, an image and a reference each, written once per session and set of tables."""
+    at = (v.spark.sparkContext.applicationId, v.sf_dir)
+    if at not in _WRITTEN:
+        root = scratch_path(v.spark, "volumes")
+        k, vendor = F.col("c_custkey"), F.col("c_mktsegment")
+        release = F.when((vendor == "MACHINERY") & (k % 2 == 0), "second").otherwise("first")
+        folder = F.concat(F.lit(f"{root}/Training"), vendor, F.lit("/"), release, F.lit("/vol-"), k.cast("string"))
+        all_subjects = v.table("customer").select(k.alias("k"), folder.alias("folder"))
+        grid, lateral = F.array(F.lit(16), F.lit(16), F.lit(7)), F.lit(0.0117)
+        shape = {"dims": grid, "element_spacing": F.array(lateral, F.lit(0.002), F.lit(0.047))}
+        references = all_subjects.select("folder", F.lit("reference").alias("stem"), *[c.alias(n) for n, c in shape.items()], F.lit("MET_UCHAR").alias("element_type"))
+        k = F.col("k")
+        images = all_subjects.filter(k % 29 != 1).select(
+            "folder", F.lit("oct").alias("stem"),
+            F.when(k % 23 == 2, F.array(F.lit(16), F.lit(16), F.lit(6))).otherwise(shape["dims"]).alias("dims"),
+            F.when(k % 19 == 3, F.array(F.lit(0.002), lateral, F.lit(0.047))).otherwise(shape["element_spacing"]).alias("element_spacing"),
+            F.lit("MET_USHORT").alias("element_type"),
+        )
+        code = F.when(F.col("cls") == "A", 1).when(F.col("cls") == "N", 2).otherwise(3)
+        labels = v.lattice("ref").groupBy(F.col("sample_id").alias("k"), "z", "y", "x").agg(F.max(code).alias("label"))
+        odd = all_subjects.filter(k % 31 == 4).select("k", *[F.lit(0).alias(c) for c in "zyx"], F.lit(7).alias("label"))
+        cells = labels.unionByName(odd).groupBy("k", "z", "y", "x").agg(F.max("label").alias("label"))
+        voxels = cells.join(all_subjects, "k").select("folder", F.lit("reference").alias("stem"), "z", "y", "x", "label")
+        volumes.write_label_volumes(references.unionByName(images), voxels).count()
+        packed = F.lit("NDims = 3\nCompressedData = True\nDimSize = 16 16 7\nElementType = MET_UCHAR\n")
+        spoiled = all_subjects.select(
+            F.when(k % 41 == 5, F.concat("folder", F.lit("/reference.mhd"))).when(k % 37 == 6, F.concat("folder", F.lit("/reference.raw"))).alias("path"),
+            F.encode(F.when(k % 41 == 5, packed).otherwise("cut off"), "utf-8").alias("content"),
+        ).filter("path IS NOT NULL")
+        volumes.write_files(spoiled).count()
+        _WRITTEN[at] = root
+    return _WRITTEN[at]
+
+
+def within(root: str, column: str):
+    """A path as it is below the root."""
+    return F.substring_index(F.col(column), root.rstrip("/").rsplit("/", 1)[1] + "/", -1)
+
+
+def read_volumes(v):
+    root = volume_folder(v)
+    headers = volumes.parse_headers(volumes.list_headers(v.spark, root))
+    payloads = volumes.list_payloads(v.spark, root, "*.raw")
+    return root, headers, payloads, volumes.label_voxels(headers.filter("stem = 'reference'"), payloads)
 
 
 @query(
     "A9_volume_ingest",
-    with_ctes(LATTICE)
-    + """SELECT '/data/vol-' || sample_id AS source, z, y, x, max(CASE cls WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END) AS label
-      FROM ref GROUP BY ALL""",
+    with_ctes(LATTICE, _SUBJECTS)
+    + """SELECT folder AS source, z, y, x, max(CASE cls WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END) AS label
+      FROM ref JOIN subject ON k = sample_id WHERE k NOT IN (SELECT k FROM refused) GROUP BY ALL""",
 )
 def a9(v):
-    headers, payloads = volume_files(v)
-    return volumes.label_voxels(volumes.parse_headers(headers), payloads)
+    """Voxels of the subjects that nothing is wrong with, out of their files."""
+    root, headers, payloads, voxels = read_volumes(v)
+    voxels = cut_lineage(voxels)  # files are read once, voxels twice
+    refused = volumes.refusals(headers, payloads, voxels).select(F.col("folder").alias("source"))
+    good = voxels.join(refused, "source", "left_anti")
+    return good.select(within(root, "source").alias("source"), "z", "y", "x", "label")
+
+
+@query("A9_refusals", with_ctes(_SUBJECTS) + "SELECT folder, stem, problem FROM refused")
+def a9_refusals(v):
+    root, headers, payloads, voxels = read_volumes(v)
+    return volumes.refusals(headers, payloads, voxels).select(within(root, "folder").alias("folder"), "stem", "problem")
 
 
 @query(
     "A9_headers",
-    with_ctes(LATTICE)
-    + """SELECT DISTINCT '/data/vol-' || sample_id AS folder, 'reference' AS stem, [16, 16, 7] AS dims, [0.0117::DOUBLE, 0.002::DOUBLE, 0.047::DOUBLE] AS element_spacing,
-      'MET_UCHAR' AS element_type, 'reference.raw' AS data_file, false AS msb_first, NULL::VARCHAR AS problem FROM ref""",
+    with_ctes(_SUBJECTS)
+    + """SELECT folder, 'reference' AS stem, [16, 16, 7] AS dims, [0.0117::DOUBLE, 0.002::DOUBLE, 0.047::DOUBLE] AS element_spacing,
+      'MET_UCHAR' AS element_type, 'reference.raw' AS data_file, false AS msb_first, NULL::VARCHAR AS problem FROM subject WHERE k % 41 <> 5
+      UNION ALL SELECT folder, 'reference', [16, 16, 7], NULL, 'MET_UCHAR', NULL, false, 'compressed' FROM subject WHERE k % 41 = 5
+      UNION ALL SELECT folder, 'oct', [16, 16, CASE WHEN k % 23 = 2 THEN 6 ELSE 7 END],
+        CASE WHEN k % 19 = 3 THEN [0.002::DOUBLE, 0.0117::DOUBLE, 0.047::DOUBLE] ELSE [0.0117::DOUBLE, 0.002::DOUBLE, 0.047::DOUBLE] END,
+        'MET_USHORT', 'oct.raw', false, NULL FROM subject WHERE k % 29 <> 1""",
 )
 def a9_headers(v):
-    return volumes.parse_headers(volume_files(v)[0])
+    root, headers, _, _ = read_volumes(v)
+    return headers.withColumn("folder", within(root, "folder"))
+
+
+@query(
+    "A9_subjects",
+    with_ctes(_SUBJECTS)
+    + """SELECT 'vol-' || k AS patient_id, c_mktsegment AS vendor, [CASE WHEN k % 23 = 2 THEN 6 ELSE 7 END, 16, 16] AS shape,
+      CASE WHEN k % 19 = 3 THEN [0.0117::DOUBLE, 0.002::DOUBLE, 0.047::DOUBLE] ELSE [0.002::DOUBLE, 0.0117::DOUBLE, 0.047::DOUBLE] END AS spacing_mm,
+      folder AS source_path FROM subject WHERE k % 29 <> 1""",
+)
+def a9_subjects(v):
+    root, headers, _, _ = read_volumes(v)
+    return volumes.subjects(headers, VENDOR_FOLDERS).withColumn("source_path", within(root, "source_path")).drop("problem")
+
+
+@query(
+    "A9_directory_walk",
+    with_ctes(_SUBJECTS)
+    + f"""SELECT v AS vendor, CASE WHEN n IS NULL THEN 'vendor folder missing' ELSE n || ' release folders' END AS problem
+      FROM (VALUES {", ".join(f"('{n}')" for n in VENDOR_FOLDERS.values())}) w(v)
+      LEFT JOIN (SELECT c_mktsegment, count(DISTINCT split_part(folder, '/', 2)) AS n FROM subject GROUP BY 1) ON c_mktsegment = v WHERE n IS NULL OR n > 1""",
+)
+def a9_walk(v):
+    root = volume_folder(v)
+    return volumes.walk_problems(volumes.list_payloads(v.spark, root), root, VENDOR_FOLDERS)
 
 
 _PUBLISHED = with_ctes(PER_VOLUME) + "SELECT vendor, cls, count(*) AS n, round(avg(dice), 9) AS dice FROM per_volume GROUP BY ALL"

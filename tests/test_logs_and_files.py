@@ -140,8 +140,8 @@ def test_volume_files_to_voxels_and_refusals(spark, tmp_path):
     write_volume(root / "sized", extra=[("DimSize", "8 0 4")])
     write_volume(root / "spaced", spacing="0.1 0.2")
     write_volume(root / "good", stem="oct")
-    headers = volumes.parse_headers(volumes.list_files(spark, str(tmp_path / "raw"), "*.mhd"))
-    payloads = volumes.list_files(spark, str(tmp_path / "raw"), "*.raw")
+    headers = volumes.parse_headers(volumes.list_headers(spark, str(tmp_path / "raw")))
+    payloads = volumes.list_payloads(spark, str(tmp_path / "raw"), "*.raw")
     problems = {r.folder.rsplit("/", 1)[1]: r.problem for r in headers.filter("stem = 'reference'").collect()}
     assert problems == {
         "good": None, "big": None, "short": None, "packed": "compressed", "flat": "not 3-D",
@@ -157,6 +157,35 @@ def test_volume_files_to_voxels_and_refusals(spark, tmp_path):
     assert (row.patient_id, row.vendor, row["shape"], row.spacing_mm) == ("good", "one", [4, 6, 8], [0.002, 0.0117, 0.047])
 
 
+def test_volumes_written_and_read_in_ranges_of_bytes(spark, tmp_path):
+    root = str(tmp_path / "store")
+    folders = [f"{root}/TrainingA/one/s1", f"{root}/TrainingA/one/s2", f"{root}/TrainingB/one/s3", f"{root}/TrainingB/two/s4"]
+    shape = ([5, 4, 9], [0.0117, 0.002, 0.047])
+    manifest_rows = [(f, stem, *shape, "MET_SHORT") for f in folders for stem in ("oct", "reference")]
+    manifest_rows = [r for r in manifest_rows if r[:2] != (folders[3], "oct")]
+    places = [(folders[0], "reference", z, y, x, 1 + (z + y + x) % 3) for z in range(9) for y in range(4) for x in range(5) if (z * y + x) % 4 == 1]
+    places += [(folders[1], "reference", 8, 3, 4, 9)]
+    m = spark.createDataFrame(manifest_rows, "folder string, stem string, dims array<int>, element_spacing array<double>, element_type string")
+    voxels = spark.createDataFrame(places, "folder string, stem string, z int, y int, x int, label int")
+    written = volumes.write_label_volumes(m, voxels).collect()
+    assert len(written) == 14 and {r.length for r in written if r.path.endswith(".raw")} == {5 * 4 * 9 * 2}
+    headers = volumes.parse_headers(volumes.list_headers(spark, root))
+    payloads = volumes.list_payloads(spark, root, "*.raw")
+    references = headers.filter("stem = 'reference'")
+    for range_bytes, ranges in ((1, 36), (100, 20), (1 << 20, 4)):
+        assert volumes.slice_ranges(references, payloads, range_bytes).count() == ranges
+        got = volumes.label_voxels(references, payloads, range_bytes=range_bytes)
+        assert sorted((r.source.removeprefix("file:"), r.z, r.y, r.x, r.label) for r in got.collect()) == sorted((f, *at) for f, _, *at in places)
+    bad = volumes.refusals(headers, payloads, volumes.label_voxels(references, payloads))
+    assert sorted((r.folder[-2:], r.stem, r.problem) for r in bad.collect()) == [("s2", "reference", "label outside the set"), ("s4", "oct", "header missing")]
+    walked = volumes.walk_problems(volumes.list_payloads(spark, root), root, {"TrainingA": "a", "TrainingB": "b", "TrainingC": "c"})
+    assert sorted(map(tuple, walked.collect())) == [("b", "2 release folders"), ("c", "vendor folder missing")]
+    volumes.write_files(spark.createDataFrame([(f"{folders[0]}/reference.raw", b"short")], "path string, content binary")).collect()
+    payloads = volumes.list_payloads(spark, root, "*.raw")
+    assert [(r.folder[-2:], r.problem) for r in volumes.payload_problems(headers, payloads).collect()] == [("s1", "element count")]
+    assert not volumes.label_voxels(references, payloads).filter("source like '%s1'").count()
+
+
 def test_manifest_must_be_a_list(spark, tmp_path):
     row = {"sample_id": "s", "patient_id": "p", "vendor": "v", "shape": [1, 2, 3], "spacing_mm": [0.1, 0.2, 0.3]}
     (tmp_path / "list.json").write_text(json.dumps([row, {**row, "sample_id": "t"}]))
