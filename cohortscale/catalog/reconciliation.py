@@ -64,6 +64,59 @@ def g2(v):
     return reconcile.compare_leaves(*leaf_pair(v), KEYS, ignore=F.col("leaf") == "dice")
 
 
+# Records of another shape: a class and a field gone, a list longer, a truth value for a number, other notes.
+_NESTED = """ra AS (SELECT sample_id, unnest([{'path': '/vendor', 'value': vendor}, {'path': '/classes/' || cls || '/dice', 'value': dice::VARCHAR},
+    {'path': '/classes/' || cls || '/voxels#len', 'value': '2'}, {'path': '/classes/' || cls || '/voxels[0]', 'value': predicted_voxels::VARCHAR},
+    {'path': '/classes/' || cls || '/voxels[1]', 'value': reference_voxels::VARCHAR}, {'path': '/classes/' || cls || '/present', 'value': reference_present::INT::VARCHAR},
+    {'path': '/classes/' || cls || '/score', 'value': coalesce(score::VARCHAR, 'nan')}], recursive := true) FROM per_volume),
+  rb AS (SELECT sample_id, unnest([{'path': '/vendor', 'value': vendor}, {'path': '/classes/' || cls || '/dice', 'value': CASE WHEN sample_id % 31 = 4 THEN dice / 2 ELSE dice END::VARCHAR},
+    {'path': '/classes/' || cls || '/voxels#len', 'value': CASE WHEN sample_id % 41 = 5 THEN '3' ELSE '2' END}, {'path': '/classes/' || cls || '/voxels[0]', 'value': predicted_voxels::VARCHAR},
+    {'path': '/classes/' || cls || '/voxels[1]', 'value': reference_voxels::VARCHAR}, {'path': CASE WHEN sample_id % 41 = 5 THEN '/classes/' || cls || '/voxels[2]' END, 'value': '-1'},
+    {'path': '/classes/' || cls || '/present', 'value': reference_present::INT::VARCHAR}, {'path': CASE WHEN sample_id % 47 <> 6 THEN '/classes/' || cls || '/score' END, 'value': coalesce(score::VARCHAR, 'nan')}], recursive := true)
+    FROM per_volume WHERE NOT (sample_id % 43 = 3 AND cls = 'A'))"""
+
+
+@query(
+    "G1_nested_records",
+    with_ctes(PER_VOLUME, _NESTED)
+    + """SELECT sample_id, path, before, after FROM (SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, coalesce(a.path, b.path) AS path,
+      CASE WHEN a.path IS NULL THEN '<absent>' WHEN a.path LIKE '%/present' THEN (a.value = '1')::VARCHAR
+        ELSE replace(coalesce(round(try_cast(a.value AS DOUBLE), 6)::VARCHAR, a.value), 'nan', 'NaN') END AS before,
+      CASE WHEN b.path IS NULL THEN '<absent>' ELSE replace(coalesce(round(try_cast(b.value AS DOUBLE), 6)::VARCHAR, b.value), 'nan', 'NaN') END AS after, a.value AS x, b.value AS y
+      FROM (SELECT DISTINCT * FROM ra) a FULL JOIN (SELECT DISTINCT * FROM rb WHERE path IS NOT NULL) b ON a.sample_id = b.sample_id AND a.path = b.path) WHERE x IS DISTINCT FROM y""",
+)
+def g1_nested(v):
+    """A record per sample, nested as they are written, against records of another shape; leaf by leaf."""
+    k = F.col("sample_id")
+
+    def documents(rows, name, voxels, present, score):
+        cell = F.concat(
+            F.lit('"'), F.col("cls"), F.lit('": {"dice": '), name.cast("string"), F.lit(', "voxels": '), F.to_json(voxels), F.lit(', "present": '), present, score, F.lit("}")
+        )
+        classes = rows.groupBy("sample_id", "vendor").agg(F.array_sort(F.collect_list(cell)).alias("c"))
+        text = F.concat(
+            F.lit('{"vendor": "'), F.col("vendor"), F.lit('", "utc": "'), F.lit(rows.columns[-1]), F.lit('", "classes": {'), F.array_join("c", ", "), F.lit("}}")
+        )
+        return classes.select("sample_id", text.alias("document"))
+
+    rows = v.per_volume
+    counts = [F.col("predicted_voxels"), F.col("reference_voxels")]
+    score = F.concat(F.lit(', "score": '), F.coalesce(F.col("score").cast("string"), F.lit("NaN")))
+    before = documents(rows, F.col("dice"), F.array(*counts), F.col("reference_present").cast("string"), score)
+    changed = rows.filter(~((k % 43 == 3) & (F.col("cls") == "A"))).withColumn("later", F.lit(1))
+    after = documents(
+        changed, F.when(k % 31 == 4, F.col("dice") / 2).otherwise(F.col("dice")),
+        F.when(k % 41 == 5, F.array(*counts, F.lit(-1).cast("bigint"))).otherwise(F.array(*counts)),
+        F.col("reference_present").cast("int").cast("string"), F.when(k % 47 == 6, F.lit("")).otherwise(score),
+    )
+    out = reconcile.compare_records(before, after, ["sample_id"])
+
+    def shown(column):
+        return F.coalesce(F.round(F.col(column).try_cast("double"), 6).cast("string"), F.col(column)).alias(column)
+
+    return out.select("sample_id", "path", shown("before"), shown("after"))
+
+
 _POP = """, rows AS (SELECT * FROM (SELECT 'row' AS what, sample_id::VARCHAR || '/' || cls AS key, leaf, a.value AS before, b.value AS after,
    CASE WHEN y IS NULL THEN 'only_reference' WHEN x IS NULL THEN 'only_candidate' WHEN a.value IS DISTINCT FROM b.value THEN 'changed' END AS state
    FROM (SELECT *, true AS x FROM (SELECT sample_id, cls, unnest(['reference_present', 'reference_voxels']) AS leaf, unnest([reference_present::INT::DOUBLE, reference_voxels::DOUBLE]) AS value FROM per_volume)) a

@@ -42,6 +42,87 @@ def compare_leaves(
     return a.join(b, on, "full").withColumn("state", state).filter("state IS NOT NULL").drop("_a", "_b")
 
 
+#: What a record may change at its top without being another.
+UNCOMPARED = ("utc", "notes", "bucket_access_count", "per_volume")
+_NOT_FINITE = "\x01"
+
+
+def _readable(document: Column) -> Column:
+    """JSON text in which NaN and the infinities, which are no JSON, are marked strings; texts keep theirs."""
+    tokens = F.regexp_extract_all(document, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++|"'), F.lit(0))
+    marked = F.transform(
+        tokens, lambda t: F.when(F.startswith(t, F.lit('"')), t).otherwise(F.regexp_replace(t, r"NaN|-?Infinity", r'"\\u0001$0"'))
+    )
+    return F.when(F.rlike(document, F.lit("NaN|Infinity")), F.array_join(marked, "")).otherwise(document)
+
+
+def _comparable(node: Column, kind: Column) -> Column:
+    """Text that is the same for values that are: numbers by value, truth values as 1 and 0, NaN as itself."""
+    number, text = node.cast("double"), node.cast("string")
+    whole = F.when(F.abs(number) < 1e37, F.when(number == F.floor(number), number.cast("decimal(38,0)").cast("string")))
+    integer = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\(\d+,0\)$")
+    return (
+        F.when(integer, node.cast("decimal(38,0)").cast("string"))
+        .when(kind == "BOOLEAN", node.cast("boolean").cast("int").cast("string"))
+        .when((kind == "STRING") & F.startswith(text, F.lit(_NOT_FINITE)), F.substring(text, 2, 20))
+        .when(kind == "STRING", F.concat(F.lit('"'), text))
+        .when((kind == "DOUBLE") | (kind == "FLOAT") | F.startswith(kind, F.lit("DECIMAL")), F.coalesce(whole, number.cast("string")))
+        .when(kind == "VOID", F.lit("null"))
+    )
+
+
+def record_leaves(records: DataFrame, keys: Sequence[str], document: str = "document", uncompared: Sequence[str] = UNCOMPARED) -> DataFrame:
+    """(keys, path, value, comparable): every scalar of every record, whatever its shape, and the length of every list.
+
+    A field is ``/name`` under its parent, a list entry ``[index]``, a list's length ``#len``; ``value`` is JSON text.
+    ``uncompared`` fields are left out at the top. A record that is no JSON has one leaf, ``<unreadable>``.
+    The records are read as VARIANT, so nothing of their shape is known before, and walked level by
+    level: a level opens what the one before it held, all records at once.
+    """
+    keys = list(keys)
+    node = F.col("_node")
+    level = records.select(*keys, F.lit("").alias("path"), F.try_parse_json(_readable(F.col(document))).alias("_node"))
+    unreadable = F.lit("<unreadable>")
+    found = level.filter("_node IS NULL").select(*keys, "path", unreadable.alias("value"), unreadable.alias("comparable"))
+    level = level.filter("_node IS NOT NULL")
+    top = True
+    while True:
+        level = cut_lineage(level.withColumn("_kind", F.schema_of_variant(node)))
+        is_list, is_object = (F.startswith("_kind", F.lit(k)) for k in ("ARRAY", "OBJECT"))
+        shown = F.to_json(node)
+        not_finite = F.startswith(node.cast("string"), F.lit(_NOT_FINITE))
+        shown = F.when((F.col("_kind") == "STRING") & not_finite, F.substring(node.cast("string"), 2, 20)).otherwise(shown)
+        scalars = level.filter(~is_list & ~is_object).select(*keys, "path", shown.alias("value"), _comparable(node, F.col("_kind")).alias("comparable"))
+        lists = level.filter(is_list).withColumn("_items", node.cast("array<variant>"))
+        n = F.size("_items").cast("string")
+        lengths = lists.select(*keys, F.concat("path", F.lit("#len")).alias("path"), n.alias("value"), n.alias("comparable"))
+        found = found.unionByName(scalars).unionByName(lengths)
+        if level.filter(is_list | is_object).isEmpty():
+            return found
+        entries = lists.select(*keys, "path", F.posexplode("_items").alias("_at", "_node"))
+        entries = entries.select(*keys, F.concat("path", F.lit("["), F.col("_at").cast("string"), F.lit("]")).alias("path"), "_node")
+        fields = level.filter(is_object).select(*keys, "path", F.explode(F.map_entries(node.cast("map<string, variant>"))).alias("_e"))
+        if top:
+            fields = fields.filter(~F.col("_e.key").isin(*uncompared))
+        fields = fields.select(*keys, F.concat("path", F.lit("/"), F.col("_e.key")).alias("path"), F.col("_e.value").alias("_node"))
+        level, top = entries.unionByName(fields), False
+
+
+def compare_records(
+    reference: DataFrame, candidate: DataFrame, keys: Sequence[str], document: str = "document", uncompared: Sequence[str] = UNCOMPARED
+) -> DataFrame:
+    """(keys, path, before, after) of every leaf in which two sets of records differ; one that a record lacks is ``<absent>``.
+
+    Records are matched by ``keys``, NULL with NULL, numbers compared by value and exactly, NaN with itself.
+    """
+    on = [*keys, "path"]
+    a = record_leaves(reference, keys, document, uncompared).select(*on, F.col("value").alias("before"), F.col("comparable").alias("_a"))
+    b = record_leaves(candidate, keys, document, uncompared).select(*on, F.col("value").alias("after"), F.col("comparable").alias("_b"))
+    differ = join_same(a, b, on, "full").filter(~F.col("_a").eqNullSafe(F.col("_b")))
+    absent = F.lit(ABSENT)
+    return differ.select(*on, F.coalesce("before", absent).alias("before"), F.coalesce("after", absent).alias("after"))
+
+
 def population_gate(previous: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Who and what was measured may not change; metrics are not read.
 
