@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortscale.catalog.sql import RESAMPLES
 from cohortscale.operators.bootstrap import Boot
 from cohortscale.plans.views import Views
 
@@ -13,7 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 SEED = 20260916
-BOOT = Boot(seed=SEED, n_resamples=200, alpha=0.05)
+BOOT = Boot(seed=SEED, n_resamples=RESAMPLES, alpha=0.05)
 CLASSES = ("A", "N", "R")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortscale.catalog.base import BOOT, CLASSES, query
 from cohortscale.catalog.grids import HD95_CTES, counts_on_grid, hd95_rows
-from cohortscale.catalog.sql import ARMS, PER_VOLUME, SCORED, boot_sql, draw_index, with_ctes
+from cohortscale.catalog.sql import ARMS, PER_VOLUME, SCORED, boot_sql, draw_index, draws_sql, with_ctes
 from cohortscale.operators import auroc as roc
 from cohortscale.operators import bootstrap, compare
 from cohortscale.operators.rows import detection_rows
@@ -57,7 +57,7 @@ def e2(v):
         " WHEN cls = 'R' AND patient_id > 0 THEN NULL ELSE score END AS score FROM per_volume)",
         boot_sql("est", "scored_rows", "vendor, cls", "patient_id", "score"),
     )
-    + """SELECT vendor, cls, round(value, 4) AS value, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high,
+    + """SELECT vendor, cls, round(value, 7) AS value, round(ci_low, 7) AS ci_low, round(ci_high, 7) AS ci_high,
       n, n_measurements FROM est""",
 )
 def e2_undefined(v):
@@ -68,7 +68,7 @@ def e2_undefined(v):
     rows = v.per_volume.withColumn(
         "score", F.when(gone, F.lit(float("nan"))).otherwise(F.col("score"))
     )
-    return rounded(bootstrap.estimate(rows, ["vendor", "cls"], BOOT, value="score"), places=4)
+    return rounded(bootstrap.estimate(rows, ["vendor", "cls"], BOOT, value="score"), places=7)
 
 
 def _poisson_sql() -> str:
@@ -100,7 +100,7 @@ def e2_poisson(v):
 
 @query(
     "E3_element_bootstrap",
-    with_ctes(PER_VOLUME, boot_sql("est", "per_volume", "cls", "sample_id", "dice", resamples=200))
+    with_ctes(PER_VOLUME, boot_sql("est", "per_volume", "cls", "sample_id", "dice"))
     + f"SELECT cls, {EST_SQL}, n, n_measurements FROM est",
 )
 def e3(v):
@@ -108,6 +108,15 @@ def e3(v):
     return rounded(bootstrap.element_estimate(v.per_volume.withColumn("value", F.col("dice")), ["cls"], boot, "sample_id"))
 
 
+NUMPY_BOOT = bootstrap.Boot(seed=BOOT.seed, method="numpy")
+
+
+@query("E2_numpy_bootstrap")
+def e2_numpy(v):
+    """The draws of numpy's generator, which SQL has not; tests hold them against numpy."""
+    return rounded(bootstrap.estimate(v.per_volume, ["vendor", "cls"], NUMPY_BOOT, value="dice"))
+
+
 _DET = """det AS (SELECT vendor, cls, patient_id, predicted_voxels > 1 AS guess, reference_present AS truth, score FROM per_volume
   UNION ALL SELECT 'all_vendors', cls, patient_id, predicted_voxels > 1, reference_present, score FROM per_volume),
 det_pos AS (SELECT vendor, cls, patient_id, guess::INT AS value FROM det WHERE truth),
@@ -183,13 +192,12 @@ def e6_ties(v):
     return rounded(roc.auroc(v.per_volume, ["vendor", "cls"], "predicted_voxels", "reference_present"), ["auroc"])
 
 
-def _roc_boot_sql(stratum: str, idx_partition: str, idx_order: str, r: int = 200) -> str:
+def _roc_boot_sql(stratum: str, idx_partition: str, idx_order: str) -> str:
     part = f"cell, {idx_partition}" if idx_partition else "cell"
     return f"""mem AS (SELECT cell, label, score, {stratum} AS st,
     row_number() OVER (PARTITION BY {part} ORDER BY {idx_order}) - 1 AS idx FROM scored),
   sz AS (SELECT cell, st, count(*) AS g FROM mem GROUP BY ALL),
-  sl AS (SELECT * FROM sz, range({r}) rr(r), LATERAL (SELECT unnest(range(g)) AS s)),
-  dr AS (SELECT cell, st, r, {draw_index('st', 'g')} AS idx FROM sl),
+  dr AS ({draws_sql('sz', 'cell, st', 'st')}),
   pk AS (SELECT d.cell, d.r, m.label, m.score FROM dr d JOIN mem m ON m.cell = d.cell AND m.st = d.st AND m.idx = d.idx),
   rk AS (SELECT cell, r, label, rank() OVER (PARTITION BY cell, r ORDER BY score)
      + (count(*) OVER (PARTITION BY cell, r, score) - 1) / 2.0::DOUBLE AS k FROM pk),
@@ -256,7 +264,7 @@ def e10(v):
     return rounded(bootstrap.by_vendor(rows, BOOT))
 
 
-_ARM_EST = boot_sql("est", "arms", "run, arm, cls", "patient_id", "dice", resamples=200)
+_ARM_EST = boot_sql("est", "arms", "run, arm, cls", "patient_id", "dice")
 
 
 def arm_estimates(v):
@@ -303,7 +311,7 @@ def e13(v):
     return rounded(compare.per_patient(v.arms, ["arm", "cls"]), ["value"])
 
 
-def joint_sql(name: str, held: str, ref: str, cell: str, r: int = 200) -> str:
+def joint_sql(name: str, held: str, ref: str, cell: str) -> str:
     cs = [c.strip() for c in cell.split(",")]
     on = " AND ".join(f"a.{c} = b.{c}" for c in cs)
     using = ", ".join(cs)
@@ -312,7 +320,7 @@ def joint_sql(name: str, held: str, ref: str, cell: str, r: int = 200) -> str:
     FROM {held} h FULL JOIN {ref} f USING ({using}, patient_id)),
   {name}_i AS (SELECT *, row_number() OVER (PARTITION BY {using}, st ORDER BY substr(md5(patient_id::VARCHAR), 1, 3), patient_id) - 1 AS idx FROM {name}_m),
   {name}_z AS (SELECT {using}, st, count(*) AS g FROM {name}_m GROUP BY ALL),
-  {name}_d AS (SELECT {using}, st, r, {draw_index('st', 'g')} AS idx FROM {name}_z, range({r}) rr(r), LATERAL (SELECT unnest(range(g)) AS s)),
+  {name}_d AS ({draws_sql(f"{name}_z", f"{using}, st", "st")}),
   {name}_r AS (SELECT {', '.join('a.' + c for c in cs)}, r, coalesce(sum(held), 0) AS h, coalesce(sum(ref), 0) AS f FROM {name}_d a JOIN {name}_i b ON {on} AND a.st = b.st AND a.idx = b.idx GROUP BY ALL),
   {name}_t AS (SELECT {using}, count(held) AS n_held, count(ref) AS n_ref, avg(held) - avg(ref) AS difference FROM {name}_m GROUP BY ALL),
   {name} AS (SELECT {', '.join('b.' + c for c in cs)}, difference, n_held, n_ref,
@@ -339,12 +347,18 @@ def e14(v):
     return rounded(out, ["difference", "ci_low", "ci_high"])
 
 
+@query("E14_numpy_difference")
+def e14_numpy(v):
+    out = bootstrap.joint_difference(*pooled_arms(v), ["cls"], NUMPY_BOOT)
+    return rounded(out, ["difference", "ci_low", "ci_high"])
+
+
 @query(
     "E15_independent_difference",
     with_ctes(
         ARMS, _POOL,
-        boot_sql("h", "held", "cls", "patient_id", "value", resamples=200, stratum="'held'"),
-        boot_sql("f", "ref", "cls", "patient_id", "value", resamples=200, stratum="'ref'"),
+        boot_sql("h", "held", "cls", "patient_id", "value", stratum="'held'"),
+        boot_sql("f", "ref", "cls", "patient_id", "value", stratum="'ref'"),
     )
     + """SELECT a.cls, round(any_value(h.value - f.value), 9) AS difference, round(quantile_cont(a.mean - b.mean, 0.025::DOUBLE), 9) AS ci_low,
       round(quantile_cont(a.mean - b.mean, 0.975::DOUBLE), 9) AS ci_high FROM h_reps a JOIN f_reps b ON a.cls = b.cls AND a.r = b.r
@@ -363,7 +377,7 @@ _CUBE = with_ctes(
     unit AS (SELECT view, comparison, cls, arm, patient_id, avg(dice) AS value FROM viewed GROUP BY ALL),
     held AS (SELECT view, comparison, cls, patient_id, value FROM unit WHERE arm = 'test'),
     ref AS (SELECT view, comparison, cls, patient_id, value FROM unit WHERE arm = 'in_domain_ref')""",
-    boot_sql("est", "unit", _CUBE_CELL + ", arm", "patient_id", "value", resamples=200),
+    boot_sql("est", "unit", _CUBE_CELL + ", arm", "patient_id", "value"),
     joint_sql("j", "held", "ref", _CUBE_CELL),
     """cube AS (SELECT j.view, j.comparison, j.cls, h.value AS held_value, h.ci_low AS held_ci_low, h.ci_high AS held_ci_high, h.n AS held_n,
       f.value AS ref_value, f.ci_low AS ref_ci_low, f.ci_high AS ref_ci_high, f.n AS ref_n, difference, j.ci_low AS diff_low, j.ci_high AS diff_high

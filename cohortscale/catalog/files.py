@@ -48,7 +48,7 @@ def a3(v):
 
 _RECORD_EST = """, out AS (SELECT run, arm, 'all_vendors' AS vendor, cls, 'dice' AS metric, * EXCLUDE (run, arm, cls) FROM est)
     SELECT run, arm, vendor, cls, metric, round(value, 9) AS value, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, n, n_measurements,
-      20260916 AS seed, 200 AS n_resamples, 0.05::DOUBLE AS alpha FROM out"""
+      20260916 AS seed, 2000 AS n_resamples, 0.05::DOUBLE AS alpha FROM out"""
 
 
 def written_records(v):

@@ -60,7 +60,7 @@ _RCA = "run, cls, arm"
 
 @query(
     "E19_specificity_at_threshold",
-    with_ctes(ARMS, _VAL, _select_sql("val_rows", "run, cls"), _SPEC, boot_sql("est", "spec_rows", _RCA, "patient_id", "value", resamples=200))
+    with_ctes(ARMS, _VAL, _select_sql("val_rows", "run, cls"), _SPEC, boot_sql("est", "spec_rows", _RCA, "patient_id", "value"))
     + """SELECT run, cls, arm, round(value, 9) AS value, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, n, n_measurements FROM est""",
 )
 def e19(v):
@@ -74,8 +74,8 @@ def e19(v):
     "E20_selection_report",
     with_ctes(
         ARMS, _VAL, _select_sql("val_rows", "run, cls"), _SPEC,
-        boot_sql("est", "spec_rows", _RCA, "patient_id", "value", resamples=200),
-        boot_sql("fix", "fixed_rows", _RCA, "patient_id", "value", resamples=200),
+        boot_sql("est", "spec_rows", _RCA, "patient_id", "value"),
+        boot_sql("fix", "fixed_rows", _RCA, "patient_id", "value"),
     )
     + """SELECT e.run, e.cls, e.arm, round(f.value, 9) AS fixed_value, round(f.ci_low, 9) AS fixed_ci_low, round(f.ci_high, 9) AS fixed_ci_high, f.n AS fixed_n,
       round(e.value, 9) AS selected_value, round(e.ci_low, 9) AS selected_ci_low, round(e.ci_high, 9) AS selected_ci_high, e.n AS selected_n,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from cohortscale.operators.multiplicities import PRIME, STEP_A, STEP_B, STEP_C
 from cohortscale.plans.views import SEED, SPACING, VENDORS
 
+RESAMPLES = 2000
+
 SAMPLES = """samples AS (
   SELECT o_orderkey AS sample_id, o_custkey AS patient_id, c_mktsegment AS vendor
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
@@ -120,8 +123,23 @@ def draw_index(stratum: str, g: str, r: str = "r", s: str = "s", seed: int = SEE
     return f"('0x' || substr(md5({text}), 1, 15))::BIGINT % {g}"
 
 
+def draws_sql(source: str, columns: str, stratum: str, resamples: int = RESAMPLES, seed: int = SEED) -> str:
+    """A query over ``source``, with its size ``g``: ``columns``, replicate ``r`` and the member ``idx`` of every draw."""
+    cube = f"((x * x) % {PRIME} * x) % {PRIME}"
+    key = f"(('0x' || substr(md5(concat_ws('|', '{seed}', {stratum})), 1, 7))::BIGINT + r) % {PRIME}"
+    q = f"SELECT {columns}, g, r, {key} AS x FROM {source}, range({resamples}) rr(r)"
+    q = f"SELECT {columns}, g, r, ({cube} + {STEP_A}) % {PRIME} AS x FROM ({q})"
+    q = f"SELECT {columns}, g, r, {cube} AS one FROM ({q})"
+    q = f"SELECT *, (one + {STEP_B}) % {PRIME} AS x FROM ({q})"
+    q = f"SELECT {columns}, g, r, one, {cube} AS two FROM ({q})"
+    q = f"SELECT {columns}, g, r, two, (s + one) % {PRIME} AS x FROM ({q}), LATERAL (SELECT unnest(range(g)) AS s)"
+    q = f"SELECT {columns}, g, r, ({cube} + two) % {PRIME} AS x FROM ({q})"
+    q = f"SELECT {columns}, g, r, ({cube} + {STEP_C}) % {PRIME} AS x FROM ({q})"
+    return f"SELECT {columns}, r, ({cube}) % g AS idx FROM ({q})"
+
+
 def boot_sql(
-    name: str, source: str, cell: str, patient: str, value: str, resamples: int = 200,
+    name: str, source: str, cell: str, patient: str, value: str, resamples: int = RESAMPLES,
     alpha: float = 0.05, stratum: str = "'all'",
 ) -> str:
     """CTEs ending in ``{name}``: cell, value, ci_low, ci_high, n, n_measurements."""
@@ -136,9 +154,7 @@ def boot_sql(
   SELECT *, row_number() OVER (PARTITION BY {cell}
      ORDER BY substr(md5(patient::VARCHAR), 1, 3), patient) - 1 AS idx FROM {name}_sums),
 {name}_cells AS (SELECT {cell}, count(*) AS g, sum(t) / sum(c) AS value FROM {name}_sums GROUP BY ALL),
-{name}_slots AS (
-  SELECT * FROM {name}_cells, range({resamples}) rr(r), LATERAL (SELECT unnest(range(g)) AS s)),
-{name}_draws AS (SELECT {cell}, r, {draw_index(stratum, 'g')} AS idx FROM {name}_slots),
+{name}_draws AS ({draws_sql(f"{name}_cells", cell, stratum, resamples)}),
 {name}_reps AS (
   SELECT {a_cell}, r, sum(b.t) / sum(b.c) AS mean FROM {name}_draws a
   JOIN {name}_members b ON {on} AND a.idx = b.idx GROUP BY ALL),

@@ -12,11 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortscale.operators.bootstrap import SLOTS_PER_BLOCK, Boot, draws
+from cohortscale.operators.bootstrap import Boot, one_stream
+from cohortscale.operators.multiplicities import per_block, weighted
 from cohortscale.plans.ordered import range_bucket, running
 from cohortscale.session import width
 
-
+#: Cases of one score and label that are made at a time.
+SLOTS_PER_BLOCK = 4096
 #: Products of two counts pass the range of BIGINT.
 WIDE = "decimal(19, 0)"
 
@@ -100,10 +102,13 @@ def _cases_in_order(counts: DataFrame, cell: Sequence[str]) -> DataFrame:
 
 
 def _replicate_counts(drawn: DataFrame, cell: Sequence[str]) -> DataFrame:
-    """Weighted score counts per replicate."""
-    return drawn.groupBy(*cell, "replicate", "_part", "score").agg(
-        F.count_if(F.col("stratum") == "pos").alias("pos"),
-        F.count_if(F.col("stratum") == "neg").alias("neg"),
+    """Score counts per replicate, each case as often as it is drawn."""
+    times = drawn.select(*cell, "stratum", "score", "_part", "_block", "_size", F.posexplode("_weights").alias("_k", "_w")).filter("_w > 0")
+    replicate = F.col("_block") * per_block("_size") + F.col("_k")
+    each = times.withColumn("replicate", replicate.cast("int"))
+    return each.groupBy(*cell, "replicate", "_part", "score").agg(
+        F.sum(F.when(F.col("stratum") == "pos", F.col("_w")).otherwise(0)).alias("pos"),
+        F.sum(F.when(F.col("stratum") == "neg", F.col("_w")).otherwise(0)).alias("neg"),
     )
 
 
@@ -124,10 +129,9 @@ def stratified_interval(
         .filter("pos > 0 AND neg > 0")
         .unpivot(cell, ["pos", "neg"], "stratum", "size")
     )
-    keys = [*cell, "stratum", "idx"]
-    made = draws(sizes, [*cell, "stratum"], boot, F.col("stratum"))
-    listed = _cases_in_order(counts, cell).select(*keys, "score", "_part")
-    drawn = made.join(listed.hint("shuffle_hash"), keys)
+    inner = [*cell, "stratum"]
+    listed = _cases_in_order(counts, cell).select(*inner, "idx", "score", "_part")
+    drawn = weighted(listed, inner, one_stream(sizes, F.col("stratum")), boot.seed, boot.n_resamples)
     reps = twice_u(_replicate_counts(drawn, cell), [*cell, "replicate"]).withColumn("mean", _area())
     perfect = F.bool_and(F.col("two_u") == 2 * F.col("positives") * F.col("negatives"))
     tails = reps.groupBy(*cell).agg(
@@ -149,8 +153,7 @@ def unstratified_interval(
     listed = _cases_in_order(counts, cell).select(
         *cell, F.col("joint_idx").alias("idx"), "stratum", "score", "_part"
     )
-    made = draws(sizes, cell, boot, "joint")
-    drawn = made.join(listed.hint("shuffle_hash"), [*cell, "idx"])
+    drawn = weighted(listed, cell, one_stream(sizes, "joint"), boot.seed, boot.n_resamples)
     reps = twice_u(_replicate_counts(drawn, cell), [*cell, "replicate"])
     usable = (F.col("positives") > 0) & (F.col("negatives") > 0)
     tails = reps.groupBy(*cell).agg(

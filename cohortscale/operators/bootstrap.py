@@ -1,11 +1,9 @@
-"""Percentile bootstrap over patients (clusters), as joins.
-
-Per cell: measurements are summed per patient, patients get an index in hash order, every
-replicate draws as many indices as the cell has patients, and a replicate mean is a sum over a
-sum. Which index a slot draws is a hash of (seed, stratum, replicate, slot), so the result does
-not depend on partitioning and a lost executor recomputes the same draws. The draw rows are
-made from a table of cells, in blocks, and are shuffled by (cell, index): no cell is ever
-collected in one task.
+"""Percentile bootstrap over patients (clusters).
+
+Per cell: measurements are summed per patient, patients get an index, every replicate draws as many
+indices as the cell has patients, and a replicate mean is a sum over a sum. Draws do not depend on the
+values, so ``multiplicities`` makes them once for all cells of a size, in the tasks that the sums go to.
+They are functions of their place: they do not depend on partitioning, and a lost executor makes the same again.
 """
 
 from __future__ import annotations
@@ -18,10 +16,9 @@ from pyspark.sql import functions as F
 
 from cohortscale.functions.hashing import draw
 from cohortscale.functions.text import defined
-from cohortscale.plans.ordered import hash_bucket, running
-from cohortscale.session import cut_lineage, width
-
-SLOTS_PER_BLOCK = 4096
+from cohortscale.operators.multiplicities import weighted_sums, words_used
+from cohortscale.plans.ordered import hash_bucket, join_same, ranked, running
+from cohortscale.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -32,6 +29,12 @@ class Boot:
     n_resamples: int = 2000
     alpha: float = 0.05
     unit: str = "patients"
+    #: ``hash`` draws by a hash of each slot's place, ``numpy`` what numpy's default generator draws.
+    method: str = "hash"
+
+    def __post_init__(self):
+        if self.method not in ("hash", "numpy"):
+            raise ValueError(f"draws by {self.method!r}: hash or numpy")
 
     def tails(self) -> Column:
         return F.array(F.lit(self.alpha / 2), F.lit(1 - self.alpha / 2))
@@ -56,62 +59,56 @@ def counted(sums: DataFrame) -> DataFrame:
     return sums.filter("values > 0")
 
 
-def indexed(members: DataFrame, cell: Sequence[str], member: str) -> DataFrame:
-    """Add ``idx`` from 0 per cell, in (hash prefix, member) order."""
-    return running(
-        members.withColumn("_part", hash_bucket(member)),
-        cell,
-        "_part",
-        [member],
-        {"idx": ("sum", F.lit(1), False)},
-    ).drop("_part")
-
-
-def draws(sizes: DataFrame, cell: Sequence[str], boot: Boot, stratum: Column | str) -> DataFrame:
-    """(cell, replicate, idx): ``size`` draws with replacement for every replicate of a cell."""
-    stratum = F.lit(stratum) if isinstance(stratum, str) else stratum
-    cell = list(cell)
-    last = F.floor((F.col("size") - 1) / SLOTS_PER_BLOCK).cast("int")
-    blocks = (
-        sizes.filter("size > 0")
-        .withColumn("_stratum", stratum)
-        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(boot.n_resamples - 1))))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), last)))
-        .repartition(width(sizes.sparkSession), *cell, "replicate", "_block")
-    )
-    start = F.col("_block").cast("bigint") * SLOTS_PER_BLOCK
-    stop = F.least(F.col("size"), start + SLOTS_PER_BLOCK) - 1
-    slots = blocks.withColumn("_slot", F.explode(F.sequence(start, stop)))
-    picked = draw(boot.seed, F.col("_stratum"), F.col("replicate"), F.col("_slot"), F.col("size"))
-    return slots.select(*cell, "replicate", picked.alias("idx"))
+def indexed(members: DataFrame, cell: Sequence[str], member: str, boot: Boot) -> DataFrame:
+    """Add ``idx`` from 0 per cell: in (hash prefix, member) order, for ``numpy`` in the order of the members."""
+    if boot.method == "numpy":
+        return ranked(members, cell, [member], "idx").withColumn("idx", F.col("idx") - 1)
+    tagged = members.withColumn("_part", hash_bucket(member))
+    return running(tagged, cell, "_part", [member], {"idx": ("sum", F.lit(1), False)}).drop("_part")
 
 
 def sizes_of(members: DataFrame, cell: Sequence[str]) -> DataFrame:
     return members.groupBy(*cell).agg(F.count("*").alias("size"))
 
 
-def drawn_members(
-    members: DataFrame, cell: Sequence[str], member: str, boot: Boot, stratum: Column | str,
-    values: Sequence[str],
-) -> DataFrame:
-    """(cell, replicate, values) of every draw.
+def one_stream(sizes: DataFrame, stratum: Column | str) -> DataFrame:
+    """Every cell draws from the beginning."""
+    stratum = F.lit(stratum) if isinstance(stratum, str) else stratum
+    return sizes.withColumns({"_stratum": stratum, "_start": F.lit(0).cast("long")})
 
-    The hint keeps the draws from being broadcast: before they are made they look small. The
-    members of one (cell, index) range are hashed in the task that receives their draws.
+
+def stream_after_stream(sizes: DataFrame, cell: Sequence[str], strata: Sequence[str], boot: Boot) -> DataFrame:
+    """The strata of a cell, one after another; in ``numpy`` each goes on where the one before it stopped.
+
+    ``sizes`` (cell, stratum, size).
     """
     cell = list(cell)
-    made = draws(sizes_of(members, cell), cell, boot, stratum)
-    listed = indexed(members, cell, member).select(*cell, "idx", *values)
-    return made.join(listed.hint("shuffle_hash"), [*cell, "idx"])
+    if boot.method != "numpy":
+        return one_stream(sizes, F.col("stratum"))
+    at = sizes.select(*cell).distinct().withColumn("_start", F.lit(0).cast("long"))
+    parts = []
+    for name in strata:
+        here = join_same(sizes.filter(F.col("stratum") == name), at, cell).withColumn("_stratum", F.lit("numpy"))
+        parts.append(here)
+        kinds = here.select(F.col("_stratum").alias("stratum"), "size", F.col("_start").alias("start")).distinct()
+        used = words_used(kinds, boot.seed, boot.n_resamples).select("size", F.col("start").alias("_start"), "used")
+        moved = here.join(used, ["size", "_start"]).select(*cell, "used")
+        at = cut_lineage(
+            join_same(at, moved, cell, "left").select(*cell, (F.col("_start") + F.coalesce("used", F.lit(0))).alias("_start"))
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def replicate_means(sums: DataFrame, cell: Sequence[str], patient: str, boot: Boot) -> DataFrame:
     """(cell, replicate, mean): the mean over values of the drawn patients."""
-    cell = list(cell)
-    drawn = drawn_members(counted(sums), cell, patient, boot, "all", ["total", "values"])
-    return drawn.groupBy(*cell, "replicate").agg(
-        (F.sum("total") / F.sum("values")).alias("mean")
-    )
+    cell, members = list(cell), counted(sums)
+    listed = indexed(members, cell, patient, boot).select(*cell, "idx", "total", "values")
+    streams = one_stream(sizes_of(members, cell), "numpy" if boot.method == "numpy" else "all")
+    added = weighted_sums(listed, cell, streams, ["total", "values"], boot.seed, boot.n_resamples, boot.method)
+    return added.select(*cell, "replicate", (F.col("total") / F.col("values")).alias("mean"))
 
 
 def poisson_means(sums: DataFrame, cell: Sequence[str], patient: str, boot: Boot) -> DataFrame:
@@ -177,7 +174,7 @@ def estimate_sums(
     means = {"exact": replicate_means, "poisson": poisson_means}[method]
     tails = interval(means(sums, cell, patient, boot), cell, boot)
     single = F.col("n") == 1
-    return points.join(tails, cell, "left").select(
+    return join_same(points, tails, cell, "left").select(
         *cell,
         "value",
         F.when(single, F.col("value")).otherwise(F.col("ci_low")).alias("ci_low"),
@@ -232,15 +229,15 @@ def joint_difference(
         F.avg("held").alias("_mean_held"),
         F.avg("ref").alias("_mean_ref"),
     )
-    drawn = drawn_members(members, inner, patient, boot, F.col("stratum"), ["held", "ref"])
-    sums = drawn.groupBy(*cell, "replicate").agg(
-        F.sum("held").alias("h"), F.sum("ref").alias("r")
-    )
-    diffs = sums.join(totals, cell).withColumn(
-        "mean", F.col("h") / F.col("n_held") - F.col("r") / F.col("n_ref")
+    listed = indexed(members, inner, patient, boot).select(*inner, "idx", "held", "ref")
+    streams = stream_after_stream(sizes_of(members, inner), cell, ("held_only", "ref_only", "both"), boot)
+    by_stratum = weighted_sums(listed, inner, streams, ["held", "ref"], boot.seed, boot.n_resamples, boot.method)
+    sums = by_stratum.groupBy(*cell, "replicate").agg(F.sum("held").alias("held"), F.sum("ref").alias("ref"))
+    diffs = join_same(sums, totals, cell).withColumn(
+        "mean", F.col("held") / F.col("n_held") - F.col("ref") / F.col("n_ref")
     )
     tails = interval(diffs, cell, boot)
-    return totals.join(tails, cell, "left").select(
+    return join_same(totals, tails, cell, "left").select(
         *cell,
         (F.col("_mean_held") - F.col("_mean_ref")).alias("difference"),
         "ci_low",
@@ -255,23 +252,26 @@ def independent_difference(
 ) -> DataFrame:
     """Arms resampled independently: only for figures first published that way."""
     cell = list(cell)
-    sides = {}
-    for name, rows in (("held", held), ("ref", ref)):
-        sums = counted(cluster_sums(rows, cell, patient, "value"))
-        drawn = drawn_members(sums, cell, patient, boot, name, ["total", "values"])
-        reps = drawn.groupBy(*cell, "replicate").agg(
-            (F.sum("total") / F.sum("values")).alias(name)
+    inner = [*cell, "stratum"]
+    members = counted(
+        cluster_sums(
+            held.withColumn("stratum", F.lit("held")).unionByName(ref.withColumn("stratum", F.lit("ref"))), inner, patient, "value"
         )
-        point = sums.groupBy(*cell).agg((F.sum("total") / F.sum("values")).alias(f"_mean_{name}"))
-        sides[name] = (reps, point)
-    diffs = sides["held"][0].join(sides["ref"][0], [*cell, "replicate"]).withColumn(
-        "mean", F.col("held") - F.col("ref")
-    )
-    tails = interval(diffs, cell, boot)
-    points = sides["held"][1].join(sides["ref"][1], cell)
-    return points.join(tails, cell).select(
-        *cell, (F.col("_mean_held") - F.col("_mean_ref")).alias("difference"), "ci_low", "ci_high"
     )
+    listed = indexed(members, inner, patient, boot).select(*inner, "idx", "total", "values")
+    streams = stream_after_stream(sizes_of(members, inner), cell, ("held", "ref"), boot)
+    means = weighted_sums(listed, inner, streams, ["total", "values"], boot.seed, boot.n_resamples, boot.method)
+
+    def apart(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        side = F.col("stratum") == "held"
+        mean = F.sum("total") / F.sum("values")
+        each = df.groupBy(*keys, "stratum").agg(mean.alias("m"))
+        both = each.groupBy(*keys).agg(F.max(F.when(side, F.col("m"))).alias("h"), F.max(F.when(~side, F.col("m"))).alias("r"))
+        return both.select(*keys, (F.col("h") - F.col("r")).alias("mean"))
+
+    tails = interval(apart(means, [*cell, "replicate"]), cell, boot)
+    points = apart(members, cell).filter("mean IS NOT NULL").withColumnRenamed("mean", "difference")
+    return join_same(points, tails, cell).select(*cell, "difference", "ci_low", "ci_high")
 
 
 def with_boot(estimates: DataFrame, boot: Boot) -> DataFrame:
