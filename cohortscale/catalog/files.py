@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortscale.catalog.base import query
 from cohortscale.catalog.estimates import CUBE_BOOT, _ARM_EST, rounded
-from cohortscale.catalog.logs import as_access_log, as_telemetry, event_stream
+from cohortscale.catalog.logs import as_telemetry, event_stream, parts_by
 from cohortscale.catalog.sql import ARMS, LATTICE, MANIFEST, PER_VOLUME, SPLIT, with_ctes
 from cohortscale.operators import bootstrap
 from cohortscale.schemas import RECORD, TELEMETRY
@@ -133,6 +133,32 @@ def a8(v):
     )
 
 
+@query(
+    "A8_telemetry_csv_stream",
+    r"""SELECT user_id AS run, CASE WHEN event_id % 17 <> 3 AND event_id % 23 <> 5 THEN round(value, 6) END AS temperature_gpu,
+      CASE WHEN event_id % 17 <> 3 THEN regexp_extract(props, '(\d+)', 1)::DOUBLE END AS memory_used,
+      event_id % 17 <> 3 AND event_type = 'error' AS failed, event_id % 17 = 3 OR event_id % 19 = 4 OR event_id % 23 = 5 AS malformed FROM events""",
+)
+def a8_stream(v):
+    """A file in five parts, each with its header, and with lines that are short, long, or hold no number."""
+    k = F.col("event_id")
+    cells = F.concat_ws(
+        ",", F.lit("2026-01-01T00:00:00.000Z"), F.lit("0.0"), F.col("user_id").cast("string"),
+        F.when(k % 23 == 5, "hot").otherwise(F.col("value").cast("string")), F.lit(",,,"),
+        F.get_json_object("props", "$.k"), F.lit("100.0"), F.lit(""), F.when(F.col("event_type") == "error", '"failed, twice"').otherwise(""),
+    )
+    short = F.concat_ws(",", F.lit("2026-01-01T00:00:00.000Z"), F.lit("0.0"), F.col("user_id").cast("string"))
+    line = F.when(k % 17 == 3, short).when(k % 19 == 4, F.concat(cells, F.lit(",more,cells"))).otherwise(cells)
+    header = v.spark.range(1).select(F.lit(",".join(logfiles.telemetry_columns())).alias("value"))
+    lines = v.table("events").select(line.alias("value"), "event_id")
+    parts = [header.unionAll(p.select("value")) for p in parts_by(v, lines, k % 5, 5)]
+    out = stream.follow(parts, "value STRING", logfiles.parse_telemetry, "telemetry-csv", lines=True)
+    return out.select(
+        F.col("name").cast("bigint").alias("run"), F.round("temperature_gpu", 6).alias("temperature_gpu"), "memory_used",
+        F.col("error").isNotNull().alias("failed"), F.col("malformed").isNotNull().alias("malformed"),
+    )
+
+
 _RELEASE = "CASE WHEN c_mktsegment = 'MACHINERY' AND c_custkey % 2 = 0 THEN 'second' ELSE 'first' END"
 _FOLDER = f"'Training' || c_mktsegment || '/' || {_RELEASE} || '/vol-' || c_custkey"
 # Defects by customer key: the image's spacing, its size, no image, a label too many, a short payload, a packed one.

@@ -30,6 +30,34 @@ def event_stream(v):
     return stream.read_parquet_log(v.spark, v.sf_dir, "events.parquet", v.table("events").schema)
 
 
+def parts_in_time(v, rows, n=5):
+    """The rows of a log in ``n`` parts by time, as they would be appended; written once, read a part at a time."""
+    micros = F.unix_micros("ts")
+    cuts = rows.agg(F.percentile_approx(micros, [k / n for k in range(1, n)])).first()[0] or []
+    return parts_by(v, rows, sum(((micros > c).cast("int") for c in cuts), F.lit(0)), n)
+
+
+def parts_by(v, rows, part, n):
+    path = scratch_path(v.spark, "log-parts")
+    rows.withColumn("_part", part.cast("int")).write.partitionBy("_part").parquet(path)
+    whole = v.spark.read.schema(f"{ddl_of(rows)}, _part int").parquet(path)
+    return [whole.filter(F.col("_part") == k).drop("_part") for k in range(n)]
+
+
+def ddl_of(rows):
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+
+def closing(parts):
+    """The parts, then two rows of a run of its own long after them, so that every window is closed."""
+    rows = parts[0]
+    last = max(p.agg(F.max("ts")).first()[0] for p in parts)
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name not in ("run", "ts")]
+    ends = rows.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("run"), *others)
+    late = [ends.withColumn("ts", F.lit(last) + F.expr(f"INTERVAL '{d}' DAY")).select(*rows.columns) for d in (90, 180)]
+    return [*parts, *late]
+
+
 _I1 = with_ctes(_ACCESS) + "SELECT bucket, fold_id, count(DISTINCT run_id) + count(*) FILTER (run_id IS NULL) AS accesses FROM acc GROUP BY ALL"
 
 
@@ -72,7 +100,9 @@ def i3(v):
 
 @query("I3_audit_findings_stream", _I3)
 def i3_stream(v):
-    out = stream.carry_over(as_access_log(event_stream(v)), stream.prior_accesses_step, "audit")
+    """The log in five parts, each followed where the stream before it stopped."""
+    rows = as_access_log(v.table("events"))
+    out = stream.follow_prior_accesses(parts_in_time(v, rows), ddl_of(rows))
     return out.filter("prior_accesses <> prior").select("bucket", "fold_id", "entry", "prior_accesses", "prior")
 
 
@@ -100,16 +130,11 @@ def i4(v):
 
 @query("I4_best_and_patience_stream", _I4)
 def i4_stream(v):
-    """The epochs are written as a log first, then followed as a stream."""
-
-    folder = scratch_path(v.spark, "epoch-log")
-    epochs = metric_epochs(v)
-    epochs.write.json(folder)
-    log = stream.read_json_log(v.spark, folder, "run BIGINT, epoch BIGINT, val_dice DOUBLE", files_per_batch=1000)
-    out = stream.carry_over(log, stream.patience_step(["run"]), "patience")
-    return out.filter("NOT late").select(
-        "run", "epoch", "val_dice", F.col("improved_now").alias("improved"), "best_metric", "best_epoch", "since_improvement"
-    )
+    """The epochs in five parts, in the order of time; epochs of one moment are in one part."""
+    rows = v.epochs.select("run", "epoch", "ts", F.when(F.col("event_type") != "error", F.col("value")).alias("val_dice"))
+    parts = [p.drop("ts") for p in parts_in_time(v, rows)]
+    out = stream.follow_patience(parts, "run BIGINT, epoch BIGINT, val_dice DOUBLE", ["run"])
+    return out.filter("NOT late").select("run", "epoch", "val_dice", "improved", "best_metric", "best_epoch", "since_improvement")
 
 
 @query(
@@ -152,9 +177,11 @@ def i5_open(v):
        SELECT run, min(ts) AS from_ts, max(ts) + INTERVAL 6 HOUR AS to_ts, count(*) AS events FROM n GROUP BY run, k""",
 )
 def i5_stream(v):
-    """Update-free: the whole log is one bounded stream, so complete sessions are what it ends with."""
-    log = event_stream(v).select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("ts"))
-    return stream.run_to_table(stream.gap_sessions(log, "6 hours", "1 day"), "complete", "gap-sessions")
+    """In five parts; a session is written when the watermark has passed its end, and its state goes."""
+    log = v.table("events").select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("ts"))
+    build = lambda rows: stream.gap_sessions(rows, "6 hours", "1 day")
+    out = stream.follow(closing(parts_in_time(v, log)), "run BIGINT, ts TIMESTAMP", build, "gap-sessions")
+    return out.filter("run >= 0")
 
 
 @query(
@@ -204,9 +231,26 @@ def i8(v):
         count(*) AS samples, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY ALL""",
 )
 def i8_stream(v):
-    return stream.run_to_table(
-        stream.telemetry_windows(as_telemetry(event_stream(v)), "1 day", "40 days"), "complete", "telemetry"
-    )
+    return windows_of(v, "1 day", None)
+
+
+def windows_of(v, width, slide):
+    """In five parts; a window is written when the watermark has passed it, and its state goes."""
+    rows = as_telemetry(v.table("events"))
+    build = lambda live: stream.telemetry_windows(live, width, "1 day", slide)
+    out = stream.follow(closing(parts_in_time(v, rows)), ddl_of(rows), build, "telemetry")
+    return out.filter("run >= 0")
+
+
+@query(
+    "I8_sliding_windows_stream",
+    f"""WITH w AS (SELECT *, time_bucket(INTERVAL 12 HOUR, ts) - to_hours(12 * k) AS f FROM events, range(2) s(k))
+        SELECT user_id AS run, f AS from_ts, f + INTERVAL 1 DAY AS to_ts,
+        min(value) AS min_temperature, max(value) AS max_temperature, max({_MEM}) AS peak_memory_share,
+        count(*) AS samples, count(*) FILTER (event_type = 'error') AS errors FROM w GROUP BY ALL""",
+)
+def i8_sliding(v):
+    return windows_of(v, "1 day", "12 hours")
 
 
 @query(
@@ -216,14 +260,10 @@ def i8_stream(v):
       SELECT b.run, count(*) AS late FROM b WHERE ts < (SELECT max(newest) FROM n WHERE n.part < b.part) - INTERVAL 240 HOUR GROUP BY b.run""",
 )
 def i8_late_rows(v):
-    """The events in five files, one batch each in the order they were written; rows ten days behind the newest are late."""
-    folder = scratch_path(v.spark, "late-input")
-    for part in range(5):
-        rows = v.table("events").filter(F.col("event_id") % 5 == part).select(F.col("user_id").alias("run"), "ts")
-        rows.coalesce(1).write.mode("append").parquet(folder)
-    live = v.spark.readStream.schema("run bigint, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
-    out = stream.carry_over(live, stream.late_rows_step(240 * 3600), "late-rows")
-    return out.groupBy("run").agg(F.sum("late").alias("late"))
+    """The events in five parts that overlap in time; rows ten days behind the newest of earlier parts are late."""
+    rows = v.table("events").select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    parts = [p.drop("event_id") for p in parts_by(v, rows, F.col("event_id") % 5, 5)]
+    return stream.follow_late_rows(parts, "run BIGINT, ts TIMESTAMP", 240 * 3600)
 
 
 @query(

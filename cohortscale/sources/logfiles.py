@@ -27,6 +27,18 @@ def read_telemetry(spark: SparkSession, path: str, schema: str = TELEMETRY) -> D
     ).csv(path)
 
 
+def parse_telemetry(lines: DataFrame, schema: str = TELEMETRY) -> DataFrame:
+    """Telemetry out of CSV lines (value), in batch or as a stream, with the ``malformed`` line where it was one.
+
+    A line with too few cells is padded with NULL, one with too many is trimmed, a cell that does not parse is NULL; each
+    such line is kept beside what could be read of it. Header lines are left out wherever they stand.
+    """
+    fields = [f.name for f in struct(schema)]
+    read = F.from_csv("value", f"{schema}, malformed STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"})
+    rows = lines.filter((F.trim("value") != "") & (F.col("value") != ",".join(fields)))
+    return rows.select(read.alias("r")).select("r.*")
+
+
 def telemetry_columns() -> list[str]:
     return [f.name for f in struct(TELEMETRY)]
 

@@ -1,21 +1,23 @@
 """The log operators as streams.
 
-Counts and windows are native streaming aggregations. Operators that carry a running value over
-a run use ``foreachBatch``: a micro-batch goes through the batch operator and the carried values
-live in a table, so a run with most of the rows is still spread over tasks. Each micro-batch
-writes under its own number and reads only earlier numbers, so a repeated batch changes nothing.
+Counts, windows and sessions are native streaming aggregations in append mode: a window leaves the state, and is
+written once, when the watermark has passed it. Operators that carry a value over a run keep one small
+fold per key in the keyed state store, a hot run being many keys, and the folds are put together where they are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from cohortscale.operators import logs
-from cohortscale.plans.ordered import range_bucket, running
-from cohortscale.session import scratch_path
+from cohortscale.plans.ordered import join_same, range_bucket, running
+from cohortscale.session import cut_lineage, scratch_path
 
 
 def read_parquet_log(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
@@ -61,31 +63,42 @@ def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def carry_over(
-    stream: DataFrame,
-    step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]],
-    name: str,
-) -> DataFrame:
-    """Run ``step(batch, carried) -> (output, carried)`` per micro-batch; return all output.
+def follow(
+    parts: Iterable[DataFrame], schema: str, build: Callable[[DataFrame], DataFrame], name: str,
+    sink: Callable[[DataFrame, int], None] | None = None, progress: list | None = None, lines: bool = False,
+) -> DataFrame | None:
+    """Append the parts to a log one after another and let a stream follow it; what it appended so far is returned.
 
-    ``carried`` is the table the previous batch left, ``None`` for the first.
+    The stream stops when it has caught up and goes on from its checkpoint with the next part, so its state outlives
+    every stop. ``build`` makes the stream from the log; ``sink`` writes a batch by its number instead
+    of appending it. ``lines``: the log is text, one row a line, not JSON. ``progress`` is added what the stream reports of its batches.
     """
-    spark = stream.sparkSession
-    root = scratch_path(spark, name)
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    root = None
+    for part in parts:
+        spark = part.sparkSession
+        if root is None:
+            root = scratch_path(spark, name)
+            keyed_state(spark)
+        kind = "text" if lines else "json"
+        part.write.mode("append").options(**exact).format(kind).save(f"{root}/log")
+        made = build(spark.readStream.schema(schema).options(**exact).format(kind).load(f"{root}/log"))
+        writer = made.writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+        if sink:
+            writer = writer.foreachBatch(sink)
+        else:
+            writer = writer.format("parquet").option("path", f"{root}/out")
+        query = writer.start()
+        query.awaitTermination()
+        if progress is not None:
+            progress += query.recentProgress
+    return None if sink else spark.read.schema(made.schema).parquet(f"{root}/out")
 
-    def process(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        carried = session.read.parquet(f"{root}/carry/{batch_id - 1}") if batch_id else None
-        output, after = step(batch, carried)
-        output.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-        after.write.mode("overwrite").parquet(f"{root}/carry/{batch_id}")
 
-    query = (
-        stream.writeStream.foreachBatch(process).option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{root}/out").drop("batch")
+def keyed_state(spark: SparkSession) -> None:
+    """State that is looked up by key and kept beside the executors; only its changes are written in a batch."""
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
 
 
 def access_counts(log: DataFrame) -> DataFrame:
@@ -100,108 +113,209 @@ def gate_calls(log: DataFrame) -> DataFrame:
     return log.groupBy("bucket", "fold_id").agg(F.count("*").alias("calls"))
 
 
-def prior_accesses_step(batch: DataFrame, carried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Audit of one micro-batch. Carried: runs seen per bucket and fold, and entries without one."""
-    keys = ["bucket", "fold_id"]
-    runs = batch.filter("run_id IS NOT NULL").select(*keys, "run_id").distinct()
-    singles = (
-        batch.filter("run_id IS NULL").groupBy(*keys).agg(F.count("*").alias("singles"))
-        .withColumn("run_id", F.lit(None).cast(dict(batch.dtypes)["run_id"]))
-    )
-    new = runs.withColumn("singles", F.lit(0).cast("bigint")).unionByName(singles.select(*keys, "run_id", "singles"))
-    here = logs.prior_accesses(batch)
-    if carried is None:
-        return here, new
-    known = carried.filter("run_id IS NOT NULL").select(*keys, "run_id", F.lit(True).alias("_known"))
-    before = carried.groupBy(*keys).agg(
-        (F.count("run_id") + F.sum("singles")).alias("_before")
-    )
-    # A run known from earlier batches is in the carried count, so it must not count again here.
-    fresh = logs.prior_accesses(
-        batch.join(known, [*keys, "run_id"], "left").withColumn("_again", F.col("_known").isNotNull()).drop("_known")
-    )
-    again = (
-        fresh.filter("_again").groupBy(*keys, "run_id").agg(F.min(F.struct("ts", "entry")).alias("_f"))
-        .select(*keys, F.col("_f.ts").alias("ts"), F.col("_f.entry").alias("entry"), F.lit(1).alias("_less"))
-    )
-    tagged = range_bucket(fresh.join(again, [*keys, "ts", "entry"], "left"), [*keys, "ts", "entry"])
-    lowered = running(tagged, keys, "_part", ["ts", "entry"], {"_minus": ("sum", "_less", False)})
-    out = lowered.join(before, keys, "left").withColumn(
-        "prior", F.col("prior") - F.col("_minus") + F.coalesce("_before", F.lit(0))
+def _held(names: Sequence[str], key: tuple, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The rows of a key in this batch, its columns among them whether or not they come with the rows."""
+    held = pd.concat(list(rows), ignore_index=True)
+    for name, value in zip(names, key):
+        if name not in held.columns:
+            held[name] = pd.Series([value] * len(held), index=held.index, dtype=object if value is None else None)
+    return held
+
+
+class _FirstMet(StatefulProcessor):
+    """Marks the first row of a key by (ts, entry), unless the key was met in an earlier batch."""
+
+    def __init__(self, keys: Sequence[str], mark: str, only: int | None = None):
+        self.keys, self.mark, self.only = list(keys), mark, only
+
+    def init(self, handle) -> None:
+        self.met = handle.getValueState("met", "yes boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = _held(self.keys, key, rows)
+        marks = np.zeros(len(held), bool)
+        if (self.only is None or key[-1] == self.only) and not self.met.exists():
+            marks[held.sort_values(["ts", "entry"], kind="stable").index[0]] = True
+            self.met.update((True,))
+        held[self.mark] = marks
+        yield held
+
+    def close(self) -> None:
+        pass
+
+
+#: Keys that the rows of one run are dealt to.
+SALTS = 16
+
+
+def counted_accesses(log: DataFrame) -> DataFrame:
+    """``log`` (bucket, fold_id, ts, entry, run_id, ...) with ``counts``: whether an entry is a new access.
+
+    That is the first entry of a run, and every entry without one. What is kept is one mark per run, looked up by
+    key. A run's rows are dealt to ``SALTS`` keys first; of each only the first goes on to the run's own
+    key, so a run with most of the entries is no task's.
+    """
+    keys = ["bucket", "fold_id", "run_id"]
+    fields = log.schema.fields
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    salted = log.filter("run_id IS NOT NULL").withColumn("_salt", F.pmod(F.xxhash64("entry"), F.lit(SALTS)).cast("int"))
+    once = salted.groupBy(*keys, "_salt").transformWithStateInPandas(
+        _FirstMet([*keys, "_salt"], "_first"), outputStructType=f"{ddl}, _salt int, _first boolean", outputMode="Append", timeMode="None"
     )
-    merged = carried.unionByName(new)
-    runs_after = merged.filter("run_id IS NOT NULL").select(*keys, "run_id").distinct().withColumn(
-        "singles", F.lit(0).cast("bigint")
+    dealt = once.withColumn("_deal", F.when(F.col("_first"), F.lit(-1)).otherwise(F.col("_salt"))).drop("_salt", "_first")
+    marked = dealt.groupBy(*keys, "_deal").transformWithStateInPandas(
+        _FirstMet([*keys, "_deal"], "counts", only=-1), outputStructType=f"{ddl}, _deal int, counts boolean", outputMode="Append", timeMode="None"
     )
-    singles_after = merged.filter("run_id IS NULL").groupBy(*keys, "run_id").agg(F.sum("singles").alias("singles"))
-    return out.select(*here.columns), runs_after.unionByName(singles_after)
+    alone = log.filter("run_id IS NULL").withColumn("counts", F.lit(True))
+    return marked.drop("_deal").unionByName(alone)
 
 
-def patience_step(run: Sequence[str], metric: str = "val_dice"):
-    """Best metric and patience of one micro-batch on top of what earlier batches reached.
+def prior_sink(root: str) -> Callable[[DataFrame, int], None]:
+    """Writes every batch of ``counted_accesses`` with the accesses before each entry, under its number.
 
-    Carried per run: best metric, its epoch, validated epochs since, and the last epoch seen. The
-    carried state enters the batch as one row before it. Rows at or before the last epoch seen
-    came late: they are marked and left out of the running values.
+    Beside it goes a row per bucket and fold with the accesses of the batch. A batch reads itself and those rows of
+    earlier batches, nothing else of the past. Within a batch entries go by (ts, entry), batches as they came.
     """
-    run = list(run)
+    keys = ["bucket", "fold_id"]
 
-    def step(batch: DataFrame, carried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        rows = batch.select(*run, "epoch", metric)
-        if carried is None:
-            none = F.lit(None)
-            joined = rows.select(
-                "*", none.cast("double").alias("_best"), none.cast("bigint").alias("_best_at"),
-                F.lit(0).cast("bigint").alias("_since"), none.cast("bigint").alias("_last"),
-            )
-        else:
-            joined = rows.join(carried, run, "left").withColumn("_since", F.coalesce("_since", F.lit(0)))
-        late = F.coalesce(F.col("epoch") <= F.col("_last"), F.lit(False))
-        marked = joined.withColumn("late", late)
-        # Only a value above the carried best can improve, but every validated epoch counts.
-        out = logs.best_and_patience(marked.filter("NOT late"), run, metric)
-        better = F.col("_best").isNull() | (F.col("best_metric") > F.col("_best"))
-        after = _carried_patience(out, run, metric)
-        done = after.select(
-            *run, "epoch", metric, "late",
-            F.when(better, F.col("best_metric")).otherwise(F.col("_best")).alias("best_metric"),
-            F.when(better & F.col("_rise").isNotNull(), F.col("_rise")).otherwise(F.coalesce("_best_at", F.lit(-1))).alias("best_epoch"),
-            F.when(better & F.col("_rise").isNotNull(), F.col("_n") - F.col("_n_rise")).otherwise(F.col("_since") + F.col("_n")).alias("since_improvement"),
-            "improved_now",
-        )
-        late_rows = marked.filter("late").select(
-            *run, "epoch", metric, "late", F.lit(None).cast("double").alias("best_metric"),
-            F.lit(None).cast("bigint").alias("best_epoch"), F.lit(None).cast("bigint").alias("since_improvement"),
-            F.lit(False).alias("improved_now"),
-        )
-        newest = done.groupBy(*run).agg(
-            F.max(F.struct("epoch", "best_metric", "best_epoch", "since_improvement")).alias("s")
-        ).select(
-            *run, F.col("s.best_metric").alias("_best"), F.col("s.best_epoch").alias("_best_at"),
-            F.col("s.since_improvement").alias("_since"), F.col("s.epoch").cast("bigint").alias("_last"),
-        )
-        if carried is not None:
-            newest = newest.unionByName(carried.join(newest.select(*run), run, "left_anti"))
-        return done.unionByName(late_rows), newest
-
-    return step
-
-
-def _carried_patience(out: DataFrame, run: list[str], metric: str) -> DataFrame:
-    """Running counts that take the carried best into account: validated, and at the last rise."""
-    m = F.nanvl(F.col(metric), F.lit(None).cast("double"))
-    rise = F.col("improved") & (F.col("_best").isNull() | (m > F.col("_best")))
-    rows = out.withColumn("improved_now", rise).withColumn(
-        "_b", F.floor(F.col("epoch") / logs.EPOCHS_PER_BUCKET)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = cut_lineage(batch)
+        kinds = dict(batch.dtypes)
+        totals = spark.read.schema(f"bucket {kinds['bucket']}, fold_id {kinds['fold_id']}, n long, batch long")
+        known = [f"{root}/totals/batch={k}" for k in range(batch_id)]
+        tagged = range_bucket(batch.withColumn("_n", F.col("counts").cast("long")), [*keys, "ts", "entry"])
+        out = running(tagged, keys, "_part", ["ts", "entry"], {"prior": ("sum", "_n", False)}).drop("_part", "_n")
+        if known:
+            before = totals.parquet(*known).groupBy(*keys).agg(F.sum("n").alias("_before"))
+            out = join_same(out, before, keys, "left").withColumn("prior", F.col("prior") + F.coalesce("_before", F.lit(0))).drop("_before")
+        out.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        here = batch.groupBy(*keys).agg(F.sum(F.col("counts").cast("long")).alias("n"))
+        here.write.mode("overwrite").parquet(f"{root}/totals/batch={batch_id}")
+
+    return write
+
+
+def follow_prior_accesses(parts: Iterable[DataFrame], schema: str) -> DataFrame:
+    """Entries of a log that is followed part by part, with ``prior``: the accesses before each."""
+    parts = list(parts)
+    spark = parts[0].sparkSession
+    root = scratch_path(spark, "prior-accesses")
+    follow(parts, schema, counted_accesses, "access-log", prior_sink(root))
+    return spark.read.parquet(f"{root}/out").drop("batch", "counts")
+
+
+class _Patience(StatefulProcessor):
+    """Running best, validated epochs and epochs since the best within one range of a run's epochs."""
+
+    def __init__(self, keys: Sequence[str], metric: str):
+        self.keys, self.metric = list(keys), metric
+
+    def init(self, handle) -> None:
+        self.fold = handle.getValueState("fold", "best double, best_epoch long, validated long, since long, last long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = _held(self.keys, key, rows).sort_values("epoch", kind="stable", ignore_index=True)
+        best, best_epoch, validated, since, last = self.fold.get() if self.fold.exists() else (None, -1, 0, 0, -1)
+        late = (held["epoch"] <= last).to_numpy()
+        epochs, values = held["epoch"].to_numpy()[~late], held[self.metric].to_numpy(float)[~late]
+        defined = ~np.isnan(values)
+        run = np.maximum.accumulate(np.concatenate([[-np.inf if best is None else best], np.where(defined, values, -np.inf)]))
+        improved = defined & (run[1:] > run[:-1])
+        count = validated + np.cumsum(defined)
+        at = np.maximum.accumulate(np.where(improved, np.arange(len(values)), -1))
+        found_epoch = np.where(at >= 0, epochs[at] if len(epochs) else 0, best_epoch)
+        found_since = np.where(at >= 0, count - (count[at] if len(count) else 0), since + np.cumsum(defined))
+        for name, kind in (("local_best", float), ("local_epoch", float), ("validated", float), ("local_since", float)):
+            held[name] = np.full(len(held), np.nan, kind)
+        held["improved"] = np.zeros(len(held), bool)
+        held["late"] = late
+        if len(epochs):
+            held.loc[~late, "local_best"] = np.where(np.isinf(run[1:]), np.nan, run[1:])
+            held.loc[~late, "local_epoch"], held.loc[~late, "validated"] = found_epoch, count
+            held.loc[~late, "local_since"], held.loc[~late, "improved"] = found_since, improved
+            top = None if np.isinf(run[-1]) else float(run[-1])
+            self.fold.update((top, int(found_epoch[-1]), int(count[-1]), int(found_since[-1]), int(epochs[-1])))
+        yield held
+
+    def close(self) -> None:
+        pass
+
+
+def range_patience(log: DataFrame, run: Sequence[str], metric: str = "val_dice") -> DataFrame:
+    """Every epoch with the best metric, its epoch and the patience within its range of epochs of the run.
+
+    State is one fold per run and range, so a run of any length is many keys. An epoch at or before one that an earlier
+    batch brought in its range came late: it is marked and left out. ``run_patience`` puts the ranges together.
+    """
+    keys = [*run, "_range"]
+    rows = log.select(*run, "epoch", F.col(metric).cast("double").alias(metric)).withColumn("_range", F.floor(F.col("epoch") / logs.EPOCHS_PER_BUCKET))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    out = f"{ddl}, local_best double, local_epoch double, validated double, local_since double, improved boolean, late boolean"
+    return rows.groupBy(*keys).transformWithStateInPandas(_Patience(keys, metric), outputStructType=out, outputMode="Append", timeMode="None")
+
+
+def run_patience(ranges: DataFrame, run: Sequence[str], metric: str = "val_dice") -> DataFrame:
+    """``range_patience`` as it stands, over whole runs: what ``logs.best_and_patience`` finds, and ``late``.
+
+    Ranges before an epoch's own come in as one fold each: the best of them, the first to reach it, and the validated epochs.
+    """
+    run = list(run)
+    last = ranges.filter("NOT late").groupBy(*run, "_range").agg(
+        F.max_by(F.struct("local_best", "local_epoch", "validated", "local_since"), "epoch").alias("f")
     )
-    first = running(rows, run, "_b", ["epoch"], {"_n": ("sum", m.isNotNull().cast("bigint"), True)})
-    return running(
-        first, run, "_b", ["epoch"],
-        {
-            "_rise": ("max", F.when(F.col("improved_now"), F.col("epoch").cast("bigint")), True),
-            "_n_rise": ("max", F.when(F.col("improved_now"), F.col("_n")), True),
-        },
+    of_run = Window.partitionBy(*run).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    folds = last.withColumn("_n", F.coalesce(F.sum("f.validated").over(of_run), F.lit(0.0)))
+    reached = F.struct(
+        F.col("f.local_best").alias("best"), (-F.col("_range")).alias("first"), F.col("f.local_epoch").alias("epoch"),
+        (F.col("_n") + F.col("f.validated") - F.col("f.local_since")).alias("at"),
     )
+    carried = folds.select(*run, "_range", "_n", F.max(F.when(F.col("f.local_best").isNotNull(), reached)).over(of_run).alias("_c"))
+    rows = join_same(ranges, carried, [*run, "_range"], "left")
+    own = F.col("local_best").isNotNull() & (F.col("_c").isNull() | (F.col("local_best") > F.col("_c.best")))
+    here = ~F.col("late")
+    return rows.select(
+        *run, "epoch", metric, "late",
+        (F.col("improved") & (F.col("_c").isNull() | (F.col(metric) > F.col("_c.best")))).alias("improved"),
+        F.when(here, F.greatest("local_best", "_c.best")).alias("best_metric"),
+        F.when(here, F.when(own, F.col("local_epoch")).otherwise(F.coalesce("_c.epoch", F.lit(-1.0)))).cast("bigint").alias("best_epoch"),
+        F.when(
+            here,
+            F.when(own, F.col("local_since")).when(F.col("_c").isNull(), F.lit(0.0)).otherwise(F.col("_n") + F.col("validated") - F.col("_c.at")),
+        ).cast("bigint").alias("since_improvement"),
+    )
+
+
+def follow_patience(parts: Iterable[DataFrame], schema: str, run: Sequence[str], metric: str = "val_dice") -> DataFrame:
+    """Best metric and patience of a log that is followed part by part."""
+    return run_patience(follow(parts, schema, lambda log: range_patience(log, run, metric), "epoch-log"), run, metric)
+
+
+def late_sink(root: str, seconds: int) -> Callable[[DataFrame, int], None]:
+    """Writes of every batch the rows that are late: older than the newest time of earlier batches by more than ``seconds``.
+
+    A window with a watermark of so many seconds drops such rows; this counts what it drops, by run. A batch reads itself
+    and one number of each earlier batch.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = [f"{root}/newest/batch={k}" for k in range(batch_id)]
+        newest = spark.read.schema("newest long").parquet(*known).agg(F.max("newest")).first()[0] if known else None
+        late = batch.filter(F.unix_micros("ts") < (newest or 0) - seconds * 1_000_000) if newest is not None else batch.filter("false")
+        late.groupBy("run").agg(F.count("*").alias("late")).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        batch.agg(F.max(F.unix_micros("ts")).alias("newest")).write.mode("overwrite").parquet(f"{root}/newest/batch={batch_id}")
+
+    return write
+
+
+def follow_late_rows(parts: Iterable[DataFrame], schema: str, seconds: int) -> DataFrame:
+    """(run, late) of a log that is followed part by part."""
+    parts = list(parts)
+    spark = parts[0].sparkSession
+    root = scratch_path(spark, "late-rows")
+    follow(parts, schema, lambda log: log, "late-log", late_sink(root, seconds))
+    return spark.read.parquet(f"{root}/out").groupBy("run").agg(F.sum("late").alias("late"))
 
 
 def gap_sessions(log: DataFrame, gap: str, watermark: str, run: str = "run") -> DataFrame:
@@ -234,22 +348,3 @@ def telemetry_windows(samples: DataFrame, width: str, watermark: str, slide: str
     )
 
 
-def late_rows_step(seconds: int):
-    """Late rows per run: older than the newest time of earlier batches by more than ``seconds``.
-
-    A window with a watermark drops such rows; this counts what it drops.
-    """
-
-    def step(batch: DataFrame, carried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        newest = batch.agg(F.max("ts").alias("newest"))
-        if carried is None:
-            late = batch.filter("false")
-        else:
-            newest = newest.unionByName(carried).agg(F.max("newest").alias("newest"))
-            # The carried table is one row.
-            late = batch.join(F.broadcast(carried)).filter(
-                F.unix_micros("ts") < F.unix_micros("newest") - seconds * 1_000_000
-            )
-        return late.groupBy("run").agg(F.count("*").alias("late")), newest
-
-    return step

@@ -40,6 +40,16 @@ def replay(folder, rows, parts):
     return str(folder)
 
 
+def in_parts(spark, rows, schema, parts):
+    """The rows as that many frames, in order."""
+    from cohortscale.schemas import struct
+
+    size = -(-len(rows) // parts)
+    text = ", ".join(f"{f.name} {'string' if f.dataType.typeName() == 'timestamp' else f.dataType.simpleString()}" for f in struct(schema))
+    frames = (spark.createDataFrame([tuple(r[f.name] for f in struct(schema)) for r in rows[k * size : (k + 1) * size]], text) for k in range(parts))
+    return [df.select([F.col(f.name).cast(f.dataType) for f in struct(schema)]) for df in frames]
+
+
 def test_audit_log_in_batch_and_in_several_micro_batches(spark, tmp_path):
     rows, totals = access_rows()
     folder = replay(tmp_path / "log", rows, 4)
@@ -48,8 +58,7 @@ def test_audit_log_in_batch_and_in_several_micro_batches(spark, tmp_path):
     spoiled = batch.withColumn("prior_accesses", F.when(F.col("entry") == 33, F.lit(0)).otherwise(F.col("prior_accesses")))
     assert [r.entry for r in logs.audit_findings(spoiled).collect()] == [33]
     assert {(r.bucket, r.fold_id): r.accesses for r in logs.access_counts(batch).collect()} == totals
-    live = stream.read_json_log(spark, folder, ACCESS)
-    out = stream.carry_over(live, stream.prior_accesses_step, "audit-test")
+    out = stream.follow_prior_accesses(in_parts(spark, rows, ACCESS, 5), ACCESS)
     assert out.count() == len(rows) and out.filter("prior <> prior_accesses").isEmpty()
     counted = stream.run_to_table(stream.access_counts(stream.read_json_log(spark, folder, ACCESS)), "complete", "count-test")
     assert {(r.bucket, r.fold_id): r.accesses for r in counted.collect()} == totals
@@ -88,30 +97,52 @@ def test_patience_stream_equals_batch_and_the_plain_loop(spark, tmp_path, parts)
         return {(r.run, r.epoch): (r.best_metric, r.best_epoch, r.since_improvement) for r in df.collect()}
 
     assert as_dict(logs.best_and_patience(logfiles.read_json_lines(spark, folder, EPOCH), ["run"])) == want
-    out = stream.carry_over(stream.read_json_log(spark, folder, EPOCH), stream.patience_step(["run"]), "patience-test")
-    assert out.filter("late").isEmpty() and as_dict(out) == want
+    frames = in_parts(spark, rows + [{"run": None, "epoch": 2, "val_dice": 0.5}], EPOCH, parts)
+    out = stream.follow_patience(frames, EPOCH, ["run"])
+    assert out.filter("late").isEmpty() and as_dict(out) == want | {(None, 2): (0.5, 2, 0)}
 
 
-def test_late_epochs_are_marked_and_left_out(spark, tmp_path):
+def test_patience_over_ranges_of_epochs(spark, monkeypatch):
+    """A run in many ranges, each a key of its own: values tie, fall and rise across them, and some have none."""
+    monkeypatch.setattr(logs, "EPOCHS_PER_BUCKET", 4)
+    values = [None, None, None, None, 0.2, 0.1, None, 0.2, 0.2, 0.1, 0.1, 0.1, None, None, 0.3, 0.25, 0.3, 0.31, None, 0.1, 0.0, None, 0.31, 0.32]
+    rows = [{"run": "a", "epoch": e, "val_dice": v} for e, v in enumerate(values)]
+    out = stream.follow_patience(in_parts(spark, rows, EPOCH, 5), EPOCH, ["run"]).collect()
+    assert {(r.run, r.epoch): (r.best_metric, r.best_epoch, r.since_improvement) for r in out} == patience_in_python(rows)
+    rises = [e for e, v in enumerate(values) if v is not None and v > max((x for x in values[:e] if x is not None), default=-1)]
+    assert sorted(r.epoch for r in out if r.improved) == rises
+
+
+def test_late_epochs_are_marked_and_left_out(spark):
     rows = [{"run": "a", "epoch": e, "val_dice": 0.1 * e} for e in (0, 1, 2, 5)] + [
         {"run": "a", "epoch": e, "val_dice": v} for e, v in ((3, 9.0), (6, 0.2))
     ]
-    folder = replay(tmp_path / "late", rows, 2)  # files of three rows: 5, 3 and 6 come second
-    out = stream.carry_over(stream.read_json_log(spark, folder, EPOCH), stream.patience_step(["run"]), "late-test")
-    late = {r.epoch for r in out.filter("late").collect()}
-    assert late == set()
-    folder = replay(tmp_path / "later", rows, 3)
-    out = stream.carry_over(stream.read_json_log(spark, folder, EPOCH), stream.patience_step(["run"]), "late-test")
-    assert {r.epoch for r in out.filter("late").collect()} == {3}
+    out = stream.follow_patience(in_parts(spark, rows, EPOCH, 2), EPOCH, ["run"])  # 5, 3 and 6 come second
+    assert out.filter("late").isEmpty()
+    out = stream.follow_patience(in_parts(spark, rows, EPOCH, 3), EPOCH, ["run"])
+    assert [r.epoch for r in out.filter("late").collect()] == [3]
     last = out.filter("epoch = 6").first()
     assert (last.best_epoch, last.since_improvement) == (5, 1)
 
 
-def test_late_telemetry_is_counted(spark, tmp_path):
+def test_windows_leave_the_state_when_the_watermark_passes(spark):
+    rows = [{"run": 1 + h % 3, "ts": f"2026-01-{1 + d:02d} {h:02d}:00:00", "temperature": float(d + h), "memory_share": 0.5, "error": None} for d in range(6) for h in range(24)]
+    schema = "run BIGINT, ts TIMESTAMP, temperature DOUBLE, memory_share DOUBLE, error STRING"
+    progress = []
+    out = stream.follow(
+        in_parts(spark, rows, schema, 6), schema, lambda live: stream.telemetry_windows(live, "6 hours", "6 hours"), "windows-test", progress=progress
+    )
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+    assert max(kept) <= 3 * 8 and len(kept) >= 6 and 3 * 4 * 4 < out.count() < 3 * 4 * 6
+    assert out.select("run", "from_ts").distinct().count() == out.count()
+    assert out.filter("samples <> 2").isEmpty()
+    sessions = stream.follow(in_parts(spark, rows, schema, 6), schema, lambda live: stream.gap_sessions(live, "2 hours", "6 hours"), "sessions-test")
+    assert sessions.filter("events <> 1").isEmpty() and sessions.count() > 100
+
+
+def test_late_telemetry_is_counted(spark):
     rows = [{"run": "a", "ts": f"2026-01-01 {h:02d}:00:00"} for h in (5, 6, 9, 1, 8, 2)]
-    folder = replay(tmp_path / "telemetry", rows, 2)
-    live = stream.read_json_log(spark, folder, "run STRING, ts TIMESTAMP")
-    out = stream.carry_over(live, stream.late_rows_step(2 * 3600), "late-rows")
+    out = stream.follow_late_rows(in_parts(spark, rows, "run STRING, ts TIMESTAMP", 2), "run STRING, ts TIMESTAMP", 2 * 3600)
     assert [(r.run, r.late) for r in out.collect()] == [("a", 2)]
 
 
