@@ -9,7 +9,7 @@ from cohortscale.catalog.estimates import CUBE_BOOT, _ARM_EST, rounded
 from cohortscale.catalog.logs import as_telemetry, event_stream, parts_by
 from cohortscale.catalog.sql import ARMS, LATTICE, MANIFEST, PER_VOLUME, SPLIT, with_ctes
 from cohortscale.operators import bootstrap
-from cohortscale.schemas import RECORD, TELEMETRY
+from cohortscale.schemas import RECORD, TELEMETRY, VOLUME, struct
 from cohortscale.plans.views import VENDORS
 from cohortscale.session import cut_lineage, scratch_path
 from cohortscale.sources import logfiles, manifest, maskstore, records, volumes
@@ -29,6 +29,33 @@ def a1(v):
     return manifest.load_manifest_lines(v.spark, path)
 
 
+def manifest_lists(v):
+    """The manifest as JSON arrays of some 500 volumes, a file each."""
+    path = scratch_path(v.spark, "manifest-lists")
+    rows = text_manifest(v).select([f.name for f in struct(VOLUME)])
+    n = max(1, rows.count() // 500)
+    text = rows.groupBy(F.pmod(F.xxhash64("sample_id"), F.lit(n))).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    text.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("A1_manifest_lists", with_ctes(MANIFEST) + _MANIFEST_OUT)
+def a1_lists(v):
+    return manifest.load_manifest(v.spark, manifest_lists(v))
+
+
+@query(
+    "A1_refused_lists",
+    """SELECT '{"vendor":"' || c_mktsegment || '","volumes":' || count(*) || '}' AS head FROM customer GROUP BY c_mktsegment""",
+)
+def a1_refused(v):
+    """Files that hold an object stand among the lists."""
+    path = manifest_lists(v)
+    others = v.manifest.groupBy("vendor").agg(F.count("*").alias("volumes"))
+    others.select(F.to_json(F.struct("vendor", "volumes")).alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    return manifest.refused_lists(v.spark, path).select("head")
+
+
 @query("A2_save_manifest", with_ctes(MANIFEST) + _MANIFEST_OUT)
 def a2(v):
     path = scratch_path(v.spark, "manifest")
@@ -82,6 +109,28 @@ def a5(v):
     return back.withColumn("dice", F.round("dice", 9))
 
 
+@query(
+    "A4_tagged_per_volume",
+    with_ctes(ARMS)
+    + """SELECT 'current' AS record_set, run, arm, sample_id::VARCHAR AS sample_id, patient_id::VARCHAR AS patient_id, vendor, cls, round(dice, 9) AS dice,
+      reference_present, reference_voxels, predicted_voxels FROM arms""",
+)
+def a4_tagged(v):
+    """A record per fold and arm with its volumes in it, each a file; set, fold and arm are read off the path."""
+    root = scratch_path(v.spark, "tagged-records")
+    volume = F.struct(
+        F.col("sample_id").cast("string").alias("sample_id"), F.col("patient_id").cast("string").alias("patient_id"), "vendor",
+        F.col("cls").alias("fluid_class"), "dice", "reference_present", "reference_voxels", "predicted_voxels",
+    )
+    docs = v.arms.groupBy("run", "arm").agg(F.collect_list(volume).alias("per_volume"))
+    text = docs.select("run", "arm", F.to_json(F.struct(F.col("run").alias("fold_id"), F.col("arm").alias("bucket"), "per_volume")).alias("value"))
+    text.write.partitionBy("run", "arm").text(f"{root}/current")
+    tags = r"/([^/]+)/run=([^/]+)/arm=([^/]+)/[^/]*$"
+    got = records.read_records(v.spark, f"{root}/current/*/*", tags)
+    rows = records.per_volume_of(got, ["record_set", "run", "arm"])
+    return rows.withColumn("dice", F.round("dice", 9)).drop("hd95", "score")
+
+
 _LOG_SQL = "SELECT event_id, user_id, event_type, value, props FROM events"
 LOG = "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 

@@ -59,6 +59,26 @@ def d1_ranked(v):
     return w.select("sample_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
+@query(
+    "D1_intensity_window_sketched",
+    "SELECT l_returnflag AS sample_id, count(*) AS pixels, true AS low_within, true AS high_within FROM lineitem GROUP BY 1",
+)
+def d1_sketched(v):
+    """Sketched windows, held against the ranks their ends have: within a thousandth of the pixels."""
+    pixels = v.table("lineitem").select(F.col("l_returnflag").alias("sample_id"), F.col("l_extendedprice").alias("value"))
+    w = regrid.sketched_intensity_window(pixels, ["sample_id"])
+    at = pixels.join(w, "sample_id").groupBy("sample_id", "pixels").agg(
+        *[F.count_if(F.col("value") < F.col(c)).alias(f"{c}_from") for c in ("low", "high")],
+        *[F.count_if(F.col("value") <= F.col(c)).alias(f"{c}_to") for c in ("low", "high")],
+    )
+    room = F.lit(0.001) * F.col("pixels") + 1
+
+    def within(c, q):
+        return ((F.col(f"{c}_from") - room <= F.lit(q) * F.col("pixels")) & (F.lit(q) * F.col("pixels") <= F.col(f"{c}_to") + room)).alias(f"{c}_within")
+
+    return at.select("sample_id", "pixels", within("low", 0.01), within("high", 0.99))
+
+
 @query(
     "D2_apply_window",
     with_ctes(LATTICE)
@@ -398,6 +418,22 @@ def d21_score(v):
     return passes.class_scores(pass_means(v), ["sample"]).withColumn("score", F.round("score", 9))
 
 
+@query(
+    "D21_class_score_in_box",
+    with_ctes(_PASSES)
+    + """SELECT sample, cls, round(max(mean), 9) AS score FROM agg WHERE (voxel // 16) % 16 >= sample % 5 AND (voxel // 16) % 16 < 12
+      AND voxel % 16 >= 2 AND voxel % 16 < 16 - sample % 3 GROUP BY ALL""",
+)
+def d21_box(v):
+    """Voxels stand on a frame of 16 by 16; every sample has a content box of its own."""
+    placed = pass_means(v).withColumns({"y": F.floor(F.col("voxel") / 16) % 16, "x": F.col("voxel") % 16})
+    k = F.col("sample")
+    boxes = v.table("embeddings").select(F.col("label").alias("sample")).distinct().select(
+        "sample", (k % 5).alias("y_from"), F.lit(12).alias("y_to"), F.lit(2).alias("x_from"), (16 - k % 3).alias("x_to")
+    )
+    return passes.class_scores_in_box(placed, boxes, ["sample"]).withColumn("score", F.round("score", 9))
+
+
 @query(
     "D22_scan_confidence",
     with_ctes(_PASSES) + "SELECT sample, round(1 - 2 * avg(std), 9) AS confidence FROM agg GROUP BY ALL",

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortscale.catalog.base import CLASSES, query
+from cohortscale.catalog.base import BOOT, CLASSES, query
 from cohortscale.catalog.selection import EPOCHS
 from cohortscale.catalog.sql import ARMS, LATTICE, PER_VOLUME, SPLIT, with_ctes
-from cohortscale.operators import masks, reconcile
-from cohortscale.sources import maskstore
+from cohortscale.operators import bootstrap, masks, reconcile
+from cohortscale.schemas import RECORD
+from cohortscale.session import scratch_path
+from cohortscale.sources import maskstore, records
 
 KEYS = ["sample_id", "cls"]
 VALUES = ["dice", "predicted_voxels", "reference_voxels", "score"]
@@ -317,6 +319,27 @@ def g11(v):
     )
 
 
+@query(
+    "G12_intervals_recomputed",
+    with_ctes(ARMS)
+    + """SELECT DISTINCT run, arm, 'all_vendors' AS vendor, cls, 'dice' AS metric, CASE WHEN cls = 'R' THEN 'ci_low' ELSE 'n' END AS leaf
+      FROM arms WHERE (run = 'BUILDING' AND cls = 'R') OR (run = 'MACHINERY' AND cls = 'A' AND arm = 'test')""",
+)
+def g12_intervals(v):
+    """Stored records with their volumes; an interval and a count among their estimates were altered."""
+    path = scratch_path(v.spark, "stored-records")
+    rows = v.arms.withColumns({"patient_id": F.col("patient_id").cast("string"), "vendor": F.lit("all_vendors"), "metric": F.lit("dice")})
+    est = bootstrap.estimate(rows, ["run", "arm", "vendor", "cls", "metric"], BOOT, value="dice")
+    low = (F.col("run") == "BUILDING") & (F.col("cls") == "R")
+    more = (F.col("run") == "MACHINERY") & (F.col("cls") == "A") & (F.col("arm") == "test")
+    est = est.withColumn("ci_low", F.when(low, F.col("ci_low") - 0.001).otherwise(F.col("ci_low"))).withColumn("n", F.col("n") + more.cast("int"))
+    volume = F.struct(*[F.col(c).cast("string").alias(c) for c in ("sample_id", "patient_id")], "vendor", F.col("cls").alias("fluid_class"), "dice")
+    volumes = v.arms.groupBy("run", "arm").agg(F.collect_list(volume).alias("per_volume"))
+    records.write_records(records.nested_estimates(est, ["run", "arm"], BOOT).join(volumes, ["run", "arm"]), path)
+    back = records.read_record_lines(v.spark, path, f"run STRING, arm STRING, {RECORD}")
+    return reconcile.recomputed_differences(back, ["run", "arm"], BOOT).drop("recomputed", "stored")
+
+
 @query(
     "G12_aggregates_recomputable",
     with_ctes(PER_VOLUME)

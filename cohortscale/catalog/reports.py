@@ -304,6 +304,26 @@ def t2(v):
     return v.table("customer").groupBy("c_nationkey").agg(text.listing(names).alias("names"))
 
 
+@query(
+    "T5_page_cells",
+    with_ctes(PER_VOLUME)
+    + """SELECT vendor, cls, count(*) || ' scans, ' || min(predicted_voxels) || ' to ' || max(predicted_voxels) || ' voxels, '
+      || min(reference_voxels) || ' to ' || max(reference_voxels) AS cell FROM per_volume GROUP BY vendor, cls""",
+)
+def t5(v):
+    """Cells as a report writes them, with bold counts, and dashes with and without blanks, as a page shows them."""
+    n, low, high = (F.col(c).cast("string") for c in ("n", "low", "high"))
+    r_low, r_high = (F.col(c).cast("string") for c in ("r_low", "r_high"))
+    cell = F.concat(
+        F.lit("**"), n, F.lit("** vols, "), low, F.lit("\u2013"), high, F.lit(" voxels, **"), r_low, F.lit(" \u2013 "), r_high, F.lit("**")
+    )
+    counts = v.per_volume.groupBy("vendor", "cls").agg(
+        F.count("*").alias("n"), F.min("predicted_voxels").alias("low"), F.max("predicted_voxels").alias("high"),
+        F.min("reference_voxels").alias("r_low"), F.max("reference_voxels").alias("r_high"),
+    )
+    return counts.select("vendor", "cls", text.page_cell(cell).alias("cell"))
+
+
 @query(
     "T3_times",
     """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS utc, ts AS back,

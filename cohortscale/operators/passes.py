@@ -38,6 +38,16 @@ def class_scores(means: DataFrame, sample: Sequence[str]) -> DataFrame:
     return means.groupBy(*sample, "cls").agg(F.max("mean").alias("score"))
 
 
+def class_scores_in_box(means: DataFrame, boxes: DataFrame, sample: Sequence[str]) -> DataFrame:
+    """The detection score from the content of each frame alone: what padding holds was never acquired.
+
+    ``means`` has ``y`` and ``x``; ``boxes`` (sample, y_from, y_to, x_from, x_to) gives the rows and columns of the content,
+    the ends left out. A sample without a box, or with nothing in it, has no score.
+    """
+    inside = F.col("y").between(F.col("y_from"), F.col("y_to") - 1) & F.col("x").between(F.col("x_from"), F.col("x_to") - 1)
+    return class_scores(means.join(boxes, list(sample)).filter(inside), sample)
+
+
 def scan_confidence(means: DataFrame, sample: Sequence[str]) -> DataFrame:
     """``1 - 2 * mean(std)`` over the map: 1 for no disagreement, 0 for the most possible."""
     return means.groupBy(*sample).agg((1 - 2 * F.avg(F.col("std"))).alias("confidence"))

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscale.functions.text import collapse_spaces
+from cohortscale.operators.bootstrap import Boot, estimate, with_all_vendors
 from cohortscale.plans.ordered import join_same
 from cohortscale.session import cut_lineage
+from cohortscale.sources.records import flat_estimates, per_volume_of
 
 ABSENT = "<absent>"
 WORD = r"([\p{L}\p{N}]+)"
@@ -228,6 +230,24 @@ def cross_check(first: DataFrame, second: DataFrame, keys: Sequence[str], rules:
     return a.join(b, on, "full").join(F.broadcast(rules), "leaf", "left").filter(~same)
 
 
+def recomputed_differences(records: DataFrame, keys: Sequence[str], boot: Boot, relative: float = 1e-9) -> DataFrame:
+    """(keys, vendor, cls, metric, leaf, recomputed, stored): estimates of records that their own volumes do not give again.
+
+    ``records`` as ``sources.records`` reads them, with estimates and the volumes they were made of. Dice means and their
+    intervals are made from the volumes with the settings of ``boot``, per vendor where the record has it and over all,
+    and compared leaf by leaf; ``relative`` leaves room for sums in another order. A missing one is NULL.
+    """
+    cell = [*keys, "vendor", "cls", "metric"]
+    leaves_of = ("value", "ci_low", "ci_high", "n", "n_measurements")
+    stored = flat_estimates(records, keys).filter("metric = 'dice'")
+    rows = per_volume_of(records, keys).select(*keys, "vendor", "cls", "patient_id", "dice").withColumn("metric", F.lit("dice"))
+    wanted = stored.select(*cell).distinct()
+    made = estimate(with_all_vendors(rows).join(wanted, cell, "left_semi"), cell, boot, value="dice")
+    rules = tolerance_rules(records.sparkSession, {c: (relative, 0.0) for c in leaves_of[:3]})
+    found = cross_check(leaves(made, cell, leaves_of), leaves(stored, cell, leaves_of), cell, rules)
+    return found.select(*cell, "leaf", F.col("a").alias("recomputed"), F.col("b").alias("stored"))
+
+
 def table_differences(generated: DataFrame, published: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Published rows against generated rows by position: differing, missing and extra."""
     on = [*keys, "position"]

@@ -37,6 +37,19 @@ def ranked_intensity_window(pixels: DataFrame, keys: Sequence[str], value: str =
     return percentiles(pixels, keys, value, {"low": low, "high": high})
 
 
+def sketched_intensity_window(pixels: DataFrame, keys: Sequence[str], value: str = "value", k: int = 2000) -> DataFrame:
+    """The window of very large volumes in one pass, from mergeable KLL sketches of some kilobytes each.
+
+    Opt-in: ``low`` and ``high`` are pixels whose rank is off by at most about 1.7 / ``k`` of the volume's pixels with a
+    probability of 99 %, which is 0.09 % at 2000. Sketches are merged as they meet, so no volume meets in one task. NaN and NULL
+    pixels are left out; a volume of fewer than ``k`` pixels is exact, but for ranks between pixels.
+    """
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    sketch = pixels.withColumn("_v", v).filter("_v IS NOT NULL").groupBy(*keys).agg(F.kll_sketch_agg_double("_v", F.lit(k)).alias("_s"))
+    low, high = (F.kll_sketch_get_quantile_double("_s", F.lit(q)) for q in WINDOW_PERCENTILES)
+    return sketch.select(*keys, low.alias("low"), high.alias("high"), F.kll_sketch_get_n_double("_s").alias("pixels"))
+
+
 def windowed(value: Column, low: Column, high: Column) -> Column:
     """The window mapped onto [0, 1], clipped outside it."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortscale.plans.ordered import ranked
+from cohortscale.plans.ordered import range_bucket, ranked, running
+from cohortscale.session import cut_lineage
 
 ROLES = ("worst", "median", "best")
 
@@ -19,23 +20,25 @@ def sample_scores(rows: DataFrame) -> DataFrame:
 
 
 def worst_median_best(rows: DataFrame) -> DataFrame:
-    """Worst, lower median and best sample; ties by run, then id. Empty below three samples."""
-    scores = ranked(sample_scores(rows), [], ["score", "run", "sample_id"])
-    total = scores.agg(F.count("*").alias("n"))
-    r, n = F.col("rank"), F.col("n")
-    role = (
-        F.when(r == 1, F.lit("worst"))
-        .when(r == F.floor((n - 1) / 2) + 1, F.lit("median"))
-        .when(r == n, F.lit("best"))
-    )
-    # ``total`` is a single row.
-    return (
-        scores.join(F.broadcast(total))
-        .filter("n >= 3")
-        .withColumn("role", role)
-        .filter("role IS NOT NULL")
-        .select("role", "run", "sample_id", F.lit(None).cast("string").alias("cls"))
-    )
+    """Worst, lower median and best sample; ties by run, then id. Empty below three samples.
+
+    The ends are a minimum and a maximum. Of the median first the score is found, from counts per distinct score, then
+    its place among the samples that have this score; only those are ranked.
+    """
+    scores = cut_lineage(sample_scores(rows))
+    ends = scores.agg(F.min(F.struct("score", "run", "sample_id")).alias("low"), F.max(F.struct("score", "run", "sample_id")).alias("high"), F.count("*").alias("n"))
+    counts = range_bucket(scores.groupBy("score").agg(F.count("*").alias("_n")), ["score"])
+    below = running(counts, [], "_part", ["score"], {"_from": ("sum", "_n", False)})
+    # ``ends`` is a single row.
+    middle = F.floor((F.col("n") - 1) / 2)
+    at = below.join(F.broadcast(ends.select("n"))).filter((F.col("_from") <= middle) & (middle < F.col("_from") + F.col("_n")))
+    tied = scores.join(F.broadcast(at.select("score", (middle - F.col("_from") + 1).alias("_at"))), "score")
+    median = ranked(tied, [], ["run", "sample_id"]).filter(F.col("rank") == F.col("_at"))
+    kept = ends.filter("n >= 3")
+    none = F.lit(None).cast("string").alias("cls")
+    outer = [kept.select(F.lit(role).alias("role"), f"{end}.run", f"{end}.sample_id", none) for role, end in (("worst", "low"), ("best", "high"))]
+    inner = median.join(F.broadcast(kept.select("n"))).select(F.lit("median").alias("role"), "run", "sample_id", none)
+    return outer[0].unionByName(inner).unionByName(outer[1])
 
 
 def largest_false_positives(

@@ -207,14 +207,12 @@ def split_flow(split: DataFrame, vendors: Sequence[str]) -> DataFrame:
     )
 
 
-def split_documents(split: DataFrame, per_document: int = 100_000) -> DataFrame:
+def split_documents(split: DataFrame, parts: int = 1) -> DataFrame:
     """Per fold, the sorted patient list of every bucket: the form saved as JSON.
 
-    A fold of up to ``per_document`` patients is one document. A larger one is cut by patient
-    hash into as many as it needs, each with the same fields, so no row holds a whole cohort.
+    ``parts`` documents of the same fields hold a fold, each the patients of one part by hash: one, as the form was
+    first meant, or more for cohorts of many millions.
     """
-    largest = split.groupBy("fold_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    parts = max(1, -(-largest // per_document))
     lists = [
         F.sort_array(F.collect_list(F.when(F.col("bucket") == b, F.col("patient_id")))).alias(b)
         for b in BUCKETS

@@ -17,14 +17,18 @@ SPLIT_DOCUMENT = (
 )
 
 
+def refused_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(path, head) of files that hold no JSON array, and how they begin."""
+    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return files.filter(~F.startswith(F.ltrim("value"), F.lit("["))).select("path", F.left("value", F.lit(40)).alias("head"))
+
+
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of volumes per file; a file that holds anything else is refused.
 
     Such a file is read by one task. Large manifests are kept as lines: ``load_manifest_lines``.
     """
-    heads = spark.read.option("wholetext", True).text(path)
-    other = heads.filter(~F.startswith(F.ltrim("value"), F.lit("["))).select(F.left("value", F.lit(40)).alias("head"))
-    assert_empty(other, f"{path} is not a list")
+    assert_empty(refused_lists(spark, path), f"{path} is not a list")
     rows = spark.read.schema(VOLUME + ", _bad STRING").option(
         "columnNameOfCorruptRecord", "_bad"
     ).option("multiLine", True).json(path)
@@ -44,10 +48,10 @@ def save_manifest(manifest: DataFrame, path: str) -> None:
     manifest.select(*columns).orderBy("vendor", "patient_id").write.mode("errorifexists").json(path)
 
 
-def save_split(split: DataFrame, path: str, per_document: int = 100_000) -> None:
-    """JSON documents per fold with sorted fields and sorted patient lists."""
+def save_split(split: DataFrame, path: str, parts: int = 1) -> None:
+    """``parts`` JSON documents per fold, with sorted fields and sorted patient lists."""
     named = split.withColumn("patient_id", F.col("patient_id").cast("string"))
-    docs = split_documents(named, per_document)
+    docs = split_documents(named, parts)
     names = sorted(SPLIT_JSON_FIELDS)
     docs.select(F.to_json(F.struct(*names)).alias("value")).write.mode("errorifexists").text(path)
 
