@@ -264,7 +264,7 @@ def within(root: str, column: str):
 
 def read_volumes(v):
     root = volume_folder(v)
-    headers = volumes.parse_headers(volumes.list_headers(v.spark, root))
+    headers = cut_lineage(volumes.parse_headers(volumes.list_headers(v.spark, root)))
     payloads = volumes.list_payloads(v.spark, root, "*.raw")
     return root, headers, payloads, volumes.label_voxels(headers.filter("stem = 'reference'"), payloads)
 
