@@ -3,31 +3,37 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortscale.llm.components import components
 from cohortscale.llm.rows import lower_ascii, split_blanks
-from cohortscale.session import cut_lineage
+from cohortscale.session import cut_lineage, scratch_path
 
 #: Words of a shingle, and the least overlap in hundredths of the union.
 WORDS = 5
 PERCENT = 80
+#: Keys beyond what the overlap needs, one for so many shingles: linked sets share as many keys more.
+SPARE = 10
 #: Occurrences from which a shingle is common, those one task must see, and how many are common at most.
-COMMON = 50
+COMMON = 1 << 12
 COMMON_SEEN = 4
 COMMON_MOST = 1 << 20
-#: Documents up to which the ids to verify are sent to every task.
-BROADCAST_ROWS = 1 << 20
-#: Documents of a tile, pairs compared at a time, and tasks over which the partners of one document are spread.
+#: Pairs up to which the ids to verify are sent to every task, two short rows a pair.
+BROADCAST_ROWS = 1 << 18
+#: Bits of a bitmap for each shingle, at least.
+BITS = 8
+#: Documents of a tile, pairs compared at a time and bytes of their bitmaps, partners of one document that a task verifies.
 TILE = 1024
 PAIRS = 1 << 17
-SPREAD = 16
+PAIR_BYTES = 1 << 24
+PARTNERS = 256
 #: Centres that a key's documents are compared with before they are compared among themselves.
 CENTRES = 8
 #: Words a task remembers the hash of.
@@ -66,19 +72,22 @@ def shingles(text: str | None, memo: dict[str, int], words: int = WORDS) -> np.n
     return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """How many shingles, least first in any one order, two linked sets cannot both miss."""
-    return n - (percent * n + 99) // 100 + 1 if n else 0
+def least_overlap(n: int, percent: int) -> int:
+    """How many shingles of a set of ``n`` a linked set has too, at least; as many has the linked set."""
+    return (percent * n + 99) // 100
+
 
+def prefix_length(n: int, percent: int) -> int:
+    """How many shingles, least first in any one order, stand for a set of ``n``.
 
-def size_band(n: int, percent: int) -> int:
-    """Bands of size: the sizes of linked sets are in one band or in neighbouring ones."""
-    return int(np.floor(np.log(n) / np.log(100 / percent) + 1e-9))
+    Of as many, linked sets share one more than the smaller one's size holds SPARE.
+    """
+    return min(n, n - least_overlap(n, percent) + 1 + n // SPARE)
 
 
 def bitmap(grams: np.ndarray) -> bytes:
-    """One bit per hash modulo a power of two, at least the size of the set."""
-    bits = max(64, 1 << int(len(grams) - 1).bit_length())
+    """One bit per hash modulo a power of two, at least BITS times the size of the set."""
+    bits = max(64, 1 << int(BITS * len(grams) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(grams >> np.uint64(20)) & np.uint64(bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -117,107 +126,94 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sets(documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, signature, often): ``often`` has shingles many prefixes of a batch share."""
+    """(doc_id, n_shingles, digest, signature, keys, often): ``often`` has keys many sets of a batch share.
+
+    Stored in the shared folder, so texts are cut into shingles once and each later step reads its columns only.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for batch in batches:
-            sizes, maps, first = [], [], []
+            sizes, digests, maps, first = [], [], [], []
             for text in batch.column(1):
                 grams = shingles(text.as_py(), memo, words)
                 sizes.append(len(grams))
+                digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
                 maps.append(bitmap(grams) if len(grams) else b"")
-                first.append(grams[: prefix_length(len(grams), percent)])
-            keys, times = np.unique(np.concatenate([_NONE, *first]), return_counts=True)
+                first.append(grams[: prefix_length(len(grams), percent)].view(np.int64))
+            every = np.concatenate([_NONE.view(np.int64), *first])
+            keys, times = np.unique(every, return_counts=True)
             seen = times >= COMMON_SEEN
-            often = [{"key": int(k), "n": int(n)} for k, n in zip(keys[seen].view(np.int64), times[seen])]
+            often = [{"key": int(k), "n": int(n)} for k, n in zip(keys[seen], times[seen])]
             lists = [often] + [None] * (len(sizes) - 1) if sizes else []
             kind = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(lists, kind)],
-                names=["doc_id", "n_shingles", "signature", "often"],
-            )
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(
-        measure, f"doc_id {kind}, n_shingles long, signature binary, often array<struct<key: long, n: long>>"
-    )
-
-
-def _prefix_rows(documents: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(key, band, doc_id, n): the prefix of every set, common shingles last in the order."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
-        hot = last.value
-        for batch in batches:
-            keys, ids, sizes, bands = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                grams = shingles(text.as_py(), memo, words)
-                n = len(grams)
-                if not n:
-                    continue
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
-                    late = hot[at] == grams
-                    grams = np.concatenate([grams[~late], grams[late]])
-                keys.append(grams[: prefix_length(n, percent)])
-                ids.append(doc_id)
-                sizes.append(n)
-                bands.append(size_band(n, percent))
-            each = np.array([len(k) for k in keys], np.int64)
-            place = pa.array(np.repeat(np.arange(len(keys)), each))
+            ends = np.concatenate([[0], np.cumsum([len(f) for f in first], dtype=np.int64)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([_NONE, *keys]).view(np.int64)),
-                    pa.array(bands, pa.int32()).take(place),
-                    pa.array(ids, batch.column(0).type).take(place),
-                    pa.array(sizes, pa.int32()).take(place),
+                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(maps, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(every)), pa.array(lists, kind),
                 ],
-                names=["key", "band", "doc_id", "n"],
-            )
+                names=["doc_id", "n_shingles", "digest", "signature", "keys", "often"],
+            )
 
-    last = documents.sparkSession.sparkContext.broadcast(np.sort(common))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    return rows.mapInArrow(emit, f"key long, band int, doc_id {kind}, n int")
+    found = documents.select("doc_id", "text").mapInArrow(
+        measure,
+        f"doc_id {kind}, n_shingles long, digest binary, signature binary, keys array<long>, often array<struct<key: long, n: long>>",
+    )
+    path = scratch_path(documents.sparkSession, "shingle-sets")
+    found.write.parquet(path)
+    return documents.sparkSession.read.parquet(path)
 
 
-def _shared_keys(prefixes: DataFrame) -> DataFrame:
-    """Rows of the keys that more than one document has, with the first document of (key, band)."""
+def _shared_keys(rows: DataFrame, common: list[int]) -> DataFrame:
+    """Rows (key, doc_id, n) whose key another row has too; common keys need not be looked at together."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tail = None, None  # the last row, not yet known to share its key; its key, band and first
+        held, was = None, False  # the last row, not yet known to share its key with the next; whether with the one before
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            key, band = table["key"].to_numpy(), table["band"].to_numpy()
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (band[1:] != band[:-1])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            first = table["doc_id"].to_numpy()[start]
-            shared = np.zeros(len(key), bool)
+            table = pa.Table.from_batches([batch] if held is None else [held, batch])
+            key = table["key"].to_numpy()
             same = key[1:] == key[:-1]
+            shared = np.zeros(len(key), bool)
+            shared[0] = was
             shared[1:] |= same
             shared[:-1] |= same
-            if tail is not None:
-                k, b, f, was = tail
-                run = (key == k) & (band == b)
-                first = np.where(run, f, first)
-                shared[0] |= was
-            whole = table.append_column("first", pa.array(first, table["doc_id"].type))
-            held = batch.slice(batch.num_rows - 1)
-            tail = (key[-1], band[-1], first[-1], bool(shared[-1]))
-            out = whole.slice(0, len(key) - 1).filter(pa.array(shared[:-1]))
-            yield from out.combine_chunks().to_batches()
-        if tail is not None and tail[3]:
-            row = pa.Table.from_batches([held]).append_column("first", pa.array([tail[2]], held.column(2).type))
-            yield from row.to_batches()
-
-    kind = prefixes.schema["doc_id"].dataType.simpleString()
-    sorted_rows = prefixes.repartition("key").sortWithinPartitions("key", "band", "doc_id")
-    return sorted_rows.mapInArrow(runs, f"key long, band int, doc_id {kind}, n int, first {kind}")
+            held, was = batch.slice(batch.num_rows - 1), bool(shared[-1])
+            yield from table.slice(0, len(key) - 1).filter(pa.array(shared[:-1])).combine_chunks().to_batches()
+        if was:
+            yield held
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    spark = rows.sparkSession
+    hot = F.broadcast(spark.createDataFrame(pa.table({"key": pa.array(common, pa.int64())})))
+    cold = rows.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    return cold.mapInArrow(runs, f"key long, doc_id {kind}, n long").unionAll(rows.join(hot, "key", "left_semi"))
+
+
+def _rare_keys(shared: DataFrame, percent: int) -> DataFrame:
+    """(key, band, doc_id, n): of each set that can be linked at all its rarest shared keys, as many as may matter.
+
+    A set that shares fewer keys than every linked set of its size does is out. Of the others'
+    keys, the most frequent are left out, one less than links need: two linked sets still share one.
+    """
+    times = shared.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    need = F.floor(least / SPARE) + 1
+    mine = Window.partitionBy("doc_id", "n")
+    ranked = shared.join(times, "key").withColumn("s", F.count("*").over(mine))
+    ranked = ranked.filter(F.col("s") >= need).withColumn("place", F.row_number().over(mine.orderBy("m", "key")))
+    band = F.floor(F.log("n") / math.log(100 / min(percent, 99)) + 1e-9).cast("int")
+    return ranked.filter(F.col("place") <= F.col("s") - need + 1).select("key", band.alias("band"), "doc_id", "n")
+
+
+def _stars(rare: DataFrame) -> DataFrame:
+    """Pairs (a, b): each document with that first document of its keys and band it shares the most keys with."""
+    first = rare.groupBy("key", "band").agg(F.min("doc_id").alias("a"))
+    met = rare.join(first, ["key", "band"]).filter("a < doc_id").groupBy("a", "doc_id").agg(F.count("*").alias("m"))
+    return met.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("a", F.struct("m", "a")).alias("a")).select("a", "b")
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -239,10 +235,11 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _verified(documents: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) that are linked, by intersection of their sorted shingles.
 
-    The texts of an ``a`` and of its partners come together in SPREAD parts, so an ``a`` with very
-    many partners is not one task's.
+    The texts of an ``a`` and of its partners come together in parts of about PARTNERS, so an ``a`` with
+    very many partners is not one task's.
     """
-    parts = cut_lineage(pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SPREAD))))
+    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    parts = cut_lineage(pairs.join(stars, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")))
     wanted = parts.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("_doc")).unionAll(
         parts.select("a", "part").distinct().select("a", "part", F.lit(0).alias("role"), F.col("a").alias("_doc"))
     )
@@ -308,7 +305,11 @@ def _open_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key, t1, t2, mine, n, group, ids = (rows[c].to_numpy() for c in columns[:-1])
-        maps, kind_of = rows["signature"], rows["doc_id"].type
+        maps, kind_of = rows["signature"].combine_chunks(), rows["doc_id"].type
+        weight = pc.binary_length(maps).to_numpy()
+
+        def bounded(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return plausible(n[i], n[j], maps.take(pa.array(i)), maps.take(pa.array(j)), percent)
 
         def judged(found: list[np.ndarray]) -> pa.RecordBatch:
             i, j = np.concatenate(found, axis=1)
@@ -317,7 +318,9 @@ def _open_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             once = np.ones(len(order), bool)
             once[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
             at = order[once]
-            keep = at[plausible(n[i[at]], n[j[at]], maps.take(pa.array(i[at])), maps.take(pa.array(j[at])), percent)]
+            ends = np.cumsum(weight[i[at]] + weight[j[at]])
+            parts = np.split(at, np.searchsorted(ends, np.arange(PAIR_BYTES, int(ends[-1]), PAIR_BYTES))) if len(at) else []
+            keep = np.concatenate([at[:0], *(x[bounded(i[x], j[x])] for x in parts)])
             return pa.RecordBatch.from_arrays([pa.array(x[keep], kind_of) for x in (low, high)], names=["a", "b"])
 
         new = np.ones(len(key), bool)
@@ -367,35 +370,42 @@ def similar_documents(documents: DataFrame, words: int = WORDS, percent: int = P
     with nothing. Returns (doc_id, n_shingles, component_id), one row per row: the least id
     reachable by links, its own included.
 
-    Two linked sets share a shingle among the first few of each, in any one order of shingles; the
-    order puts common shingles last, so a passage many documents share brings few of them
-    together. Documents of one such shingle and size band are compared with the first of them, then, as
-    far as these links have not yet joined them, with centres drawn by hash, and what is left is compared
-    pair by pair within tiles of a shingle; sizes and bitmaps bound the overlap from above. What may be linked is intersected exactly. No
-    partner is dropped.
+    Equal sets are one from the start. A set stands for itself by the first third, about, of its shingles in the
+    order of their hashes, its keys; linked sets share a tenth of their sizes among them, so a set of which
+    fewer keys are anywhere else is linked with nothing. Of the others' keys the rarest count, so a
+    passage many documents share brings few of them together. A document is compared with the first of its keys
+    that it shares the most with, then, as far as these links have not yet joined them, with
+    centres drawn by hash, and what is left is compared pair by pair within tiles of a key; sizes and bitmaps
+    bound the overlap from above. What may be linked is intersected exactly. No partner is dropped.
 
     A NULL text is empty; a row without an id takes no part and has no component; rows that repeat
     an id are one document with the texts of all. Other columns are not read.
     """
-    sets = cut_lineage(_sets(documents, words, percent))
-    often = sets.select(F.explode("often").alias("o")).groupBy("o.key").agg(F.sum("o.n").alias("n")).filter(F.col("n") >= COMMON)
-    # At most COMMON_MOST numbers, whatever the corpus; any set of common shingles gives the same links.
-    common = np.array([r[0] for r in often.orderBy(F.desc("n"), "key").limit(COMMON_MOST).collect()], np.int64).view(np.uint64)
-    sizes = sets.select("doc_id", "n_shingles")
-    sets = sets.filter("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "n_shingles", "signature")
-    shared = cut_lineage(_shared_keys(_prefix_rows(documents, common, words, percent)))
-    stars = shared.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tried = cut_lineage(_plausible(stars, sets, percent))
+    found = _sets(documents, words, percent)
+    often = found.select(F.explode("often").alias("o")).groupBy("o.key").agg(F.sum("o.n").alias("n")).filter(F.col("n") >= COMMON)
+    # At most COMMON_MOST numbers, whatever the corpus; any set of common keys gives the same links.
+    common = [r[0] for r in often.orderBy(F.desc("n"), "key").limit(COMMON_MOST).collect()]
+    sets = found.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    alike = sets.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    named = cut_lineage(sets.select("doc_id", "digest").join(alike, "digest").select("doc_id", "first").distinct())
+    same = named.filter("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    one_each = sets.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    rows = one_each.select(F.explode("keys").alias("key"), "doc_id", "n")
+    rare = cut_lineage(_rare_keys(cut_lineage(_shared_keys(rows, common)), percent))
+    sets = sets.select("doc_id", "n_shingles", "signature").join(rare.select("doc_id").distinct(), "doc_id", "left_semi")
+    tried = cut_lineage(_plausible(_stars(rare), sets, percent))
     links = cut_lineage(_verified(documents, tried, words, percent))
     groups = cut_lineage(components(links, "a", "b"))
     for last in (False, True):
-        mixed = cut_lineage(_mixed(shared, groups))
+        mixed = cut_lineage(_mixed(rare, groups))
         pairs = _open_pairs(mixed, sets, percent) if last else _plausible(_central_pairs(mixed), sets, percent)
         pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             tried = tried.unionAll(pairs)
             links = cut_lineage(links.unionAll(_verified(documents, pairs, words, percent)))
             groups = cut_lineage(components(links, "a", "b"))
+    groups = components(links.unionAll(same), "a", "b")
+    sizes = found.select("doc_id", "n_shingles")
     return sizes.join(groups, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
