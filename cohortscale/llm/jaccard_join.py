@@ -27,8 +27,9 @@ COMMON_SEEN = 4
 COMMON_MOST = 1 << 20
 #: Pairs up to which the ids to verify are sent to every task, two short rows a pair.
 BROADCAST_ROWS = 1 << 18
-#: Bits of a bitmap for each shingle, at least.
+#: Bits of a bitmap for each shingle, at least, and of the small one that tiles carry.
 BITS = 8
+TILE_BITS = 2
 #: Documents of a tile, pairs compared at a time and bytes of their bitmaps, partners of one document that a task verifies.
 TILE = 1024
 PAIRS = 1 << 17
@@ -85,9 +86,9 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - least_overlap(n, percent) + 1 + n // SPARE)
 
 
-def bitmap(grams: np.ndarray) -> bytes:
-    """One bit per hash modulo a power of two, at least BITS times the size of the set."""
-    bits = max(64, 1 << int(BITS * len(grams) - 1).bit_length())
+def bitmap(grams: np.ndarray, each: int = BITS) -> bytes:
+    """One bit per hash modulo a power of two, at least ``each`` times the size of the set."""
+    bits = max(64, 1 << int(each * len(grams) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(grams >> np.uint64(20)) & np.uint64(bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -126,7 +127,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sets(documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature, keys, often): ``often`` has keys many sets of a batch share.
+    """(doc_id, n_shingles, digest, signature, outline, keys, often): ``often`` has keys many sets of a batch share.
 
     Stored in the shared folder, so texts are cut into shingles once and each later step reads its columns only.
     """
@@ -134,12 +135,13 @@ def _sets(documents: DataFrame, words: int, percent: int) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for batch in batches:
-            sizes, digests, maps, first = [], [], [], []
+            sizes, digests, maps, small, first = [], [], [], [], []
             for text in batch.column(1):
                 grams = shingles(text.as_py(), memo, words)
                 sizes.append(len(grams))
                 digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
                 maps.append(bitmap(grams) if len(grams) else b"")
+                small.append(bitmap(grams, TILE_BITS) if len(grams) else b"")
                 first.append(grams[: prefix_length(len(grams), percent)].view(np.int64))
             every = np.concatenate([_NONE.view(np.int64), *first])
             keys, times = np.unique(every, return_counts=True)
@@ -151,15 +153,15 @@ def _sets(documents: DataFrame, words: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(maps, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(every)), pa.array(lists, kind),
+                    pa.array(small, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(every)), pa.array(lists, kind),
                 ],
-                names=["doc_id", "n_shingles", "digest", "signature", "keys", "often"],
+                names=["doc_id", "n_shingles", "digest", "signature", "outline", "keys", "often"],
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     found = documents.select("doc_id", "text").mapInArrow(
         measure,
-        f"doc_id {kind}, n_shingles long, digest binary, signature binary, keys array<long>, often array<struct<key: long, n: long>>",
+        f"doc_id {kind}, n_shingles long, digest binary, signature binary, outline binary, keys array<long>, often array<struct<key: long, n: long>>",
     )
     path = scratch_path(documents.sparkSession, "shingle-sets")
     found.write.parquet(path)
@@ -293,19 +295,19 @@ def _open_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that share a key, are of different groups and may be linked.
 
     The documents of a key are dealt into tiles of about TILE by (key, tile, tile), and a tile
-    compares bitmaps, not texts.
+    compares small bitmaps, not texts; the pairs they leave are bounded by the wide ones.
     """
     spots = mixed.withColumn("tiles", F.ceil(F.col("m") / TILE))
     mine = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
     spots = spots.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int"))))
     spots = spots.withColumn("t1", F.least("mine", "other")).withColumn("t2", F.greatest("mine", "other"))
-    spots = spots.join(sets.select("doc_id", "signature"), "doc_id")
+    spots = spots.join(sets.select("doc_id", "outline"), "doc_id")
     kind = sets.schema["doc_id"].dataType.simpleString()
-    columns = ["key", "t1", "t2", "mine", "n", "component_id", "doc_id", "signature"]
+    columns = ["key", "t1", "t2", "mine", "n", "component_id", "doc_id", "outline"]
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key, t1, t2, mine, n, group, ids = (rows[c].to_numpy() for c in columns[:-1])
-        maps, kind_of = rows["signature"].combine_chunks(), rows["doc_id"].type
+        maps, kind_of = rows["outline"].combine_chunks(), rows["doc_id"].type
         weight = pc.binary_length(maps).to_numpy()
 
         def bounded(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -359,7 +361,7 @@ def _open_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield from compare(held)
 
     spread = spots.select(*columns).repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "n")
-    return spread.mapInArrow(tiles_of, f"a {kind}, b {kind}").distinct()
+    return _plausible(cut_lineage(spread.mapInArrow(tiles_of, f"a {kind}, b {kind}").distinct()), sets, percent)
 
 
 def similar_documents(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -392,7 +394,7 @@ def similar_documents(documents: DataFrame, words: int = WORDS, percent: int = P
     one_each = sets.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     rows = one_each.select(F.explode("keys").alias("key"), "doc_id", "n")
     rare = cut_lineage(_rare_keys(cut_lineage(_shared_keys(rows, common)), percent))
-    sets = sets.select("doc_id", "n_shingles", "signature").join(rare.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = sets.select("doc_id", "n_shingles", "signature", "outline").join(rare.select("doc_id").distinct(), "doc_id", "left_semi")
     tried = cut_lineage(_plausible(_stars(rare), sets, percent))
     links = cut_lineage(_verified(documents, tried, words, percent))
     groups = cut_lineage(components(links, "a", "b"))
