@@ -8,15 +8,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cohortscale.llm.rows import lower_ascii
+from cohortscale.session import scratch_path, width
 
 #: Words that a passage must have to be cut where it stands again.
 MIN_WORDS = 40
-#: Words of an anchor: windows are compared only if the least anchor hash in them was met twice.
+#: Words of an anchor: a text is cut into units around the anchors of least hash.
 ANCHOR_WORDS = 16
 #: Words hashed at a time, and distinct words whose digests a task remembers.
 LOT, REMEMBERED = 1 << 17, 1 << 19
@@ -109,77 +111,116 @@ def _lots(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[tuple[l
         yield lot()
 
 
-def _least_anchors(owner: np.ndarray, hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each anchor, the least of them in each window, and whether the window is of one text."""
-    size = min(ANCHOR_WORDS, min_words)
-    anchors = joined_hashes(hashes, size)[:, 0]
-    least = _slid(anchors, min_words - size + 1, np.minimum)
-    return anchors, least, owner[: len(least)] == owner[min_words - 1 :]
+def _least_at(x: np.ndarray, n: int) -> np.ndarray:
+    """Where the least of every ``n`` entries that follow each other stands, the first of equal ones."""
+
+    def lesser(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(x[a] <= x[b], a, b)
 
+    return _slid(np.arange(len(x)), n, lesser)
 
-def document_anchors(documents: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, anchor, n): anchors that are least in some window of a text, and how many places have them.
 
-    Equal windows have equal least anchors, so a window with one that only one place has is not repeated.
+def document_units(documents: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, at, windows, anchor, digest): the units of each text.
+
+    A unit is the windows of ``min_words`` words, in a row, whose anchor of least hash is the same; ``at`` is the
+    first of them, counted in words from 0. So units are cut by what stands there, wherever a passage begins, and
+    equal windows have equal anchors. ``digest`` is of the whole unit; with ``anchor`` it tells units apart.
     """
     id_type = documents.schema["doc_id"].dataType
     arrow_type = to_arrow_type(id_type)
+    size = min(ANCHOR_WORDS, min_words)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, owner, _, hashes in _lots(batches, min_words):
-            anchors, least, whole = _least_anchors(owner, hashes, min_words)
-            edge = np.zeros(len(anchors) - len(least), np.uint64)
-            most = _slid(np.concatenate([edge, np.where(whole, least, np.uint64(0)), edge]), len(edge) + 1, np.maximum)
-            at = np.flatnonzero(anchors == most)
-            at = at[np.lexsort((anchors[at], owner[at]))]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, owner, starts, hashes in _lots(batches, min_words):
+            anchors = joined_hashes(hashes, size)[:, 0]
+            least = _least_at(anchors, min_words - size + 1)
+            forms = joined_hashes(hashes, min_words)
+            at = np.flatnonzero(owner[: len(least)] == owner[min_words - 1 :])
             new = np.ones(len(at), bool)
-            new[1:] = (anchors[at[1:]] != anchors[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
-            start = np.flatnonzero(new)
-            ids = pa.array([h[0] for h in held], arrow_type).take(pa.array(owner[at[start]]))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(anchors[at[start]].view(np.int64)), pa.array(np.diff(np.append(start, len(at))))], names=["doc_id", "anchor", "n"]
-            )
+            new[1:] = (least[at[1:]] != least[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
+            first = np.flatnonzero(new)
+            windows = np.diff(np.append(first, len(at)))
+            start = at[first]
+            # The first window and the last have every word of the unit, as it has at most min_words windows.
+            digest = _mixed(forms[start], forms[start + windows - 1] + windows.astype(np.uint64)[:, None])[:, 1]
+            ids = pa.array([h[0] for h in held], arrow_type).take(pa.array(owner[start]))
+            place = (start - starts[owner[start]]).astype(np.int32)
+            columns = [ids, pa.array(place), pa.array(windows.astype(np.int32))]
+            columns += [pa.array(anchors[least[start]].view(np.int64)), pa.array(digest.copy().view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "windows", "anchor", "digest"])
 
     rows = documents.select("doc_id", "text").filter("text IS NOT NULL AND doc_id IS NOT NULL")
-    return rows.mapInArrow(find, f"doc_id {id_type.simpleString()}, anchor long, n long")
+    return rows.mapInArrow(cut, f"doc_id {id_type.simpleString()}, at int, windows int, anchor long, digest long")
 
 
-def document_windows(documents: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, at, a, b): place and digest of every window that may be repeated; ``at`` counts the words of a text from 0."""
-    each = document_anchors(documents, min_words)
-    often = each.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
-    marked = each.join(often, "anchor").groupBy(F.col("doc_id").alias("_dup_id")).agg(F.collect_set("anchor").alias("anchors"))
-    id_type = documents.schema["doc_id"].dataType
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def _unit_windows(asked: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, at, a, b): place and digest of every window of the units asked for in ``_dup_asked``."""
+    id_type = asked.schema["doc_id"].dataType
     arrow_type = to_arrow_type(id_type)
+    columns = [asked.columns.index(name) for name in ("doc_id", "text", "_dup_asked")]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, owner, starts, hashes in _lots(batches, min_words):
-            _, least, whole = _least_anchors(owner, hashes, min_words)
-            known = np.concatenate([h[1].values.to_numpy() for h in held]).view(np.uint64)
-            at = np.flatnonzero(whole & np.isin(least, known))
-            digest = joined_hashes(hashes, min_words)[at].view(np.int64)
-            ids = pa.array([h[0] for h in held], arrow_type).take(pa.array(owner[at]))
-            place = (at - starts[owner[at]]).astype(np.int32)
-            columns = [ids, pa.array(place), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "a", "b"])
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            few = pa.RecordBatch.from_arrays([batch.column(i) for i in columns], names=["doc_id", "text", "asked"])
+            yield few.filter(pa.compute.and_(few.column(1).is_valid(), few.column(2).is_valid()))
 
-    rows = documents.select("doc_id", "text").filter("text IS NOT NULL")
-    rows = rows.join(marked, rows["doc_id"] == marked["_dup_id"]).select("doc_id", "text", "anchors")
-    return rows.mapInArrow(cut, f"doc_id {id_type.simpleString()}, at int, a long, b long")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, owner, starts, hashes in _lots(texts(batches), min_words):
+            forms = joined_hashes(hashes, min_words).view(np.int64)
+            whole = owner[: len(forms)] == owner[min_words - 1 :]
+            units = [(k, u["at"], u["windows"]) for k, h in enumerate(held) for u in h[1].as_py()]
+            of, first, windows = np.array(units, np.int64).T
+            start = np.repeat(starts[of] + first, windows)
+            at = start + np.arange(len(start)) - np.repeat(np.cumsum(windows) - windows, windows)
+            of = np.repeat(of, windows)
+            # A row of the same id may have fewer words.
+            inside = at < len(forms)
+            inside[inside] = whole[at[inside]] & (owner[at[inside]] == of[inside])
+            at, of = at[inside], of[inside]
+            ids = pa.array([h[0] for h in held], arrow_type).take(pa.array(of))
+            found = [ids, pa.array((at - starts[of]).astype(np.int32)), pa.array(forms[at, 0]), pa.array(forms[at, 1])]
+            yield pa.RecordBatch.from_arrays(found, names=["doc_id", "at", "a", "b"])
+
+    return asked.mapInArrow(cut, f"doc_id {id_type.simpleString()}, at int, a long, b long")
 
 
 def repeated_windows(documents: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, again): places of the windows that an earlier place has already, by (doc_id, at).
+    """(doc_id, again): (at, windows) of the runs of windows that an earlier place has already, by (doc_id, at).
 
-    A digest is grouped with partial sums, so a window in a third of all documents is one row per
-    task there; the join back to its occurrences is left to the adaptive skew join.
+    Units whose anchor stands in one place are new. Of the others, equal ones are grouped: all but the earliest
+    are repeated as a whole. Only the earliest of each kind, and only where their anchor has several kinds, are
+    looked at window by window. Groups are made with partial sums, and what is joined is stored first, so a hot
+    anchor, unit or window is one row per task in a group and split by the adaptive skew join.
     """
-    each = document_windows(documents, min_words)
+    units = _stored(document_units(documents, min_words), "dedup-units")
+    often = _stored(units.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "dedup-anchors")
+    shared = _stored(units.join(often, "anchor"), "dedup-shared")
+    kinds = shared.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at", "windows")).alias("first"))
+    kinds = _stored(kinds.select("anchor", "digest", "n", "first.*"), "dedup-kinds")
+
+    firsts = kinds.filter("n > 1").select("anchor", "digest", F.col("doc_id").alias("first_id"), F.col("at").alias("first_at"))
+    whole = shared.join(firsts, ["anchor", "digest"]).filter("doc_id <> first_id OR at <> first_at").select("doc_id", "at", "windows")
+
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
+    asked = kinds.join(_stored(several, "dedup-several"), "anchor").groupBy(F.col("doc_id").alias("_dup_id"))
+    asked = asked.agg(F.collect_list(F.struct("at", "windows")).alias("_dup_asked"))
+    # Joined as remove_repeated_units joins, with every column, so that texts are shuffled once for both.
+    asked = documents.join(asked, documents["doc_id"] == asked["_dup_id"], "left").drop("_dup_id")
+    each = _unit_windows(asked, min_words)
     first = each.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).filter("n > 1")
-    again = each.join(first.select("a", "b", "first"), ["a", "b"]).filter(
-        (F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at"))
-    )
-    return again.groupBy("doc_id").agg(F.collect_set("at").alias("again"))
+    # Dealt anew, few as they are, because the skew join splits a join of two plain shuffles only.
+    first = first.repartition(width(documents.sparkSession))
+    single = each.join(first, ["a", "b"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
+    again = whole.unionAll(single.select("doc_id", "at", F.lit(1).alias("windows")))
+    return again.groupBy("doc_id").agg(F.collect_set(F.struct("at", "windows")).alias("again"))
 
 
 def repeated_runs(text: str, again: set[int], min_words: int) -> list[tuple[int, int]]:
@@ -207,8 +248,8 @@ def remove_repeated_units(documents: DataFrame, min_words: int = MIN_WORDS) -> D
     ``documents`` (doc_id, text, ...). Words stand between white space, A-Z are lower-cased. Every window of
     ``min_words`` words is told from others by a 128-bit digest over all documents; its place ranked earliest by
     (doc_id, position) stays, the others are repeated, and every word of a repeated window goes, wherever the
-    passage begins or ends. To keep the windows few, only those with an anchor met twice are compared, which
-    every repeated one has. Adds ``removed``, array of (start, end): code points of the original text.
+    passage begins or ends. Windows are grouped as units, by one digest each, and looked at one by one only where
+    units differ around the same anchor. Adds ``removed``, array of (start, end): code points of the original text.
 
     NULL text stays NULL; a text that is cut as a whole becomes empty; a row without an id keeps its
     text and takes no part. Equal rows of one id share their places: the earliest stays in each.
@@ -225,7 +266,8 @@ def remove_repeated_units(documents: DataFrame, min_words: int = MIN_WORDS) -> D
             texts, removed = [], []
             for text, places in zip(batch.column(text_at), batch.column(again_at)):
                 text, places = text.as_py(), places.as_py()
-                runs = repeated_runs(text, set(places), min_words) if text and places else []
+                again = {i for p in places or () for i in range(p["at"], p["at"] + p["windows"])}
+                runs = repeated_runs(text, again, min_words) if text else []
                 if runs:
                     kept = zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(text)])
                     text = "".join(text[a:b] for a, b in kept)
