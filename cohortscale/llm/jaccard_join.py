@@ -35,6 +35,9 @@ TILE = 1024
 PAIRS = 1 << 17
 PAIR_BYTES = 1 << 24
 PARTNERS = 256
+#: Keys that a document of a tile carries, to tell that a pair was met under a lesser key.
+LEAST_KEYS = 8
+_LAST_KEY = np.iinfo(np.int64).max
 #: Centres that a key's documents are compared with before they are compared among themselves.
 CENTRES = 8
 #: Words a task remembers the hash of.
@@ -295,26 +298,38 @@ def _open_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that share a key, are of different groups and may be linked.
 
     The documents of a key are dealt into tiles of about TILE by (key, tile, tile), and a tile
-    compares small bitmaps, not texts; the pairs they leave are bounded by the wide ones.
+    compares small bitmaps, not texts; the pairs they leave are bounded by the wide ones. A pair that shares
+    many keys is compared under the least of them: each document carries its few least keys, and where two
+    have one in common below the tile's own, the tile of that one has them too.
     """
     spots = mixed.withColumn("tiles", F.ceil(F.col("m") / TILE))
     mine = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
     spots = spots.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int"))))
     spots = spots.withColumn("t1", F.least("mine", "other")).withColumn("t2", F.greatest("mine", "other"))
-    spots = spots.join(sets.select("doc_id", "outline"), "doc_id")
+    least = mixed.groupBy("doc_id", "n").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST_KEYS).alias("least"))
+    spots = spots.join(least.join(sets.select("doc_id", "outline"), "doc_id"), ["doc_id", "n"])
     kind = sets.schema["doc_id"].dataType.simpleString()
-    columns = ["key", "t1", "t2", "mine", "n", "component_id", "doc_id", "outline"]
+    columns = ["key", "t1", "t2", "mine", "n", "component_id", "doc_id", "outline", "least"]
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, t1, t2, mine, n, group, ids = (rows[c].to_numpy() for c in columns[:-1])
+        key, t1, t2, mine, n, group, ids = (rows[c].to_numpy() for c in columns[:-2])
         maps, kind_of = rows["outline"].combine_chunks(), rows["doc_id"].type
         weight = pc.binary_length(maps).to_numpy()
+        keys = np.full((len(key), LEAST_KEYS), _LAST_KEY)
+        keys[np.arange(LEAST_KEYS) < pc.list_value_length(rows["least"]).to_numpy()[:, None]] = pc.list_flatten(rows["least"]).to_numpy()
 
         def bounded(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return plausible(n[i], n[j], maps.take(pa.array(i)), maps.take(pa.array(j)), percent)
 
         def judged(found: list[np.ndarray]) -> pa.RecordBatch:
             i, j = np.concatenate(found, axis=1)
+            before = np.zeros(len(i), bool)
+            for x in range(LEAST_KEYS):
+                mine_at = keys[i, x]
+                lesser = mine_at < key[i]
+                for y in range(LEAST_KEYS):
+                    before |= lesser & (mine_at == keys[j, y])
+            i, j = i[~before], j[~before]
             low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
             order = np.lexsort((high, low))
             once = np.ones(len(order), bool)
